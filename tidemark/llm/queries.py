@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, sharding
+from tidemark.llm import mixing, near_dedup, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,14 @@ def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("uid")
+
+
 QUERIES = {
     "op7_interleaved_shards": op7_interleaved_shards,
     "op8_systematic_mix": op8_systematic_mix,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 #: Seeded keys as the operators make them: 60 bits of an MD5.
@@ -82,5 +87,29 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, key, doc_id) * e + off AS upto FROM s)
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, CAST(((upto >> 24) - ((upto - e) >> 24)) * size AS BIGINT) AS taken
 FROM r
+""",
+    "op10_near_duplicates": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([w[i:i+4] FOR i IN range(1, len(w) - 3)])
+                      WHEN len(w) > 0 THEN [w] ELSE [] END AS s
+  FROM w
+),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+),
+r AS (
+  SELECT doc_id, doc_id AS reach FROM documents
+  UNION
+  SELECT r.doc_id, p.v FROM r JOIN p ON r.reach = p.u
+),
+c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN c ON s.doc_id = c.doc_id
 """,
 }
