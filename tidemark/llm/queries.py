@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, near_dedup, sharding
+from tidemark.llm import bpe_trie, mixing, near_dedup, sharding, token_counts, token_files
+from tidemark.llm.cluster import new_folder
+from tidemark.llm.vocabulary import default_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +25,24 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("uid")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "tokens")
+    token_files.write_token_files(documents(spark, sf_dir), path, default_path("word_bpe_49k.json"), end_id=2)
+    return token_files.digests(token_files.read_token_files(spark, path))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), default_path("word_bpe_49k.json"))
+
+
+def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_trie.recode_digests(documents(spark, sf_dir), default_path("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op6_token_counts": op6_token_counts,
+    "op9_trie_bpe": op9_trie_bpe,
     "op7_interleaved_shards": op7_interleaved_shards,
     "op8_systematic_mix": op8_systematic_mix,
     "op10_near_duplicates": op10_near_duplicates,
