@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_trie, mixing, near_dedup, sharding, token_counts, token_files
+from tidemark.llm import bpe_trie, language_id, mixing, near_dedup, quality_rules, sharding, token_counts, token_files
 from tidemark.llm.cluster import new_folder
 from tidemark.llm.vocabulary import default_path
 
@@ -31,6 +31,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_token_files(spark, path))
 
 
+def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality_rules.rate(documents(spark, sf_dir))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), default_path("word_bpe_49k.json"))
 
@@ -41,6 +50,8 @@ def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_language_filters": op2_language_filters,
+    "op4_line_quality": op4_line_quality,
     "op6_token_counts": op6_token_counts,
     "op9_trie_bpe": op9_trie_bpe,
     "op7_interleaved_shards": op7_interleaved_shards,
@@ -130,5 +141,37 @@ r AS (
 c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
 SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
 FROM s JOIN c ON s.doc_id = c.doc_id
+""",
+    "op4_line_quality": """
+WITH d AS (
+  SELECT doc_id, coalesce('=' || source, 'null') AS host, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+  FROM documents
+),
+win AS (
+  SELECT doc_id, i, [w[k] FOR k IN range(i, i + 8)] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)
+),
+rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win),
+rw AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM rep WHERE n > 1) GROUP BY doc_id),
+b AS (
+  SELECT d.doc_id, host, text, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rw.n, 0) AS BIGINT) AS n_repeat_words, ls
+  FROM d LEFT JOIN rw ON d.doc_id = rw.doc_id
+),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
+l AS (SELECT doc_id, host, text, trim(regexp_replace(lower(unnest(ls)), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS line FROM f),
+hosts AS (SELECT host, count(DISTINCT text) AS of FROM f GROUP BY host),
+common AS (
+  SELECT l.host, line FROM l JOIN hosts ON l.host = hosts.host GROUP BY l.host, line, of
+  HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > 0.1 * of
+),
+gone AS (
+  SELECT l.doc_id, sum(len(string_split(l.line, ' '))) AS n FROM l JOIN common c ON l.host = c.host AND l.line = c.line GROUP BY l.doc_id
+)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 1 - coalesce(gone.n, 0)::DOUBLE / greatest(n_words, 1) >= 0.2 AS kept
+FROM f LEFT JOIN gone ON f.doc_id = gone.doc_id
 """,
 }
