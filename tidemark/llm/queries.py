@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_trie, language_id, mixing, near_dedup, quality_rules, sharding, token_counts, token_files
+from tidemark.llm import bpe_trie, language_id, license_scan, mixing, near_dedup, quality_rules, sharding, token_counts, token_files, vector_topk
 from tidemark.llm.cluster import new_folder
 from tidemark.llm.vocabulary import default_path
 
@@ -35,11 +35,19 @@ def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality_rules.rate(documents(spark, sf_dir))
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_topk.top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), default_path("word_bpe_49k.json"))
 
@@ -51,7 +59,9 @@ def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_language_filters": op2_language_filters,
+    "op3_license_scan": op3_license_scan,
     "op4_line_quality": op4_line_quality,
+    "op5_exact_topk": op5_exact_topk,
     "op6_token_counts": op6_token_counts,
     "op9_trie_bpe": op9_trie_bpe,
     "op7_interleaved_shards": op7_interleaved_shards,
@@ -173,5 +183,13 @@ gone AS (
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 1 - coalesce(gone.n, 0)::DOUBLE / greatest(n_words, 1) >= 0.2 AS kept
 FROM f LEFT JOIN gone ON f.doc_id = gone.doc_id
+""",
+    "op5_exact_topk": """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
 }
