@@ -1,8 +1,51 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to token ids of a mixed, deduplicated corpus.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written to the shared folder and read again
+as the next one's docs. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import bpe_trie, language_id, mixing, near_dedup, quality_rules
+from tidemark.llm.cluster import saved
+from tidemark.llm.vocabulary import default_path
+
+
+def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the filters recognise (operator 2)."""
+    return language_id.accepted(docs)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and aren't depleted by their host's boilerplate (operator 4)."""
+    return quality_rules.accepted(docs)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (operator 10)."""
+    return near_dedup.deduplicated(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as it is taken (operator 8)."""
+    return mixing.mixed_rows(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit), and whether they decode to the text (operator 9)."""
+    return bpe_trie.encoded(docs, default_path("byte_bpe_50k.json"), keep=["doc_id", "lang", "source"])
+
+
+STAGES = [("language", recognised), ("quality", good), ("near-dedup", deduplicated), ("mix", mixed), ("bpe", encoded)]
+
+#: No SQL can express the tokenizer or the language filters; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

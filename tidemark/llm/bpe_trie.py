@@ -176,12 +176,14 @@ def trie_encoder(path: str) -> TrieEncoder:
     return TrieEncoder(path)
 
 
-def _recode(path: str, keep_text: bool):
+def _in_turn(path: str, make, names: list[str]):
+    """Passes all columns but text through and adds n_tokens and what `make` makes of text, ids and decoded text."""
+
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = trie_encoder(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            rest, at = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"], 0
+            texts, at = [t or "" for t in batch.column("text").to_pylist()], 0
+            others = [n for n in batch.schema.names if n != "text"]
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 20):
@@ -189,29 +191,38 @@ def _recode(path: str, keep_text: bool):
                     end += 1
                 coded = encoder.encode(texts[at:end])
                 decoded = [encoder.decode(np.frombuffer(c, dtype="<u4")) for c in coded]
-                made = [pa.array(coded, pa.binary()), pa.array(decoded, pa.string())] if keep_text else [pa.array([hashlib.sha256(c).hexdigest() for c in coded]), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded])]
-                names = ["ids", "decoded"] if keep_text else ["ids_sha256", "decoded_sha256"]
-                arrays = [c.slice(at, end - at) for c in rest] + [pa.array([len(c) // 4 for c in coded], pa.int64()), *made]
-                yield pa.RecordBatch.from_arrays(arrays, names=[n for n in batch.schema.names if n != "text"] + ["n_tokens", *names])
+                arrays = [batch.column(n).slice(at, end - at) for n in others] + [pa.array([len(c) // 4 for c in coded], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays + make(texts[at:end], coded, decoded), names=[*others, "n_tokens", *names])
                 at = end
 
     return recode
 
 
-def recode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded text of each row, for a byte-level vocabulary.
+def _digests(texts: list[str], coded: list[bytes], decoded: list[str]) -> list[pa.Array]:
+    return [pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string())]
+
+
+def _ids(texts: list[str], coded: list[bytes], decoded: list[str]) -> list[pa.Array]:
+    return [pa.array(coded, pa.binary()), pa.array([t == d for t, d in zip(texts, decoded, strict=True)], pa.bool_())]
+
+
+def _run(docs: DataFrame, path: str, text_col: str, keep: list[str], make, columns: str) -> DataFrame:
+    texts = docs.select(*keep, F.col(text_col).alias("text")) if "text" not in keep else docs.select(*keep)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text")
+    return texts.mapInArrow(_in_turn(path, make, [c.split()[0] for c in columns.split(", ")]), f"{kept}, n_tokens long, {columns}")
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, keep: list[str] = ["doc_id"], text_col: str = "text") -> DataFrame:  # noqa: B006
+    """Columns `keep`, n_tokens, ids (little-endian unsigned 32-bit) and intact: the ids decode to the text.
 
-    Strings of special tokens inside texts become their ids, as the library's default is. Null text: empty, no ids.
-    Null ids and repeated rows are rows like others. Empty table: no rows. Other columns are ignored. Each row is
-    worked on where it lies: no shuffle. A worker keeps a bounded trie and cache between batches.
+    For byte-level vocabularies. Strings of special tokens inside texts become their ids, as the library's default
+    is. Null text: empty, no ids, intact. Null ids and repeated rows are rows like others. Empty table: no rows.
+    Other columns are ignored. Each row is worked on where it lies: no shuffle. A worker keeps a bounded trie and
+    cache between batches.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = texts.mapInArrow(_recode(tokenizer_path, True), "doc_id long, n_tokens long, ids binary, decoded string")
-    return out.withColumnRenamed("doc_id", id_col)
+    return _run(docs, tokenizer_path, text_col, keep, _ids, "ids binary, intact boolean")
 
 
-def recode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As recode(), with SHA-256 digests in place of ids and text, so that they never leave the Python worker."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = texts.mapInArrow(_recode(tokenizer_path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("doc_id", id_col)
+def recode_digests(docs: DataFrame, tokenizer_path: str, keep: list[str] = ["doc_id"], text_col: str = "text") -> DataFrame:  # noqa: B006
+    """As encoded(), with SHA-256 digests of the ids and of the decoded text."""
+    return _run(docs, tokenizer_path, text_col, keep, _digests, "ids_sha256 string, decoded_sha256 string")
