@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stats import wilson
 
-COUNTS = [F.sum(F.col("is_win")).alias("wins"), F.sum(F.col("is_loss")).alias("losses"), F.sum(F.col("is_to")).alias("timeouts")]
+
+def counts() -> list[Column]:
+    return [F.sum("is_win").alias("wins"), F.sum("is_loss").alias("losses"), F.sum("is_to").alias("timeouts")]
 
 
 def flagged(events: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def _registered(rules: DataFrame, min_support: int, min_wins: int, min_months: i
 
 def mine_single(events: DataFrame, columns: list[str], min_support: int = 24, min_wins: int = 4, min_months: int = 4, include_timeouts: bool = False, min_resolve: float = 0.25, max_timeout: float = 0.6, z: float = 1.96) -> DataFrame:
     """Rules of one literal. Counts by month are aggregated before they are shuffled; there are as many as literal values and months."""
-    monthly = literals(events, columns).groupBy("lit", "val", "ym").agg(*COUNTS)
+    monthly = literals(events, columns).groupBy("lit", "val", "ym").agg(*counts())
     rules = _registered(_rated(monthly, ["lit", "val"], baseline(events), include_timeouts, z), min_support, min_wins, min_months, min_resolve, max_timeout)
     return rules.withColumn("rule_id", rule_id(("lit", "val")))
 
@@ -72,7 +74,7 @@ def mine_pairs(events: DataFrame, columns: list[str], min_support: int = 24, min
     rows = rows.select("ym", "is_win", "is_loss", "is_to", F.expr("explode(flatten(transform(__lits, (a, i) -> transform(slice(__lits, i + 2, size(__lits)), b -> struct(a, b)))))").alias("p"))
     rows = rows.select("ym", "is_win", "is_loss", "is_to", F.col("p.a.lit").alias("lit1"), F.col("p.a.val").alias("val1"), F.col("p.b.lit").alias("lit2"), F.col("p.b.val").alias("val2"))
     keys = ["lit1", "val1", "lit2", "val2"]
-    monthly = rows.groupBy(*keys, "ym").agg(*COUNTS)
+    monthly = rows.groupBy(*keys, "ym").agg(*counts())
     rules = _registered(_rated(monthly, keys, baseline(events), include_timeouts, z), min_support, min_wins, min_months, min_resolve, max_timeout)
     return rules.withColumn("rule_id", rule_id(("lit1", "val1"), ("lit2", "val2")))
 

@@ -62,7 +62,7 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
-TICKS = "ticks AS (SELECT event_type AS symbol, epoch_ms(ts) AS ts, event_id AS seq, value AS price FROM events)"
+TICKS = "ticks AS (SELECT event_type AS symbol, epoch_us(ts) // 1000 AS ts, event_id AS seq, value AS price FROM events)"
 BARS = f"""{TICKS},
 bars AS (SELECT symbol, CAST(ts // {HOUR} * {HOUR} AS BIGINT) AS ts, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low,
          arg_max(price, (ts, seq)) AS close, count(*) AS n_ticks FROM ticks GROUP BY 1, 2)"""
@@ -274,16 +274,16 @@ def ecdf_rank(spark, sf_dir):
 
 
 NL = f"""{BARS}, x AS (SELECT *, {TR} AS tr, ln(close) - lag(ln(close)) {BY} AS ret FROM bars),
-y AS (SELECT *, {', '.join(f'CASE WHEN count(ret) {rows(h)} >= {h} AND stddev_samp(ret) {rows(h)} > 0 THEN avg(ret) {rows(h)} * sqrt({h}) / stddev_samp(ret) {rows(h)} END AS t_{h}' for h in (48, 24, 12))},
+y AS (SELECT *, {', '.join(f'CASE WHEN count(ret) {rows(h)} >= {h} AND stddev_samp(ret) {rows(h)} > 0 THEN round(avg(ret) {rows(h)} * sqrt({h}) / stddev_samp(ret) {rows(h)}, 9) END AS t_{h}' for h in (48, 24, 12))},
   CASE WHEN count(*) {rows(20)} >= 20 THEN max(high) {rows(20)} END AS dch, CASE WHEN count(*) {rows(20)} >= 20 THEN min(low) {rows(20)} END AS dcl,
   avg(tr) {rows(14)} AS atr FROM x)"""
 
 
 def _plain(spark, sf_dir) -> DataFrame:
-    """Bars with t-statistics, channel and the mean true range as ATR."""
+    """Bars with t-statistics (rounded, so that noise has no sign), channel and the mean true range as ATR."""
     hi, lo = W.channel(20)
     b = bars(spark, sf_dir).withColumns({"tr": W.true_range(), "true_range": W.true_range(), "ret_1m": W.log_return(F.col("close"))})
-    b = b.withColumns({f"t_{h}": W.t_stat(F.col("ret_1m"), h) for h in (48, 24, 12)} | {"dch": hi, "dcl": lo, "atr": F.avg("tr").over(W.last(14))})
+    b = b.withColumns({f"t_{h}": F.round(W.t_stat(F.col("ret_1m"), h), 9) for h in (48, 24, 12)} | {"dch": hi, "dcl": lo, "atr": F.avg("tr").over(W.last(14))})
     atr = F.when(F.col("atr") != 0, F.col("atr"))
     return b.withColumns({"body_dom": F.abs(F.col("close") - F.col("open")) / atr, "close_to_hi_atr": (F.col("dch") - F.col("close")) / atr, "close_to_lo_atr": (F.col("close") - F.col("dcl")) / atr, "accel_15_240": F.col("t_12") - F.col("t_48")})
 
