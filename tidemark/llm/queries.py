@@ -69,6 +69,11 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 
+_POSTINGS = ", ".join(f"('{w}', {t}, {i})" for w, t, i in license_scan._postings())
+_KEYS = ", ".join(
+    f"({t}, '{label}', {license_scan._key_places(text, keys)}, {sum(1 for _, k, _ in license_scan._postings() if k == t)})" for t, (label, text, keys) in enumerate(license_scan.TEMPLATES)
+)
+
 #: Seeded keys as the operators make them: 60 bits of an MD5.
 _KEY = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
 
@@ -151,6 +156,38 @@ r AS (
 c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
 SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
 FROM s JOIN c ON s.doc_id = c.doc_id
+""",
+    "op3_license_scan": f"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+p(w, t, place) AS (VALUES {_POSTINGS}),
+k(t, label, keys, n) AS (VALUES {_KEYS}),
+words AS (SELECT doc_id, w[i + 1] AS w, i FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w) WHERE w[i + 1] IN (SELECT w FROM p)),
+idf AS (SELECT w, row_number() OVER (ORDER BY count(DISTINCT doc_id), w) AS rarity FROM words GROUP BY w),
+ranked AS (SELECT words.*, dense_rank() OVER (PARTITION BY doc_id ORDER BY rarity) AS r FROM words JOIN idf ON words.w = idf.w),
+votes AS (
+  SELECT doc_id, p.t, i - place AS shift, count(DISTINCT CASE WHEN r <= 16 THEN ranked.w END) AS agreeing, list(DISTINCT place) AS places
+  FROM ranked JOIN p ON ranked.w = p.w GROUP BY doc_id, p.t, i - place
+),
+found AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(len(places) / n::DOUBLE) AS score
+  FROM votes JOIN k ON votes.t = k.t WHERE agreeing >= 2 AND list_has_all(places, keys) GROUP BY doc_id
+),
+b AS (
+  SELECT doc_id, w, [i FOR i IN range(len(w)) IF w[i + 1] = 'cc' AND w[i + 2] = 'by'] AS c, [i FOR i IN range(len(w)) IF w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license'] AS g,
+         [i FOR i IN range(len(w)) IF w[i + 1] = 'all' AND w[i + 2] = 'rights' AND w[i + 3] = 'reserved'] AS a
+  FROM w
+),
+l AS (
+  SELECT *, list_concat(list_concat(c, g), a) AS every,
+         list_filter([CASE WHEN len(c) > 0 THEN 'cc-by' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(a) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL) AS base
+  FROM b
+)
+SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(every) AS BIGINT) AS n_base, CAST(list_min(every) AS BIGINT) AS first_word, CAST(list_max(every) AS BIGINT) AS last_word,
+       array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM l LEFT JOIN found ON l.doc_id = found.doc_id
 """,
     "op4_line_quality": """
 WITH d AS (
