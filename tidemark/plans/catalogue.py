@@ -665,3 +665,34 @@ def patterns_numeric(spark, sf_dir):
     e = li.agg(F.array_sort(F.array_distinct(F.percentile("x", F.array(*[F.lit(k / 9.0) for k in range(10)])))).alias("e"))
     b = li.crossJoin(F.broadcast(e)).select((F.greatest(F.lit(1), F.size(F.filter("e", lambda v: v < F.col("x")))) - 1).alias("bin"), "is_win")
     return b.groupBy("bin").agg(F.count("*").alias("n"), F.sum("is_win").alias("k"))
+
+
+def _pattern_pairs(spark, sf_dir) -> DataFrame:
+    """Pairs of the 30 best single literals with their counts among resolved events; 20 rows at least."""
+    done = outcomes(spark, sf_dir).where("is_win + is_loss = 1")
+    singles = mining.literals(done, list(LITS)).groupBy("lit", "val").agg(F.count("*").alias("n"), F.sum("is_win").alias("k")).where("n >= 20")
+    best = singles.withColumn("lcb", F.round(stats.wilson(F.col("k"), F.col("n"))[0], 9)).orderBy(F.desc("lcb"), F.desc("n"), "lit", "val").limit(30)
+    fit = best.groupBy().agg(F.collect_set(F.struct("lit", "val")).alias("fit"))  # 30 at most
+    held = F.filter(F.array(*[F.struct(F.lit(c).alias("lit"), F.col(c).alias("val")) for c in sorted(LITS)]), lambda p: F.array_contains("fit", p))
+    rows_ = done.crossJoin(F.broadcast(fit)).select("is_win", held.alias("l")).select("is_win", F.expr("explode(flatten(transform(l, (a, i) -> transform(slice(l, i + 2, size(l)), b -> struct(a, b)))))").alias("p"))
+    g = rows_.groupBy(F.col("p.a.lit").alias("lit1"), F.col("p.a.val").alias("val1"), F.col("p.b.lit").alias("lit2"), F.col("p.b.val").alias("val2"))
+    return g.agg(F.count("*").alias("n"), F.sum("is_win").alias("k")).where("n >= 20")
+
+
+PAIRS = f"""{OUT}, dn AS (SELECT * FROM ev WHERE is_win + is_loss = 1), one AS ({ONE.replace('FROM ev', 'FROM dn')}), s AS (SELECT lit, val, count(*) AS n, sum(is_win) AS k FROM one GROUP BY 1, 2 HAVING count(*) >= 20),
+best AS (SELECT lit, val FROM s ORDER BY round({wilson_sql('k', 'n')[0]}, 9) DESC, n DESC, lit, val LIMIT 30), two AS ({TWO.replace('FROM ev', 'FROM dn')}),
+pairs AS (SELECT lit1, val1, lit2, val2, count(*) AS n, CAST(sum(is_win) AS BIGINT) AS k FROM two WHERE (lit1, val1) IN (SELECT (lit, val) FROM best) AND (lit2, val2) IN (SELECT (lit, val) FROM best) GROUP BY ALL HAVING count(*) >= 20)"""
+
+
+@query("patterns_pairs", f"WITH {PAIRS} SELECT lit1, val1, lit2, val2, n, k, {r(wilson_sql('k', 'n')[0], 'lcb')} FROM pairs")
+def patterns_pairs(spark, sf_dir):
+    return _pattern_pairs(spark, sf_dir).withColumn("lcb", stats.wilson(F.col("k"), F.col("n"))[0])
+
+
+@query("patterns_union", f"WITH {PAIRS} SELECT 'single' AS source, lit || '==' || val AS pattern, n, CAST(k AS BIGINT) AS k FROM s UNION ALL SELECT 'pair', lit1 || '==' || val1 || ' & ' || lit2 || '==' || val2, n, k FROM pairs")
+def patterns_union(spark, sf_dir):
+    done = outcomes(spark, sf_dir).where("is_win + is_loss = 1")
+    singles = mining.literals(done, list(LITS)).groupBy("lit", "val").agg(F.count("*").alias("n"), F.sum("is_win").alias("k")).where("n >= 20")
+    a = singles.select(F.lit("single").alias("source"), mining.rule_id(("lit", "val")).alias("pattern"), "n", "k")
+    b = _pattern_pairs(spark, sf_dir).select(F.lit("pair").alias("source"), mining.rule_id(("lit1", "val1"), ("lit2", "val2")).alias("pattern"), "n", "k")
+    return a.unionByName(b)
