@@ -139,8 +139,8 @@ WITH RECURSIVE w AS (
   FROM documents
 ),
 s AS (
-  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([w[i:i+4] FOR i IN range(1, len(w) - 3)])
-                      WHEN len(w) > 0 THEN [w] ELSE [] END AS s
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] FOR i IN range(1, len(w) - 3)])
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
   FROM w
 ),
 x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
