@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.cluster import partitions, small
+from tidemark.llm.cluster import partitions, saved, small
 from tidemark.llm.vocabulary import in_pieces, word_encoder
 from tidemark.llm.words import column_bytes
 
@@ -46,50 +45,65 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return ranks
 
 
-def _counter(path: str, end_id: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Occurrences of each id in this task's texts, from the counts of their words."""
-        encoder, totals = word_encoder(path), np.zeros(0, dtype=np.int64)
+def _encode(path: str, end_id: int):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's ids and the end id."""
+        encoder, end = word_encoder(path), np.uint32(end_id).tobytes()
         for batch in batches:
+            at = 0
             for texts in in_pieces(column_bytes(batch.column("text"))):
-                words = Counter(w for t in texts for w in t.split())
-                coded = encoder.ids([[w] for w in words])
-                ids = np.frombuffer(b"".join(coded), dtype="<u4")
-                found = np.bincount(ids, np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(c) // 4 for c in coded]), max(len(totals), end_id + 1)).astype(np.int64)
-                found[end_id] += len(texts)
-                found[: len(totals)] += totals
-                totals = found
-        used = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(totals[used])], names=["id", "n"])
+                coded = [c + end for c in encoder.ids([t.split() for t in texts])]
+                kept = [batch.column(c).slice(at, len(coded)) for c in ("doc_id", "hash")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([_narrow(c) for c in coded], pa.binary())], names=["doc_id", "hash", "ids"])
+                at += len(coded)
+
+    return encode
+
+
+def _narrow(ids: bytes) -> bytes:
+    """Ids for the way between tasks: a byte for their width, then 16 bits each where they all fit."""
+    values = np.frombuffer(ids, dtype="<u4")
+    return b"\2" + values.astype("<u2").tobytes() if values.max(initial=0) < 1 << 16 else b"\4" + ids
+
 
-    return count
+def _wide(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, dtype=f"<u{ids[0]}", offset=1)
 
 
-def _writer(path: str, end_id: int, rank_of: np.ndarray):
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of each id in this task's documents."""
+    totals = np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        for ids in batch.column("ids").to_pylist():
+            found = np.bincount(_wide(ids), minlength=len(totals))
+            found[: len(totals)] += totals
+            totals = found
+    used = np.flatnonzero(totals)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(totals[used])], names=["id", "n"])
+
+
+def _writer(rank_of: np.ndarray):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments of this task's documents, in the order they come."""
-        encoder, end = word_encoder(path), np.uint32(end_id).tobytes()
         first = segment = size = 0
         doc_ids, coded, shard = [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal first, segment, size, doc_ids, coded
-            lengths = [len(c) // 4 for c in coded]
-            control, data = pack(rank_of[np.frombuffer(b"".join(coded), dtype="<u4")])
-            row = {"shard": shard, "segment": segment, "first": first, "doc_ids": doc_ids, "lengths": lengths, "n_tokens": sum(lengths), "control": control, "data": data}
-            first, segment, size, doc_ids, coded = first + sum(lengths), segment + 1, 0, [], []
+            lengths = [len(c) for c in coded]
+            control, data = pack(np.concatenate(coded))
+            row = {"shard": shard, "segment": segment, "first": first, "doc_ids": doc_ids, "lengths": lengths, "n_tokens": size, "control": control, "data": data}
+            first, segment, size, doc_ids, coded = first + size, segment + 1, 0, [], []
             return pa.RecordBatch.from_pylist([row], schema=_SEGMENT_ARROW)
 
         for batch in batches:
-            ids, at = batch.column("doc_id").to_pylist(), 0
             shard = batch.column("shard")[0].as_py() if len(batch) else shard
-            for texts in in_pieces(column_bytes(batch.column("text"))):
-                for c in encoder.ids([t.split() for t in texts]):
-                    doc_ids.append(ids[at])
-                    coded.append(c + end)
-                    at, size = at + 1, size + len(c) // 4 + 1
-                    if size >= SEGMENT:
-                        yield flush()
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                doc_ids.append(doc_id)
+                coded.append(rank_of[_wide(ids)])
+                size += len(coded[-1])
+                if size >= SEGMENT:
+                    yield flush()
         if coded:
             yield flush()
 
@@ -113,15 +127,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     in both are interchangeable. Empty table: no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = texts.select("text").mapInArrow(_counter(tokenizer_path, end_id), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    tokens = saved(texts.mapInArrow(_encode(tokenizer_path, end_id), "doc_id long, hash long, ids binary"), "token-ids", compression="zstd")
+    counts = tokens.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ids = [r["id"] for r in sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))]  # a row for each id of the vocabulary at most
     spark.createDataFrame(list(enumerate(ids)), "rank int, id long").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(max(ids, default=0) + 1, dtype=np.uint32)
     rank_of[ids] = np.arange(len(ids), dtype=np.uint32)
-    ranged = texts.withColumn("hash", F.xxhash64("text")).repartitionByRange(partitions(spark), "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
-    ranged = ranged.select("doc_id", "text", F.spark_partition_id().alias("shard"))
-    ranged.mapInArrow(_writer(tokenizer_path, end_id, rank_of), SEGMENT_SCHEMA).write.parquet(f"{path}/segments", compression="zstd")
+    ranged = tokens.repartitionByRange(partitions(spark), "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    ranged = ranged.select("doc_id", "ids", F.spark_partition_id().alias("shard"))
+    ranged.mapInArrow(_writer(rank_of), SEGMENT_SCHEMA).write.parquet(f"{path}/segments", compression="zstd")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

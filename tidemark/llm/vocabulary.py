@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
 
-import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer  # noqa: E402
 
 #: Words kept encoded in one Python worker; beyond that the cache starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 #: Longer words are encoded each time.
 LONG_WORD = 64
 
@@ -31,28 +34,73 @@ def tokenizer(path: str) -> Tokenizer:
     return loaded
 
 
+#: Words of printable ASCII but the apostrophe and < (of special strings) and of Latin-1 letters, and their parts once they are lower-cased.
+_PLAIN = re.compile(r"[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+_PARTS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
+# The normaliser and the pattern of vocabularies for which that cut is right.
+_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Encodes texts word by word for a tokenizer whose tokens never hold white space and ignore it.
 
     Such a tokenizer splits at white space whatever stands around it, no token or special string holds any, and
     its normaliser (NFC, lower case) doesn't reach across ASCII white space. So a text's ids are those of its
-    words (split at space and \\t-\\r), each encoded by the library, one after the other.
+    words (split at space and \\t-\\r), each encoded by the library, one after the other. Plain words of a known
+    normaliser and pattern are cut into their parts here and go straight to the library's BPE model.
     """
 
     def __init__(self, path: str):
-        self.library, self.known = tokenizer(path), {}
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each word."""
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        self.library, self.known, self.parts = tokenizer(path), {}, {}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        splits = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.direct = kinds == _NORMALIZER and splits == [_SPLIT, None] and all("<" in t["content"] for t in spec["added_tokens"])
+        self.model = self.library.model
+        self.letters = byte_letters()
+
+    def learn(self, words: list[bytes]) -> None:
+        """Adds the ids of words to the cache, as little-endian unsigned 32-bit integers."""
+        known, parts, whole = self.known, self.parts, []
+        if len(parts) > CACHED_WORDS:
+            parts.clear()
+        for w in words:
+            text = w.decode()
+            if not self.direct or not _PLAIN(text):
+                whole.append((w, text))
+                continue
+            text = text.lower()
+            if text in parts:
+                known[w] = parts[text]
+            elif text.isalpha():
+                known[w] = self.part(text)
+            else:
+                known[w] = b"".join([parts[x] if x in parts else self.part(x) for x in _PARTS(text)])
+        coded = self.library.encode_batch_fast([t for _, t in whole], add_special_tokens=False)
+        known.update((w, array("I", e.ids).tobytes()) for (w, _), e in zip(whole, coded, strict=True))
+
+    def part(self, text: str) -> bytes:
+        """Ids of a part of a plain word."""
+        coded = self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(self.letters))
+        self.parts[text] = out = array("I", [t.id for t in coded]).tobytes()
+        return out
 
     def ids(self, texts: list[list[bytes]]) -> list[bytes]:
         """Ids of each text, given as its words, as little-endian unsigned 32-bit integers."""
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
-        fresh = list({w for words in texts for w in set(words) if w not in known})
-        known.update(zip(fresh, self.encode(fresh), strict=True))
+        fresh = [w for w in set(chain.from_iterable(texts)) if w not in known]
+        self.learn(fresh)
         out = [b"".join([known[w] for w in words]) for words in texts]
         for w in fresh:
             if len(w) > LONG_WORD:
