@@ -92,8 +92,8 @@ def _spliced(huge: DataFrame, path: str, overlap: int) -> DataFrame:
     coded = chunks.mapInArrow(_encode(path, overlap), f"uid long, doc_id long, n_bytes long, chunk long, last boolean, n long, head {_MARKS}, tail {_MARKS}")
     by_doc = Window.partitionBy("uid").orderBy("chunk")
     coded = coded.withColumn("next", F.lead("head").over(by_doc))
-    coded = coded.withColumn("left", F.expr("filter(tail, t -> exists(next, h -> h.a = t.a and h.b = t.b and h.id = t.id))[0]"))
-    coded = coded.withColumn("right", F.expr("filter(next, h -> h.a = left.a and h.b = left.b and h.id = left.id)[0]"))
+    coded = coded.withColumn("left", F.expr("get(filter(tail, t -> exists(next, h -> h.a = t.a and h.b = t.b and h.id = t.id)), 0)"))
+    coded = coded.withColumn("right", F.expr("get(filter(next, h -> h.a = left.a and h.b = left.b and h.id = left.id), 0)"))
     upto = F.when(F.col("last"), F.col("n")).otherwise(F.col("left.k"))
     coded = coded.withColumn("part", upto - F.when(F.col("chunk") == 0, 0).otherwise(F.lag("right.k").over(by_doc)))
     whole = F.count("*") == F.count("part")
