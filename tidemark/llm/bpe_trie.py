@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,19 +15,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.vocabulary import byte_letters
+
 #: How byte-level vocabularies cut texts into words; fixed by the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space before a character that isn't white space always begins a word of PATTERN.
 _SPACE = re.compile(r" (?=\S)")
 #: A worker's trie and word cache start anew beyond these sizes; longer words get no nodes.
-NODES, CACHED, LONG_WORD = 400_000, 300_000, 128
-
-
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+NODES, CACHED, LONG_WORD = 1_000_000, 400_000, 128
 
 
 class TrieEncoder:
@@ -41,7 +37,7 @@ class TrieEncoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        letters = byte_letters()
+        letters = {letter: byte for byte, letter in byte_letters().items()}
         vocab: dict[str, int] = model["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.bytes = {i: bytes(letters[c] for c in token) for token, i in vocab.items() if token not in self.special}
@@ -66,8 +62,9 @@ class TrieEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.child: dict[tuple[int, int], int] = {}
+        self.child: dict[int, int] = {}  # node * 256 + byte: the node below
         self.last, self.before = [-1], [-1]
+        self.coded: dict[bytes, bytes] = {}
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # segments at a text's start, and after a space
         if len(self.apart) > NODES:
             self.apart.clear()
@@ -99,47 +96,71 @@ class TrieEncoder:
 
     def state(self, word: bytes, d: int, path: list[int], last: list[int]) -> tuple[int, int]:
         """Last token of word[:d] and the node before it; path[k] is the node of word[:k]."""
-        found = None
+        tails, of_bytes, apart = self.tails, self.of_bytes, self.apart
+        fits = []
         for k in range(d - 1, -1, -1):
             tail = word[k:d]
-            if tail not in self.tails:
+            if tail not in tails:
                 break
-            token = self.of_bytes.get(tail)
-            if token is not None and (k == 0 or self.stay_apart(last[path[k]], token)):
-                found = token, path[k]
-                if k and d - k > 1:
+            token = of_bytes.get(tail)
+            if token is not None:
+                fits.append((k, token))
+        for k, token in reversed(fits):  # the longest first: it fits most often
+            if k == 0:
+                return token, 0
+            pair = (last[path[k]], token)
+            free = apart.get(pair)
+            if free or free is None and self.stay_apart(*pair):
+                return token, path[k]
+        raise ValueError("the vocabulary lacks a byte")
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of sorted words, as little-endian unsigned 32-bit integers.
+
+        Each word goes on from the path it shares with the one before; a long word walks a trie of its own.
+        """
+        out, path, previous = [], [0], b""
+        child, last, before = self.child, self.last, self.before
+        for word in words:
+            if len(word) > LONG_WORD:
+                child, last, before, path, previous = {}, [-1], [-1], [0], b""
+            shared = 0
+            for x, y in zip(word, previous):
+                if x != y:
                     break
-        return found
-
-    def encode_word(self, word: bytes) -> list[int]:
-        """Ids of a word; adds its nodes to the trie, or walks a path of its own if it is long."""
-        if len(word) > LONG_WORD:
-            child, last, before = {}, [-1], [-1]
-        else:
-            child, last, before = self.child, self.last, self.before
-        path = [0]
-        for d in range(1, len(word) + 1):
-            step = (path[-1], word[d - 1])
-            node = child.get(step)
-            if node is None:
-                token, prior = self.state(word, d, path, last)
-                node = child[step] = len(last)
-                last.append(token)
-                before.append(prior)
-            path.append(node)
-        node, ids = path[-1], []
-        while node:
-            ids.append(last[node])
-            node = before[node]
-        return ids[::-1]
+                shared += 1
+            del path[shared + 1 :]
+            node = path[-1]
+            for d in range(shared, len(word)):
+                step = node << 8 | word[d]
+                node = child.get(step)
+                if node is None:
+                    token, prior = self.state(word, d + 1, path, last)
+                    node = child[step] = len(last)
+                    last.append(token)
+                    before.append(prior)
+                path.append(node)
+            ids = []
+            while node:
+                ids.append(last[node])
+                node = before[node]
+            out.append(array("I", ids[::-1]).tobytes())
+            previous = word
+            if len(word) > LONG_WORD:
+                child, last, before, path, previous = self.child, self.last, self.before, [0], b""
+        return out
 
     def learn(self, segments: set[str], spaced: int) -> None:
-        """Encodes segments that the cache lacks, their distinct words in sorted order."""
-        known = self.known[spaced]
-        cut = {s: [w.encode() for w in self.words.findall(" " + s if spaced else s)] for s in segments if s not in known}
-        coded = {w: self.encode_word(w) for w in sorted({w for words in cut.values() for w in words})}
-        for s, words in cut.items():
-            known[s] = np.array([i for w in words for i in coded[w]], dtype="<u4").tobytes()
+        """Encodes segments that the cache lacks: their new distinct words go into the trie in sorted order."""
+        known, coded = self.known[spaced], self.coded
+        cut = [(s, [w.encode() for w in self.words.findall(" " + s if spaced else s)]) for s in segments if s not in known]
+        fresh = sorted({w for _, words in cut for w in words if w not in coded})
+        coded.update(zip(fresh, self.encode_words(fresh), strict=True))
+        for s, words in cut:
+            known[s] = b"".join([coded[w] for w in words])
+        for w in fresh:
+            if len(w) > LONG_WORD:
+                del coded[w]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
