@@ -21,6 +21,8 @@ CHUNKS, SLOTS, BITS = 14, 4, 16
 #: Errors allowed in a chunk. Pairs with up to DISTANCE differing values share a chunk with at most that many.
 ERRORS = 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: Buckets of more classes than this are crowded: their classes' shingles are counted to bound similarities.
+CROWD = 8
 #: Link: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
 
@@ -88,6 +90,28 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("cid"), sets], names=["cid", "items"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = list(shingle_sets(column_bytes(batch.column("text"))))
+        if sets:
+            cids = np.repeat(batch.column("cid").to_numpy(zero_copy_only=False), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(np.concatenate(sets).view(np.int64))], names=["cid", "shingle"])
+
+
+def _rare(crowd: DataFrame, docs: DataFrame) -> DataFrame:
+    """owners: the classes (ascending) that have a shingle which one to three texts of `crowd` (cid, __uid) have; a row a shingle."""
+    found = docs.join(crowd, F.col("uid") == F.col("__uid")).select("cid", "text").mapInArrow(_shingles, "cid long, shingle long")
+    owners = found.groupBy("shingle").agg(F.count("*").alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.bit_xor("cid").alias("x")).where("n <= 3")
+    third = F.when(F.col("n") == 3, F.expr("x ^ lo ^ hi")).otherwise(F.col("lo"))
+    return owners.select(F.array_sort(F.array_distinct(F.array("lo", third, "hi"))).alias("owners"))
+
+
+def _bound(a: str, b: str) -> Column:
+    """Whether the similarity can be reached by shingles that aren't rare; pairs with a rare one in common are compared besides."""
+    common = F.least(F.col(f"{a}.n") - F.col(f"{a}.rare"), F.col(f"{b}.n") - F.col(f"{b}.rare"))
+    return ~F.col(f"{a}.crowded") | (100 * common >= SIMILARITY * (F.col(f"{a}.n") + F.col(f"{b}.n") - common))
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
@@ -123,6 +147,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. In each bucket all members are compared with the least one; links are confirmed on full sets and joined to
        components, so that a group of near copies costs one comparison a member and bucket.
     4. Then all pairs of a bucket that are still in different components are compared, in the first bucket they share.
+       In crowded buckets rare shingles, which three texts of all crowds have at most, bound what two classes without
+       a rare one in common can share; pairs with one are listed by it. So a copy changed so much that it left its
+       group, whose new shingles hardly anyone has, isn't compared with all the others.
 
     No words, empty or null text: an empty set, n_shingles 0, linked with nothing. Rows equal in id and text get
     equal results. A null id takes part, but names no component unless all ids of it are null (component_id is
@@ -152,13 +179,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = small(joined, "dedup-labels")
     labelled = buckets.join(labels, F.col("cid") == F.col("node"), "left").select("key", "chunk", "cid", F.coalesce("root", "cid").alias("label"))
     labelled = saved(labelled, "dedup-labelled")
-    mixed = labelled.groupBy(F.col("key").alias("__key")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    open_ = labelled.join(mixed.select("__key"), F.col("key") == F.col("__key"), "left_semi")
-    open_ = saved(open_.join(side.withColumnRenamed("cid", "__cid"), F.col("cid") == F.col("__cid")).drop("__cid"), "dedup-open")
+    mixed = labelled.groupBy(F.col("key").alias("__key")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count("*") > CROWD).alias("crowded")).where("lo < hi")
+    open_ = saved(labelled.join(mixed.select("__key", "crowded"), F.col("key") == F.col("__key")).drop("__key"), "dedup-mixed")
+    crowd = open_.where("crowded").select(F.col("cid").alias("__in")).distinct()
+    crowd = small(classes.join(crowd, F.col("cid") == F.col("__in"), "left_semi").select("cid", F.col("uid").alias("__uid")), "dedup-crowd")
+    rare = saved(_rare(crowd, docs), "dedup-rare")
+    burden = small(rare.select(F.explode("owners").alias("__rc")).groupBy("__rc").agg(F.count("*").alias("rare")), "dedup-burden")
+    open_ = open_.join(side.withColumnRenamed("cid", "__cid"), F.col("cid") == F.col("__cid")).join(burden, F.col("cid") == F.col("__rc"), "left")
+    open_ = saved(open_.withColumn("rare", F.coalesce("rare", F.lit(0))).drop("__cid", "__rc"), "dedup-open")
     x, y = open_.alias("x"), open_.alias("y")
     first_shared = reduce(and_, [(d > ERRORS) | (F.lit(i) >= F.col("x.chunk")) for i, d in enumerate(_differing("x", "y"))])
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label"))
-    cross = x.join(y, apart & _may_link("x", "y") & first_shared).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    cross = x.join(y, apart & _bound("x", "y") & _may_link("x", "y") & first_shared).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    by_rare = rare.where("size(owners) > 1").select(F.expr("explode(filter(array(struct(owners[0] AS a, owners[1] AS b), struct(owners[0] AS a, get(owners, 2) AS b), struct(owners[1] AS a, get(owners, 2) AS b)), p -> p.b IS NOT NULL))").alias("p"))
+    by_rare = by_rare.select("p.a", "p.b").distinct().join(side.alias("x"), F.col("a") == F.col("x.cid")).join(side.alias("y"), F.col("b") == F.col("y.cid"))
+    cross = cross.union(by_rare.where(_may_link("x", "y")).select("a", "b")).distinct()
     cross = saved(cross.join(stars, ["a", "b"], "left_anti"), "dedup-cross")
     more = saved(_confirmed(cross, classes, docs), "dedup-more-links")
     if more.isEmpty():
