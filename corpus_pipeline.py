@@ -40,7 +40,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", recognised), ("quality", good), ("near-dedup", deduplicated), ("mix", mixed), ("bpe", encoded)]
 
-#: No SQL can express the tokenizer or the language filters; tests hold each stage against a brute-force version.
+#: No SQL can express the tokenizer or the language filters; tests hold the operators behind the stages against brute force or the library.
 ORACLE_SQL = None
 
 
