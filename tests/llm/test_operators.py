@@ -218,6 +218,26 @@ def test_licences(docs, empty):
     assert license_scan.scan(docs).count() == len(rows()) and license_scan.scan(empty).count() == 0
 
 
+def test_licences_of_many_notices_by_brute_force(spark):
+    notices = [text for _, text, _ in license_scan.TEMPLATES]
+    files = [" foo ".join(notices), " foo ".join(notices[::-1]), *(" bar ".join(x) for x in itertools.combinations(notices, 3))]
+    common = [f"{n} baz" for n in notices[:2] + notices[9:10] for _ in range(40)]
+    texts = files + common + [n.replace("license", "licence") for n in notices]
+    found = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        words, labels, score = text.split(), set(), 0.0
+        for label, template, keys in license_scan.TEMPLATES:
+            want = template.split()
+            indexed, needed = [k for k, w in enumerate(want) if w not in license_scan.FILLERS], license_scan._key_places(template, keys)
+            for shift in range(-len(want), len(words)):
+                here = {k for k in indexed if 0 <= shift + k < len(words) and words[shift + k] == want[k]}
+                if here.issuperset(needed):
+                    labels.add(label)
+                    score = max(score, len(here) / len(indexed))
+        assert set(filter(None, found[i]["labels"].split(","))) - set(license_scan.PHRASES.values()) == labels and found[i]["score"] == score, text
+    assert set(found[0]["labels"].split(",")) == {label for label, _, _ in license_scan.TEMPLATES} | {"cc-by", "gpl"}
+
+
 def test_top_products(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, rng.normal(size=8).round(2).tolist()) for i in range(700)]

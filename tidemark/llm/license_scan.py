@@ -1,8 +1,8 @@
-"""Licence scan by a positional index of rare words (operator 3); DataFrame functions only."""
+"""Licence scan by a positional index of the templates' words (operator 3); DataFrame functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.cluster import saved, small
@@ -26,8 +26,6 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
 ]
 FILLERS = {"a", "and", "any", "are", "for", "in", "into", "is", "of", "or", "the", "this", "to", "with"}
-#: A file's words of highest IDF that are looked up, and how many of them must agree on a template's place.
-LOOKUPS, AGREEING = 16, 2
 
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -56,16 +54,15 @@ def lowered(text: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs.
 
-    Words are runs of 0-9, a-z and characters beyond ASCII. Base: the places of PHRASES. Templates: of each file's
-    licence words the LOOKUPS with the highest IDF over all documents are looked up in the index of the templates'
-    words; postings with the same relative place count together, and a template is found where AGREEING of them
-    agree and all words of its key phrases stand at that place. score: the largest part of a found template's indexed
-    words that stand in place, 0 if none is found.
+    Words are runs of 0-9, a-z and characters beyond ASCII. Base: the places of PHRASES. Templates: all licence words
+    of a file are looked up in the index of the templates' words, however many notices it holds; postings with the same
+    relative place count together, and a template is found where all words of its key phrases stand at that place.
+    score: the largest part of a found template's indexed words that stand in place, 0 if none is found.
 
-    Null or empty text: no words, no labels, score 0. Ties in IDF go by the word. Rows equal in id and text get
-    equal results; a null id is an id. Empty table: no rows. Other columns are ignored.
+    Null or empty text: no words, no labels, score 0. Rows equal in id and text get equal results; a null id is an id.
+    Empty table: no rows. Other columns are ignored.
 
-    Only places of licence words leave the scan of the texts; index and IDF are as small as the templates.
+    Only places of licence words leave the scan of the texts; the index is as small as the templates.
     """
     spark = docs.sparkSession
     vocabulary = sorted({w for w, _, _ in _postings()} | {w for p in PHRASES for w in p.split()})
@@ -76,16 +73,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     indexed = sorted({w for w, _, _ in _postings()})
     spots = base.select("__id", "__hash", F.explode("__at").alias("o")).select("__id", "__hash", F.col("o.i").alias("i"), F.col("o.w").alias("w")).where(F.col("w").isin(indexed))
-    # Documents with each word; the least frequent have the highest IDF. One row for each word of the index at most.
-    seen = spots.select("__id", "__hash", "w").distinct().groupBy(F.col("w").alias("__w")).agg(F.count("*").alias("df"))
-    rarity = F.broadcast(saved(seen.withColumn("rarity", F.row_number().over(Window.orderBy("df", "__w"))), "licence-idf"))
-    ranked = spots.join(rarity, F.col("w") == F.col("__w")).withColumn("__rank", F.dense_rank().over(Window.partitionBy("__id", "__hash").orderBy("rarity")))
     postings = F.broadcast(spark.createDataFrame([(w, t, i) for w, t, i in _postings()], "pw string, template int, place int"))
-    votes = ranked.join(postings, F.col("w") == F.col("pw")).withColumn("shift", F.col("i") - F.col("place"))
-    grouped = votes.groupBy("__id", "__hash", "template", "shift").agg(F.countDistinct(F.when(F.col("__rank") <= LOOKUPS, F.col("w"))).alias("agreeing"), F.collect_set("place").alias("places"))
+    votes = spots.join(postings, F.col("w") == F.col("pw")).withColumn("shift", F.col("i") - F.col("place"))
+    grouped = votes.groupBy("__id", "__hash", "template", "shift").agg(F.collect_set("place").alias("places"))
     sizes = [sum(1 for _, t, _ in _postings() if t == k) for k in range(len(TEMPLATES))]
     checks = F.broadcast(spark.createDataFrame([(k, label, _key_places(words, keys), sizes[k]) for k, (label, words, keys) in enumerate(TEMPLATES)], "t int, label string, keys array<int>, of int"))
-    found = grouped.where(F.col("agreeing") >= AGREEING).join(checks, F.col("template") == F.col("t")).where(F.size(F.array_except("keys", "places")) == 0)
+    found = grouped.join(checks, F.col("template") == F.col("t")).where(F.size(F.array_except("keys", "places")) == 0)
     found = found.groupBy(F.col("__id").alias("__fi"), F.col("__hash").alias("__fh")).agg(F.collect_set("label").alias("found"), F.max(F.size("places") / F.col("of")).alias("best"))
 
     out = base.join(small(found, "licence-found"), F.col("__id").eqNullSafe(F.col("__fi")) & (F.col("__hash") == F.col("__fh")), "left")
