@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,32 @@ def test_walkforward_from_files(spark, tmp_path):
         walkforward.validated({**cfg, "data": {**cfg["data"], "months": {"start": "2024-01"}}})
 
 
+def test_rules_use_binned_counters(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [("S", i, "long", f"2024-0{1 + i % 3}", rng.randrange(3), rng.choice([None, *map(float, range(40))]), rng.choice([0.0] * 5 + [0.25, 0.5, 1.0]), rng.choice(["win", "loss"]), i % 11 == 0) for i in range(400)]
+    names = ["qbin_a", "since_lowbin_a", "occ_lowbin_a_W60"]
+    df = spark.createDataFrame(rows, f"symbol string, ts long, side string, ym string, {names[0]} int, {names[1]} double, {names[2]} float, outcome string, preempted boolean")
+    df.write.parquet(str(tmp_path / "S" / "fold_0" / "labels.parquet"))
+    cfg = {"io": {"outputs_root": str(tmp_path)}, "features": {"age": {"n_bins_feature": 4}}, "mining": {"rules": {"min_support": 1, "min_months": 1, "min_wins": 1, "max_terms": 1}}}
+    fold = walkforward.Fold(spark, cfg, "S", 0, ["2024-01", "2024-02"], ["2024-03"])
+    want, bins = {}, {}
+    train = [r for r in rows if r[3] != "2024-03" and not r[8]]
+    for k, name in ((5, names[1]), (6, names[2])):
+        edges = np.quantile([r[k] for r in train if r[k] is not None], [0.25, 0.5, 0.75]).tolist()
+        for i in (1, 2):
+            edges[i] = edges[i] if edges[i] > edges[i - 1] else edges[i - 1] + 1e-12
+        bins[name] = {r[1]: None if r[k] is None else sum(e <= r[k] for e in edges) for r in rows}
+        for r in train:
+            if r[k] is not None:
+                at = want.setdefault(f"B_{name}=={bins[name][r[1]]}", [0, 0])
+                at[r[7] == "loss"] += 1
+    got = {r["rule_id"]: [r["wins"], r["losses"]] for r in fold.table("rules").collect()}
+    assert {k: v for k, v in got.items() if k.startswith("B_")} == {k: v for k, v in want.items() if v[0]} and any(k.startswith("qbin_a==") for k in got)
+    for name, by in bins.items():
+        assert {r["ts"]: r[f"B_{name}"] for r in fold._events().collect()} == by
+    assert fold._literals(fold._events()) == ["qbin_a", "B_since_lowbin_a", "B_occ_lowbin_a_W60"]
+
+
 def test_gate_learns_and_calibrates(spark):
     rng = random.Random(2)
     rows = [(i, rng.randrange(3), rng.randrange(2)) for i in range(400)]

@@ -59,16 +59,23 @@ def nonlinear_features(df: DataFrame, include: list[str], small: int = 15, mid:
     return df.withColumns({f"nl_{n}": names[n] for n in include if n in names}).drop(*steps)
 
 
-def quantile_edges(train: DataFrame, columns: list[str], n_bins: int, keys: tuple[str, ...] = W.SERIES) -> DataFrame:
-    """One row a series: edges_<column>, the inner linear-interpolation quantiles of the training rows."""
+def _rising(edges: Column) -> Column:
+    """Edges of which none equals the one before: such a one is 1e-12 above it."""
+    before = lambda done: F.get(done, F.size(done) - 1)
+    return F.aggregate(edges, F.array().cast("array<double>"), lambda done, e: F.concat(done, F.array(F.when(e <= before(done), before(done) + 1e-12).otherwise(e))))
+
+
+def quantile_edges(train: DataFrame, columns: list[str], n_bins: int, keys: tuple[str, ...] = W.SERIES, rising: bool = False) -> DataFrame:
+    """One row a series: edges_<column>, the inner linear-interpolation quantiles of the training rows; rising: without equal ones."""
     at = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
-    return train.groupBy(*keys).agg(*[F.percentile(c, at).alias(f"edges_{c}") for c in columns])
+    edges = {c: F.percentile(c, at) for c in columns}
+    return train.groupBy(*keys).agg(*[(_rising(e) if rising else e).alias(f"edges_{c}") for c, e in edges.items()])
 
 
-def with_bins(df: DataFrame, edges: DataFrame, columns: list[str], n_bins: int, prefix: str = "qbin_", keys: tuple[str, ...] = W.SERIES) -> DataFrame:
-    """Adds prefix + column: the bin by the fitted edges; null goes to the top bin."""
+def with_bins(df: DataFrame, edges: DataFrame, columns: list[str], n_bins: int, prefix: str = "qbin_", keys: tuple[str, ...] = W.SERIES, null_bin: Column | None = None) -> DataFrame:
+    """Adds prefix + column: the bin by the fitted edges; null goes to null_bin, the top bin if none is given."""
     joined = df.join(edges, list(keys), "left")
-    bins = {f"{prefix}{c}": interval_bin(F.col(c), F.coalesce(f"edges_{c}", F.array().cast("array<double>")), n_bins) for c in columns}
+    bins = {f"{prefix}{c}": interval_bin(F.col(c), F.coalesce(f"edges_{c}", F.array().cast("array<double>")), n_bins, null_bin) for c in columns}
     return joined.withColumns(bins).drop(*[f"edges_{c}" for c in columns])
 
 

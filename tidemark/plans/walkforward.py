@@ -88,13 +88,23 @@ class Fold:
         keep = self.label.get("no_ticks_policy", "skip") != "skip"
         return labeling.first_touch(cands, ticks, self.label.get("r_mult", 5.0), self.label.get("horizon_hours", 480), self.label.get("intra_bar_epsilon_ms", 1), keep, scale_by_eta="time_scale_from_eta" in self.label)
 
+    def _events(self) -> DataFrame:
+        """Labelled events with since_* and occ_* also in bins (B_*), by quantiles of the training rows that rules are mined from; null stays null."""
+        ev, bins = mining.flagged(self.table("labels")), self.cfg.get("mining", {}).get("rules", {}).get("n_bins_cont")
+        n = int(self.cfg.get("features", {}).get("age", {}).get("n_bins_feature", 5) if bins in (None, "auto") else bins)
+        counters = [c for c in ev.columns if c.startswith(("since_", "occ_"))]
+        edges = features.quantile_edges(self._training(ev), counters, n, rising=True) if counters else None
+        return features.with_bins(ev, edges, counters, n, "B_", null_bin=F.lit(None)) if counters else ev
+
+    def _training(self, ev: DataFrame) -> DataFrame:
+        return ev.where(F.col("ym").isin(self.train) & ~F.col("preempted"))
+
     def _literals(self, df: DataFrame) -> list[str]:
-        return [c for c in df.columns if c.startswith("qbin_")]
+        return [c for c in df.columns if c.startswith(("qbin_", "B_"))]
 
     def rules(self) -> DataFrame:
         spec = self.cfg.get("mining", {}).get("rules", {})
-        ev = self.table("labels")
-        ev = mining.flagged(ev.where(F.col("ym").isin(self.train) & ~F.col("preempted")))
+        ev = self._training(self._events())
         options = {"min_support": spec.get("min_support", 24), "min_wins": spec.get("min_wins", 4), "min_months": spec.get("min_months", 4), "include_timeouts": spec.get("precision_include_timeouts", False), "min_resolve": spec.get("min_resolve_frac", 0.0), "max_timeout": spec.get("max_timeout_rate", 1.0), "z": spec.get("wilson_z", 1.96)}
         lits = self._literals(ev)
         out = mining.mine_single(ev, lits, **options).drop("lit", "val")
@@ -104,9 +114,9 @@ class Fold:
         return out if not spec.get("fdr", {}).get("enabled") else out.where("rejected = 1")
 
     def trades(self) -> DataFrame:
-        rules, ev, spec = self.table("rules"), mining.flagged(self.table("labels")), self.cfg.get("gate", {})
+        rules, ev, spec = self.table("rules"), self._events(), self.cfg.get("gate", {})
         lits = self._literals(ev)
-        train = ev.where(F.col("ym").isin(self.train) & ~F.col("preempted") & (F.col("outcome") != "timeout"))
+        train = self._training(ev).where(F.col("outcome") != "timeout")
         test = ev.where(F.col("ym").isin(self.test))
         kinds = [r[0] for r in train.select("is_win").distinct().limit(2).collect()]
         if len(kinds) < 2:  # nothing to learn from
@@ -118,7 +128,7 @@ class Fold:
         losers = gate.loser_groups([r.asDict() for r in mining.losers(rules).collect()])  # a few rules at most
         out = gate.scored(gate.codes(test, lits), model).withColumn("p_win", gate.probability(models))
         out = gate.entered(out, tau["tau"] if tau else 0.5, losers).where("enter")
-        out = sequential.one_at_a_time(out.drop(*[c for c in out.columns if c.startswith("c_qbin_")]), int(self.label.get("horizon_hours", 480) * HOUR))
+        out = sequential.one_at_a_time(out.drop(*[c for c in out.columns if c.startswith(("c_qbin_", "c_B_"))]), int(self.label.get("horizon_hours", 480) * HOUR))
         fees = self.cfg.get("execution_sim", {}).get("fees", {})
         return labeling.costs(labeling.r_multiple(out, self.label.get("r_mult", 5.0)), fees.get("maker_bps", 1.0), fees.get("taker_bps", 5.0), fees.get("entry_is_maker", False), fees.get("exit_is_maker", True))
 
