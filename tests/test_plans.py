@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate, gate
-from tidemark.plans import walkforward
+from tidemark.plans import reports, walkforward
 from tidemark.sources import series
 from tidemark.streaming import ticks as stream
 
@@ -64,6 +64,37 @@ def test_rules_use_binned_counters(spark, tmp_path):
     assert fold._literals(fold._events()) == ["qbin_a", "B_since_lowbin_a", "B_occ_lowbin_a_W60"]
 
 
+def test_gate_is_chosen_on_held_out_months(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        a, b = rng.randrange(3), rng.randrange(2)
+        month, outcome = 1 + i % 4, "win" if rng.random() < (0.8 if a == 2 else 0.2) else rng.choice(["loss", "loss", "timeout"])
+        ts = 1704067200000 + month * 31 * 86_400_000 + i * 3_600_000
+        rows.append(("S", ts, "long", f"2024-0{month}", a, b, 100.0, 99.0, 1.0, outcome, ts + 1000, 101.0, False))
+    schema = "symbol string, ts long, side string, ym string, qbin_a int, qbin_b int, entry double, level double, risk_dist double, outcome string, outcome_ts long, exit_price double, preempted boolean"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "S" / "fold_0" / "labels.parquet"))
+    cfg = {"io": {"outputs_root": str(tmp_path)}, "labels": {"horizon_hours": 1, "r_mult": 1.0}, "gate": {"target_ppv_lcb": 0.5}, "mining": {"rules": {"min_support": 5, "min_months": 1, "min_wins": 1}}}
+    seen, months = {}, lambda df: {r["ym"] for r in df.select("ym").distinct().collect()}
+    fit, calibrated, threshold = gate.fit, gate.calibrated, evaluate.threshold
+    monkeypatch.setattr(gate, "fit", lambda df, *args, validation=None, **kw: seen.update(fit=months(df), validation=validation and months(validation)) or fit(df, *args, validation=validation, grid=(1.0,), **kw))
+    monkeypatch.setattr(gate, "calibrated", lambda df, *args: seen.update(calibrated=months(df)) or calibrated(df, *args))
+    monkeypatch.setattr(evaluate, "threshold", lambda df, *args: seen.update(threshold=months(df)) or threshold(df, *args))
+    fold = walkforward.Fold(spark, cfg, "S", 0, ["2024-01", "2024-02", "2024-03"], ["2024-04"])
+    trades = fold.table("trades").collect()
+    assert seen == {"fit": {"2024-01", "2024-02"}, "calibrated": {"2024-01", "2024-02"}, "validation": {"2024-03"}, "threshold": {"2024-03"}}
+    rules = sorted((r for r in fold.table("rules").collect() if r["precision_lcb"] >= r["base_p"]), key=lambda r: (-r["precision_lcb"], -r["support_n"], r["rule_id"]))
+    assert rules and trades and {r["ym"] for r in trades} == {"2024-04"}
+    for t in trades:
+        held = [r["rule_id"] for r in rules if all(t[c] == int(v) for c, v in (x.split("==") for x in r["rule_id"].split(" & ")))]
+        assert t["rule_id"] == (held[0] if held else None)
+    assert {t["rule_id"] for t in trades} != {None}
+    assert reports.truth(fold.table("rules"), fold.table("trades")).where("wins + losses > 0").count() > 0
+    one = walkforward.Fold(spark, cfg, "S", 0, ["2024-03"], ["2024-04"])
+    events = one._training(fold._events())
+    assert [x.count() for x in one._split(events)] == [events.count()] * 2  # one month: both parts are all rows
+
+
 def test_gate_learns_and_calibrates(spark):
     rng = random.Random(2)
     rows = [(i, rng.randrange(3), rng.randrange(2)) for i in range(400)]

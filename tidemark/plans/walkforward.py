@@ -10,7 +10,7 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
@@ -113,17 +113,35 @@ class Fold:
         out = mining.false_discovery(out, 1 - F.col("precision_lcb"), spec.get("fdr", {}).get("alpha", 0.1))
         return out if not spec.get("fdr", {}).get("enabled") else out.where("rejected = 1")
 
+    def _split(self, train: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows that the gate is fitted and calibrated on, and those of the last gate.val_months training months, which choose its grid and threshold; an empty part is replaced by all rows."""
+        months = int(self.cfg.get("gate", {}).get("val_months", 1))
+        late = F.col("ym").isin(sorted(set(self.train))[-months:]) if months > 0 else F.lit(False)
+        core, held = train.where(~late), train.where(late)
+        return train if core.isEmpty() else core, train if held.isEmpty() else held
+
+    def _rule_of(self, rules: DataFrame) -> Column:
+        """Id of the first promoted rule that holds, by lower bound."""
+        spec = self.cfg.get("mining", {}).get("rules", {})
+        best = mining.promoted(
+            rules, spec.get("top_k", 25), spec.get("min_precision_uplift_abs", 0.0), spec.get("min_precision_uplift_pp", 0.0), spec.get("min_lift_lcb", 0.0), spec.get("min_resolve_frac", 0.0), spec.get("min_resolve_uplift_pp", 0.0),
+            spec.get("max_timeout_rate", 1.0), spec.get("min_wins", 4), spec.get("abs_min_plcb", spec.get("min_precision_lcb", 0.0)),
+        )
+        best = [r.asDict() for r in best.collect()]  # top_k rules at most
+        return mining.first_match([(r["rule_id"], [(c, "==", v) for c, v in group]) for r, group in zip(best, gate.loser_groups(best, 0), strict=True)])
+
     def trades(self) -> DataFrame:
         rules, ev, spec = self.table("rules"), self._events(), self.cfg.get("gate", {})
         lits = self._literals(ev)
         train = self._training(ev).where(F.col("outcome") != "timeout")
-        test = ev.where(F.col("ym").isin(self.test))
-        kinds = [r[0] for r in train.select("is_win").distinct().limit(2).collect()]
+        test = ev.where(F.col("ym").isin(self.test)).withColumn("rule_id", self._rule_of(rules))
+        core, held = self._split(train)
+        kinds = [r[0] for r in core.select("is_win").distinct().limit(2).collect()]
         if len(kinds) < 2:  # nothing to learn from
             return test.withColumns({"p_win": F.lit(0.0), "enter": F.lit(False)}).limit(0)
-        model = gate.fit(train, "is_win", lits, model=self.cfg.get("ml_gating", {}).get("model", "logreg"))
-        models = gate.calibrated(gate.scored(gate.codes(train, lits), model), "is_win")
-        valid = gate.scored(gate.codes(train, lits), model).withColumn("p_win", gate.probability(models))
+        model = gate.fit(core, "is_win", lits, model=self.cfg.get("ml_gating", {}).get("model", "logreg"), validation=held)
+        models = gate.calibrated(gate.scored(gate.codes(core, lits), model), "is_win")
+        valid = gate.scored(gate.codes(held, lits), model).withColumn("p_win", gate.probability(models))
         tau = evaluate.threshold(valid, "p_win", "is_win", spec.get("target_ppv_lcb", 0.7), spec.get("min_coverage", 0.02)).first()
         losers = gate.loser_groups([r.asDict() for r in mining.losers(rules).collect()])  # a few rules at most
         out = gate.scored(gate.codes(test, lits), model).withColumn("p_win", gate.probability(models))
