@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,28 @@ def test_average_precision_with_ties(spark):
     assert evaluate.average_precision(df, "p", "y").first()[0] == pytest.approx(0.5 * 1 + 0.5 * 2 / 3)
 
 
+def test_metrics_in_pieces(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([0.5, 0.5, rng.random(), round(rng.random(), 2)]), rng.randrange(2)) for i in range(900)]
+    for part in (rows, rows[:1], [(i, 0.5, i % 2) for i in range(40)]):
+        df = spark.createDataFrame(part, "id long, p double, y int").repartition(3)
+        ap, ece, tau = evaluate.average_precision(df, "p", "y"), evaluate.calibration_error(df, "p", "y", 7, "id"), evaluate.threshold(df, "p", "y", 0.5, 0.02)
+        for found in (ap, ece, tau):  # whole tables are sorted within pieces only; sums without a partition are over one row for each piece
+            windows = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if x.strip(" :+-").startswith("Window ")]
+            assert windows and all("__t_" in w or "[__piece#" in w for w in windows)
+        p, y = np.array([r[1] for r in part]), np.array([r[2] for r in part])
+        want, before = 0.0, 0.0
+        for s in sorted(set(p), reverse=True):
+            recall = y[p >= s].sum() / max(y.sum(), 1)
+            want, before = want + (recall - before) * y[p >= s].mean(), recall
+        assert (ap.first()[0] or 0.0) == pytest.approx(want)
+        order = sorted(part, key=lambda r: (r[1], r[0]))
+        bins = [order[k * len(order) // 7 : (k + 1) * len(order) // 7] for k in range(7)]
+        assert ece.first()[0] == pytest.approx(sum(abs(sum(r[1] for r in b) - sum(r[2] for r in b)) for b in bins) / len(order))
+        by_score = df.groupBy("p").agg(F.count("*").alias("n"))
+        assert np.allclose(sorted(r[0] for r in evaluate._quantiles(by_score, 201).collect()), np.quantile(p, np.linspace(0, 1, 201)), rtol=0, atol=1e-12)
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Timestamp,Open,High,Low,Close,volume\n1700000000,1,2,0.5,1.5,9\n1700000060,x,2,0.5,1.5,9\n")
     (tmp_path / "b.csv").write_text("1700000000000,1,2,0.5,1.5,9,0,0,0,0,0,0\n")
