@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Rows with equal sets form a class, which goes on as one.
     2. Classes whose signatures agree on all but one value of a chunk meet in a bucket. Every pair within
-       DISTANCE = 27 of 56 values meets in one (at similarity 0.75 a pair is further apart with a probability of 2e-5).
+       DISTANCE = 27 of 56 values meets in one (at similarity 0.75 a pair is further apart with a probability of 4.9e-5).
     3. In each bucket all members are compared with the least one; links are confirmed on full sets and joined to
        components, so that a group of near copies costs one comparison a member and bucket.
     4. Then all pairs of a bucket that are still in different components are compared, in the first bucket they share.
