@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,39 @@ from tidemark.llm.vocabulary import byte_letters
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space before a character that isn't white space always begins a word of PATTERN.
 _SPACE = re.compile(r" (?=\S)")
-#: A worker's trie and word cache start anew beyond these sizes; longer words get no nodes.
-NODES, CACHED, LONG_WORD = 1_000_000, 400_000, 128
+#: Bytes that a worker's caches of words and of segments (two generations each) and its table of pairs may take, a third each.
+BUDGET = 96 << 20
+#: What an entry takes besides its strings: a slot of the table; for a pair also its key.
+ENTRY_BYTES, PAIR_BYTES = 100, 130
+#: Longer words and segments aren't cached.
+LONG_WORD = 128
+#: Characters worked on at once; a longer text is cut at a space before a word.
+PIECE = 1 << 19
+
+
+class Cache:
+    """Ids of words or segments. When the young entries fill half of the limit the old ones are dropped as a whole; used ones stay young."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old, self.size = limit, {}, {}, 0
+
+    def get(self, key: str | bytes) -> bytes | None:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key: str | bytes, coded: bytes) -> None:
+        if len(key) <= LONG_WORD:
+            self.young[key] = coded
+            self.size += sys.getsizeof(key) + sys.getsizeof(coded) + ENTRY_BYTES
+            if self.size > self.limit // 2:
+                self.young, self.old, self.size = {}, self.young, 0
+
+    def held(self) -> int:
+        return sum(sys.getsizeof(k) + sys.getsizeof(c) + ENTRY_BYTES for known in (self.young, self.old) for k, c in known.items())
 
 
 class TrieEncoder:
@@ -30,8 +63,9 @@ class TrieEncoder:
 
     Pair merges rank every token after its parts, so a boundary of a word's encoding is one of each prefix's that
     reaches it: a prefix's encoding is that of a shorter prefix and one last token, the only one that is a suffix of
-    it and doesn't merge with the token before. Words go into a trie in sorted order, which is depth first; each
-    new node takes its last token from its ancestors' states, so what words begin with is encoded once.
+    it and doesn't merge with the token before. The distinct words of a piece of texts are inserted in sorted order,
+    which visits their trie depth first: a node takes its last token from the states on the path to it, what words
+    begin with is encoded once, and no more than the path to the present word is ever held.
     """
 
     def __init__(self, path: str):
@@ -43,7 +77,6 @@ class TrieEncoder:
         self.bytes = {i: bytes(letters[c] for c in token) for token, i in vocab.items() if token not in self.special}
         self.bytes |= {i: s.encode() for s, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.of_bytes = {b: i for i, b in self.bytes.items() if i not in self.special.values()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
@@ -51,23 +84,57 @@ class TrieEncoder:
             pair = (vocab[left], vocab[right])
             self.merged[pair] = rank
             self.parts[vocab[left + right]] = (*pair, rank)
-        self.tails = {b[k:] for b in self.of_bytes for k in range(len(b))}
+        self.tokens_by_end()
         self.ends: tuple[dict, dict] = ({}, {})
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # left << 32 | right: whether the two stay apart
         size = max(self.bytes) + 1
         self.lengths = np.array([len(self.bytes.get(i, b"")) for i in range(size)], dtype=np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(size)), dtype=np.uint8)
         self.words = regex.compile(PATTERN)
-        self.reset()
-
-    def reset(self) -> None:
-        self.child: dict[int, int] = {}  # node * 256 + byte: the node below
-        self.last, self.before = [-1], [-1]
-        self.coded: dict[bytes, bytes] = {}
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # segments at a text's start, and after a space
-        if len(self.apart) > NODES:
-            self.apart.clear()
+        self.coded_words, self.segments = Cache(BUDGET // 3), Cache(BUDGET // 3)  # segments: those after a space
+
+    def tokens_by_end(self) -> None:
+        """The automaton that follows a word byte by byte and knows the tokens that end there, the longest first."""
+        special = set(self.special.values())
+        self.goes: dict[int, int] = {}  # spot * 256 + byte: the spot below
+        self.ends_here: list[tuple[tuple[int, int], ...]] = [()]  # (length, token)
+        self.falls = array("i", [0])  # the spot of the longest proper suffix that is one
+        level = [(b, i) for i, b in sorted(self.bytes.items()) if i not in special]
+        own: dict[int, tuple[int, int]] = {}
+        spots = {b"": 0}
+        for depth in range(1, max(len(b) for b, _ in level) + 1):  # shorter suffixes are complete before they are needed
+            below: dict[bytes, int] = {}
+            for b, i in level:
+                if len(b) < depth:
+                    continue
+                head = b[:depth]
+                spot = below.get(head)
+                if spot is None:
+                    spot = below[head] = len(self.falls)
+                    above = spots[head[:-1]]
+                    self.goes[above << 8 | head[-1]] = spot
+                    self.falls.append(self.follow(self.falls[above], head[-1]) if above else 0)
+                    self.ends_here.append(())
+                if len(b) == depth:
+                    own[spot] = (depth, i)
+            for spot in below.values():
+                shorter = self.ends_here[self.falls[spot]]
+                self.ends_here[spot] = (own[spot], *shorter) if spot in own else shorter
+            spots, level = below, [x for x in level if len(x[0]) > depth]
+
+    def follow(self, spot: int, byte: int) -> int:
+        while True:
+            after = self.goes.get(spot << 8 | byte)
+            if after is not None:
+                return after
+            if not spot:
+                return 0
+            spot = self.falls[spot]
+
+    def held(self) -> int:
+        """Bytes, as estimated, of what grows with the texts."""
+        return len(self.apart) * PAIR_BYTES + self.coded_words.held() + self.segments.held()
 
     def edge(self, token: int, side: int) -> list[tuple[int, int, float]]:
         """The pieces at the left (0) or right (1) end of a token as it is built: piece, rank made at, rank used at."""
@@ -83,7 +150,7 @@ class TrieEncoder:
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether the two tokens, side by side, are their own encoding: no pair across the gap ever merges."""
-        known = self.apart.get((left, right))
+        known = self.apart.get(left << 32 | right)
         if known is None:
             known = True
             for x, x_made, x_used in self.edge(left, 1):
@@ -91,105 +158,121 @@ class TrieEncoder:
                     rank = self.merged.get((x, y))
                     if rank is not None and x_made < rank < x_used and y_made < rank <= y_used:  # of equal pairs the left one merges first
                         known = False
-            self.apart[left, right] = known
+            if len(self.apart) * PAIR_BYTES > BUDGET // 3:
+                self.apart.clear()
+            self.apart[left << 32 | right] = known
         return known
 
-    def state(self, word: bytes, d: int, path: list[int], last: list[int]) -> tuple[int, int]:
-        """Last token of word[:d] and the node before it; path[k] is the node of word[:k]."""
-        tails, of_bytes, apart = self.tails, self.of_bytes, self.apart
-        fits = []
-        for k in range(d - 1, -1, -1):
-            tail = word[k:d]
-            if tail not in tails:
-                break
-            token = of_bytes.get(tail)
-            if token is not None:
-                fits.append((k, token))
-        for k, token in reversed(fits):  # the longest first: it fits most often
-            if k == 0:
-                return token, 0
-            pair = (last[path[k]], token)
-            free = apart.get(pair)
-            if free or free is None and self.stay_apart(*pair):
-                return token, path[k]
-        raise ValueError("the vocabulary lacks a byte")
-
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of sorted words, as little-endian unsigned 32-bit integers.
-
-        Each word goes on from the path it shares with the one before; a long word walks a trie of its own.
-        """
-        out, path, previous = [], [0], b""
-        child, last, before = self.child, self.last, self.before
+        """Ids of sorted words, as little-endian unsigned 32-bit integers; each goes on from the prefix it shares with the one before."""
+        out, previous, goes, ends_here, apart = [], b"", self.goes, self.ends_here, self.apart
+        # For each depth of the path: the last token of that prefix, where the token begins, and the automaton's spot.
+        last, begins, spots = [-1], [0], [0]
         for word in words:
             if len(word) > LONG_WORD:
-                child, last, before, path, previous = {}, [-1], [-1], [0], b""
+                last, begins, spots, previous = array("i", [-1]), array("i", [0]), array("i", [0]), b""
             shared = 0
             for x, y in zip(word, previous):
                 if x != y:
                     break
                 shared += 1
-            del path[shared + 1 :]
-            node = path[-1]
+            del last[shared + 1 :], begins[shared + 1 :], spots[shared + 1 :]
+            spot = spots[shared]
             for d in range(shared, len(word)):
-                step = node << 8 | word[d]
-                node = child.get(step)
-                if node is None:
-                    token, prior = self.state(word, d + 1, path, last)
-                    node = child[step] = len(last)
-                    last.append(token)
-                    before.append(prior)
-                path.append(node)
-            ids = []
-            while node:
-                ids.append(last[node])
-                node = before[node]
+                spot = goes.get(spot << 8 | word[d]) or self.follow(spot, word[d])
+                for length, token in ends_here[spot]:
+                    begin = d + 1 - length
+                    if not begin:
+                        break
+                    left = last[begin]
+                    free = apart.get(left << 32 | token)
+                    if free or free is None and self.stay_apart(left, token):
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
+                last.append(token)
+                begins.append(begin)
+                spots.append(spot)
+            ids, d = [], len(word)
+            while d:
+                ids.append(last[d])
+                d = begins[d]
             out.append(array("I", ids[::-1]).tobytes())
             previous = word
             if len(word) > LONG_WORD:
-                child, last, before, path, previous = self.child, self.last, self.before, [0], b""
+                last, begins, spots, previous = [-1], [0], [0], b""
         return out
 
-    def learn(self, segments: set[str], spaced: int) -> None:
-        """Encodes segments that the cache lacks: their new distinct words go into the trie in sorted order."""
-        known, coded = self.known[spaced], self.coded
-        cut = [(s, [w.encode() for w in self.words.findall(" " + s if spaced else s)]) for s in segments if s not in known]
-        fresh = sorted({w for _, words in cut for w in words if w not in coded})
-        coded.update(zip(fresh, self.encode_words(fresh), strict=True))
-        for s, words in cut:
-            known[s] = b"".join([coded[w] for w in words])
-        for w in fresh:
-            if len(w) > LONG_WORD:
-                del coded[w]
+    def learn(self, begun: set[str], spaced: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids of segments at a text's start and after a space; the distinct words that no cache knows go through the trie."""
+        first, later, fresh = {}, {}, []
+        for s in spaced:
+            known = self.segments.get(s)
+            if known is None:
+                fresh.append(s)
+            else:
+                later[s] = known
+        cut = [(first, s, [w.encode() for w in self.words.findall(s)]) for s in begun]
+        cut += [(later, s, [w.encode() for w in self.words.findall(" " + s)]) for s in fresh]
+        coded = {w: self.coded_words.get(w) for w in {w for _, _, words in cut for w in words}}
+        words = sorted([w for w, ids in coded.items() if ids is None])
+        for w, ids in zip(words, self.encode_words(words), strict=True):
+            coded[w] = ids
+            self.coded_words.put(w, ids)
+        for found, s, words in cut:
+            found[s] = b"".join([coded[w] for w in words])
+            if found is later:
+                self.segments.put(s, found[s])
+        return first, later
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.last) > NODES or len(self.known[1]) > CACHED:
-            self.reset()
-        pieces = []
-        for text in texts:
-            parts = self.split_special.split(text) if self.split_special and any(s in text for s in self.special) else [text]
-            pieces.append([p if i % 2 else _SPACE.split(p) for i, p in enumerate(parts)])
-        runs = [p for parts in pieces for p in parts[::2]]
-        self.learn({s for run in runs for s in run[:1]}, 0)
-        self.learn({s for run in runs for s in run[1:]}, 1)
-        first, later = self.known
+        if sum(map(len, texts)) <= 2 * PIECE:
+            return self._encode([(t, False) for t in texts])
+        return [b"".join([self._encode([(part, at > 0)])[0] for at, part in enumerate(_cut(t))]) for t in texts]
+
+    def _encode(self, pieces: list[tuple[str, bool]]) -> list[bytes]:
+        """Ids of texts, or of the rest of a text after a space that isn't in it (True)."""
+        texts = []
+        for text, spaced in pieces:
+            runs = self.split_special.split(text) if self.split_special and any(s in text for s in self.special) else [text]
+            runs = [r if i % 2 else _SPACE.split(r) for i, r in enumerate(runs)]
+            texts.append((runs, spaced))
+        begun = {run[0] for runs, spaced in texts for run in runs[2 if spaced else 0 :: 2]}
+        later = {s for runs, spaced in texts for i, run in enumerate(runs[::2]) for s in (run if spaced and not i else run[1:])}
+        first, later = self.learn(begun, later)
         out = []
-        for parts in pieces:
+        for runs, spaced in texts:
             coded = []
-            for i, p in enumerate(parts):
-                coded += [np.uint32(self.special[p]).tobytes()] if i % 2 else [first[p[0]], *[later[s] for s in p[1:]]]
+            for i, run in enumerate(runs):
+                if i % 2:
+                    coded.append(np.uint32(self.special[run]).tobytes())
+                else:
+                    coded.append((later if spaced and not i else first)[run[0]])
+                    coded += [later[s] for s in run[1:]]
             out.append(b"".join(coded))
-        for known in self.known:
-            for s in [s for s in known if len(s) > LONG_WORD]:
-                del known[s]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: their bytes from a table, malformed UTF-8 replaced as the library does."""
-        lengths = self.lengths[ids]
-        at = np.repeat(self.begins[ids] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        return self.flat[at].tobytes().decode("utf-8", "replace")
+        parts = []
+        for at in range(0, len(ids), PIECE // 8):
+            part = ids[at : at + PIECE // 8]
+            lengths = self.lengths[part]
+            places = np.repeat(self.begins[part] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            parts.append(self.flat[places].tobytes())
+        return b"".join(parts).decode("utf-8", "replace")
+
+
+def _cut(text: str) -> Iterator[str]:
+    """A text in pieces of about PIECE characters that end before a space that begins a word; the space is in neither."""
+    at = 0
+    while True:
+        gap = _SPACE.search(text, at + PIECE)
+        yield text[at : gap.start() if gap else len(text)]
+        if not gap:
+            return
+        at = gap.end()
 
 
 @lru_cache(maxsize=2)
@@ -203,17 +286,19 @@ def _in_turn(path: str, make, names: list[str]):
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = trie_encoder(path)
         for batch in batches:
-            texts, at = [t or "" for t in batch.column("text").to_pylist()], 0
+            column, at = batch.column("text"), 0
+            sizes = pc.coalesce(pc.binary_length(column), 0).to_pylist()
             others = [n for n in batch.schema.names if n != "text"]
-            while at < len(texts):
+            while at < len(sizes):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 20):
-                    size += len(texts[end])
+                while end < len(sizes) and (end == at or size + sizes[end] <= PIECE):
+                    size += sizes[end]
                     end += 1
-                coded = encoder.encode(texts[at:end])
+                texts = [t or "" for t in column.slice(at, end - at).to_pylist()]
+                coded = encoder.encode(texts)
                 decoded = [encoder.decode(np.frombuffer(c, dtype="<u4")) for c in coded]
                 arrays = [batch.column(n).slice(at, end - at) for n in others] + [pa.array([len(c) // 4 for c in coded], pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays + make(texts[at:end], coded, decoded), names=[*others, "n_tokens", *names])
+                yield pa.RecordBatch.from_arrays(arrays + make(texts, coded, decoded), names=[*others, "n_tokens", *names])
                 at = end
 
     return recode
