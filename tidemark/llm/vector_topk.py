@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.cluster import saved
 
 #: Pivots and rings (annuli) around each; both are chosen from SAMPLE vectors, the least by a hash of their ids.
-PIVOTS, RINGS, SAMPLE = 16, 8, 2_048
-#: Vectors in a block of the index, and queries that are searched together, at most about.
-BLOCK, TOGETHER = 1_024, 256
-#: A double in place of an exact distance is off by less than this part.
-SLACK = 1e-9
+PIVOTS, RINGS, SAMPLE = 64, 8, 4_096
+#: Vectors in a block of the index, queries that are searched together, and vectors that bound a query's best k, about.
+BLOCK, TOGETHER, SEEDS = 1_024, 256, 256
+#: A double in place of an exact distance is off by less than this part of the lengths.
+SLACK = 1e-6
+_LOWEST = -(1 << 63)
 
 
 class Geometry:
@@ -37,7 +38,7 @@ class Geometry:
             gap = np.minimum(gap, self._distances(points, points[chosen[-1:]])[:, 0])
         self.pivots = points[chosen]
         self.edges = np.quantile(self._distances(points, self.pivots).min(axis=1), np.arange(1, RINGS) / RINGS)
-        self.cells: dict[int, tuple[int, float, float, int]] = {}
+        self.cells: dict[int, tuple[int, float, float, int]] = {}  # rows, least and largest distance, blocks
 
     @staticmethod
     def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -55,13 +56,21 @@ class Geometry:
         near = d[np.arange(len(d)), pivot]
         return pivot * RINGS + np.searchsorted(self.edges, near), near
 
+    def to_pivots(self, queries: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+        return self._distances(self.lift(queries, query=True), self.pivots[pivots])
+
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cells, and for each query and cell the least possible distance by the triangle inequality."""
         cells = np.array(sorted(self.cells), dtype=np.int64)
-        d = self._distances(self.lift(queries, query=True), self.pivots)[:, cells // RINGS]
+        d = self.to_pivots(queries, np.arange(len(self.pivots)))[:, cells // RINGS]
         lo, hi = (np.array([self.cells[c][i] for c in cells.tolist()]) for i in (1, 2))
-        slack = SLACK * (np.sqrt(self.m2) + d) + 1e-6
-        return cells, np.maximum(0, np.maximum(lo - d, d - hi) - slack)
+        return cells, np.maximum(0, np.maximum(lo - d, d - hi))
+
+    def reach(self, queries: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """How far a vector may be to reach the floor: |q - v|^2 = |q|^2 + m2 - 2 q.v; infinite without a floor."""
+        q2 = (queries.astype(np.float64) ** 2).sum(axis=1)
+        far = np.sqrt(np.maximum(0, q2 + self.m2 - 2.0 * floors)) + SLACK * (np.sqrt(q2) + np.sqrt(self.m2) + 1)
+        return np.where(floors == _LOWEST, np.inf, far)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -78,113 +87,163 @@ def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return queries @ vectors.T
 
 
-def _keyed(geometry: Geometry):
+def _keyed(geometry: Geometry, kind: str):
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = _matrix(batch.column("ints"), geometry.dim)
             cells, near = geometry.key(vectors)
-            arrays = [batch.column("vec_id"), pa.array(cells.astype(np.int32)), pa.array(near), pa.array([v.tobytes() for v in vectors], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["vec_id", "cell", "near", "vec"])
+            arrays = [batch.column("uid"), batch.column("vec_id"), pa.array(cells.astype(np.int32)), pa.array(near), pa.array([v.tobytes() for v in vectors.astype(kind)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["uid", "vec_id", "cell", "near", "vec"])
 
     return keyed
 
 
 def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """A block of the index: its vectors sorted by their distance to the pivot."""
     rows = rows.sort_values("near")
-    return pd.DataFrame({"cell": [int(key[0])], "salt": [int(key[1])], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "vecs": [b"".join(rows["vec"])]})
+    numbers = {c: [rows[c].to_numpy(t).tobytes()] for c, t in (("uid", np.int64), ("vec_id", np.int64), ("near", np.float64))}
+    return pd.DataFrame({"cell": [int(key[0])], "salt": [int(key[1])], "uids": numbers["uid"], "ids": numbers["vec_id"], "nears": numbers["near"], "vecs": [b"".join(rows["vec"])]})
 
 
-def _requests(geometry: Geometry, k: int, seeding: bool):
+def _requests(geometry: Geometry, kind: str, seeding: bool):
     def ask(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Blocks that these queries must look at: while seeding the nearest annuli until k vectors are sure, then all in reach."""
-        queries = np.frombuffer(b"".join(rows["vec"]), dtype=np.int64).reshape(-1, geometry.dim)
-        ids, floors = rows["vec_id"].to_numpy(np.int64), rows["floor"].to_numpy(np.int64)
+        """Blocks that these queries must look at: while seeding the nearest annuli until SEEDS vectors are met, then all in reach."""
+        queries = np.frombuffer(b"".join(rows["vec"]), dtype=kind).reshape(-1, geometry.dim)
+        uids, floors = rows["uid"].to_numpy(np.int64), rows["floor"].to_numpy(np.int64)
         cells, least = geometry.bounds(queries)
         counts, salts = (np.array([geometry.cells[c][i] for c in cells.tolist()]) for i in (0, 3))
         if seeding:
             order = np.argsort(least, axis=1, kind="stable")
-            sure = np.cumsum((counts // salts)[order], axis=1) - (counts // salts)[order]
+            met = np.cumsum((counts // salts)[order], axis=1) - (counts // salts)[order]
             wanted = np.zeros(least.shape, dtype=bool)
-            np.put_along_axis(wanted, order, sure <= 4 * k, axis=1)
+            np.put_along_axis(wanted, order, met <= SEEDS, axis=1)
         else:
-            reach = np.maximum(0, (queries.astype(np.float64) ** 2).sum(axis=1) + geometry.m2 - 2.0 * floors)
-            wanted = (least**2 <= reach[:, None]) | (floors == np.iinfo(np.int64).min)[:, None]
+            wanted = least <= geometry.reach(queries, floors)[:, None]
         out = []
         for j in np.flatnonzero(wanted.any(axis=0)):
             who = np.flatnonzero(wanted[:, j])
             for salt in range(1 if seeding else int(salts[j])):
-                out.append((int(cells[j]), salt, ids[who].tobytes(), queries[who].tobytes(), floors[who].tobytes()))
-        return pd.DataFrame(out, columns=["cell", "salt", "q_ids", "q_vecs", "q_floors"])
+                out.append((int(cells[j]), salt, uids[who].tobytes(), queries[who].tobytes(), floors[who].tobytes()))
+        return pd.DataFrame(out, columns=["cell", "salt", "q_uids", "q_vecs", "q_floors"])
 
     return ask
 
 
-def _look(dim: int, k: int):
+def _look(geometry: Geometry, kind: str, k: int, measure: bool):
+    """Each query's best k in a block, of those that reach its floor; when measuring, the number of vectors within its reach instead."""
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query's best k in a block, of those that reach its floor."""
         for batch in batches:
-            found = [[], [], []]
+            found = [[], [], [], []]
             for row in batch.to_pylist():
-                q_ids, ids = np.frombuffer(row["q_ids"], dtype=np.int64), np.frombuffer(row["ids"], dtype=np.int64)
-                scores = _products(np.frombuffer(row["q_vecs"], dtype=np.int64).reshape(-1, dim), np.frombuffer(row["vecs"], dtype=np.int64).reshape(-1, dim))
-                good = (scores >= np.frombuffer(row["q_floors"], dtype=np.int64)[:, None]) & (q_ids[:, None] != ids[None])
+                q_uids, floors, uids, ids = (np.frombuffer(row[c], dtype=np.int64) for c in ("q_uids", "q_floors", "uids", "ids"))
+                queries, vectors = (np.frombuffer(row[c], dtype=kind).reshape(-1, geometry.dim) for c in ("q_vecs", "vecs"))
+                near, reach = np.frombuffer(row["nears"], dtype=np.float64), geometry.reach(queries, floors)
+                d = geometry.to_pivots(queries, np.array([row["cell"] // RINGS]))[:, 0]
+                lo, hi = np.searchsorted(near, d - reach), np.searchsorted(near, d + reach, side="right")  # the annulus within reach
+                if measure:
+                    for part, values in zip(found, (q_uids, q_uids, q_uids, np.maximum(0, hi - lo)), strict=True):
+                        part.append(values)
+                    continue
+                open_ = np.flatnonzero(lo < hi)
+                if not len(open_):
+                    continue
+                a, b = lo[open_].min(), hi[open_].max()
+                scores = _products(queries[open_], vectors[a:b])
+                good = (scores >= floors[open_, None]) & (q_uids[open_, None] != uids[None, a:b])
                 for i in np.flatnonzero(good.any(axis=1)):
                     at = np.flatnonzero(good[i])
-                    at = at[np.lexsort((ids[at], -scores[i, at]))[:k]]
-                    found[0].append(np.full(len(at), q_ids[i]))
-                    found[1].append(ids[at])
-                    found[2].append(scores[i, at])
+                    at = at[np.lexsort((uids[a + at], ids[a + at], -scores[i, at]))[:k]]
+                    for part, values in zip(found, (np.full(len(at), q_uids[open_[i]]), uids[a + at], ids[a + at], scores[i, at]), strict=True):
+                        part.append(values)
             arrays = [pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64), pa.int64()) for x in found]
-            yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["query", "uid", "vec_id", "score"])
 
     return look
 
 
+class Index:
+    """The pivot-distance index of a table of vectors; what the driver holds is PIVOTS * RINGS cells' bounds and SAMPLE vectors at most."""
+
+    def __init__(self, vectors: DataFrame, every: int, id_col: str, vector_col: str):
+        x = F.col(vector_col)
+        whole = x.isNotNull() & F.col(id_col).isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+        ints = vectors.where(whole).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * 256)).alias("ints"))
+        ints = saved(ints.withColumn("uid", F.monotonically_increasing_id()), "vectors")  # written, so that a row's number is fixed
+        norm = F.aggregate("ints", F.lit(0.0), lambda s, c: s + c.cast("double") * c)
+        size = ints.agg(F.max(F.size("ints")).alias("dim"), F.max(norm).alias("m2"), F.max(F.array_max(F.transform("ints", F.abs))).alias("top")).first()
+        dim, m2 = max(1, int(size["dim"] or 1)), float(size["m2"] or 0)
+        self.kind = next(t for t in ("int16", "int32", "int64") if int(size["top"] or 0) <= np.iinfo(t).max)
+        sample = ints.orderBy(F.xxhash64("vec_id"), "vec_id", "uid").limit(SAMPLE).toArrow()
+        self.geometry = None
+        if not len(sample):
+            return
+        self.geometry = Geometry(_matrix(sample.column("ints").combine_chunks(), dim), m2, dim)
+        keyed = saved(ints.mapInArrow(_keyed(self.geometry, self.kind), "uid long, vec_id long, cell int, near double, vec binary"), "vectors-keyed")
+        asking = F.col("vec_id") % every == 0
+        cells = keyed.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("lo"), F.max("near").alias("hi"), F.count_if(asking).alias("q")).orderBy("cell").collect()
+        self.geometry.cells = {r["cell"]: (r["n"], r["lo"], r["hi"], -(-r["n"] // BLOCK)) for r in cells}
+        self.rows, self.queries_n = sum(r["n"] for r in cells), sum(r["q"] for r in cells)
+
+        def salted(df: DataFrame, pieces: dict[int, int]) -> DataFrame:
+            of = F.element_at(F.create_map(*[F.lit(v) for pair in pieces.items() for v in pair]), F.col("cell"))
+            return df.withColumn("salt", F.pmod(F.xxhash64("uid"), of).cast("int"))
+
+        blocks = salted(keyed, {r["cell"]: -(-r["n"] // BLOCK) for r in cells}).groupBy("cell", "salt").applyInPandas(_pack, "cell int, salt int, uids binary, ids binary, nears binary, vecs binary")
+        self.blocks = saved(blocks, "vector-blocks").withColumnsRenamed({"salt": "__salt", "cell": "__cell"})
+        # Queries of neighbouring cells go together, about TOGETHER of them; a cell with more is cut by hash.
+        together, group, held = {}, 0, 0
+        for r in cells:
+            group, held = (group + 1, 0) if held and held + r["q"] > TOGETHER else (group, held)
+            together[r["cell"]], held = group, held + r["q"]
+        of = F.element_at(F.create_map(*[F.lit(v) for pair in together.items() for v in pair]), F.col("cell"))
+        self.queries = salted(keyed.where(asking), {r["cell"]: max(1, -(-r["q"] // TOGETHER)) for r in cells}).withColumn("cell", of)
+
+    def search(self, asked: DataFrame, k: int, seeding: bool = False, measure: bool = False) -> DataFrame:
+        """query, uid, vec_id, score: the best k of each query in each block it looks at."""
+        wanted = asked.groupBy("cell", "salt").applyInPandas(_requests(self.geometry, self.kind, seeding), "cell int, salt int, q_uids binary, q_vecs binary, q_floors binary")
+        met = wanted.join(self.blocks, (F.col("cell") == F.col("__cell")) & (F.col("salt") == F.col("__salt")))
+        met = met.select("cell", "q_uids", "q_vecs", "q_floors", "uids", "ids", "nears", "vecs")
+        return met.mapInArrow(_look(self.geometry, self.kind, k, measure), "query long, uid long, vec_id long, score long")
+
+    def bounded(self, k: int) -> DataFrame:
+        """The queries, each with the score that its k-th best reaches at least, from the annuli nearest to it."""
+        lowest = F.lit(_LOWEST).cast("long")
+        first = ranked(self.search(self.queries.withColumn("floor", lowest), k, seeding=True), k).where(F.col("rank") == k)
+        floors = saved(first.select(F.col("query").alias("__q"), F.col("score").alias("__floor")), "vector-floors")
+        return self.queries.join(floors, F.col("uid") == F.col("__q"), "left").withColumn("floor", F.coalesce("__floor", lowest))
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def top_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest inner products of each query with all vectors but those of its own id.
+    """query_id, rank, vec_id, score: the k highest inner products of each query with all rows but its own.
 
     Components are floor(256 * x). Queries are the rows whose id is divisible by `every`. Ties go to the smaller id;
     fewer candidates give fewer rows. Null vectors, ids, components and non-finite components take no part. Shorter
-    vectors are filled up with zeros. Rows that repeat an id are candidates each; a query id's rows that differ are
-    one query, the best of them counting. Empty table: no rows. Other columns are ignored.
+    vectors, empty ones too, are filled up with zeros. Rows that repeat an id are queries and candidates each, of one
+    another too. Empty table: no rows. Other columns are ignored.
 
     Each vector is keyed by its nearest pivot and the ring of its distance, and packed into blocks with others of its
-    cell. A first round looks at the nearest annuli until k candidates are known; their scores bound the distance
-    that matters, and a second round visits just the blocks in whose annulus the triangle inequality leaves room.
-    Cells of any size are cut into blocks, and queries into groups, by hash; pivots and the cells' bounds, PIVOTS *
-    RINGS at most, are all that the driver holds.
+    cell, sorted by distance. A first round looks at the nearest annuli until SEEDS vectors are met; their scores bound
+    the distance that matters, and a second round visits just the blocks, and in them the annulus, in which the
+    triangle inequality leaves room. Cells of any size are cut into blocks, and queries into groups, by hash.
     """
-    x = F.col(vector_col)
-    whole = x.isNotNull() & F.col(id_col).isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    ints = saved(vectors.where(whole).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * 256)).alias("ints")), "vectors")
-    size = ints.agg(F.max(F.size("ints")).alias("dim"), F.max(F.aggregate("ints", F.lit(0.0), lambda s, c: s + c.cast("double") * c)).alias("m2")).first()
-    dim, m2 = int(size["dim"] or 1), float(size["m2"] or 0)
-    sample = ints.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    if not len(sample):
-        return ints.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
-    geometry = Geometry(_matrix(sample.column("ints").combine_chunks(), dim), m2, dim)
-
-    keyed = saved(ints.mapInArrow(_keyed(geometry), "vec_id long, cell int, near double, vec binary"), "vectors-keyed")
-    asking = F.col("vec_id") % every == 0
-    cells = keyed.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("lo"), F.max("near").alias("hi"), F.count_if(asking).alias("q")).collect()  # PIVOTS * RINGS rows at most
-    geometry.cells = {r["cell"]: (r["n"], r["lo"], r["hi"], -(-r["n"] // BLOCK)) for r in cells}
-
-    def salted(df: DataFrame, pieces: dict[int, int]) -> DataFrame:
-        of = F.element_at(F.create_map(*[F.lit(v) for pair in pieces.items() for v in pair]), F.col("cell"))
-        return df.withColumn("salt", F.pmod(F.xxhash64("vec_id", "vec"), of).cast("int"))
-
-    blocks = salted(keyed, {r["cell"]: -(-r["n"] // BLOCK) for r in cells}).groupBy("cell", "salt").applyInPandas(_pack, "cell int, salt int, ids binary, vecs binary")
-    blocks = saved(blocks, "vector-blocks").withColumnsRenamed({"cell": "__cell", "salt": "__salt"})
-    queries = salted(keyed.where(asking), {r["cell"]: max(1, -(-r["q"] // TOGETHER)) for r in cells})
-
-    def search(asked: DataFrame, seeding: bool) -> DataFrame:
-        wanted = asked.groupBy("cell", "salt").applyInPandas(_requests(geometry, k, seeding), "cell int, salt int, q_ids binary, q_vecs binary, q_floors binary")
-        met = wanted.join(blocks, (F.col("cell") == F.col("__cell")) & (F.col("salt") == F.col("__salt")))
-        rows = met.select("q_ids", "q_vecs", "q_floors", "ids", "vecs").mapInArrow(_look(dim, k), "query_id long, vec_id long, score long")
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-    lowest = F.lit(-(1 << 63)).cast("long")
-    first = search(queries.withColumn("floor", lowest), True).where(F.col("rank") == k).select(F.col("query_id").alias("__q"), F.col("score").alias("__floor"))
-    bounded = queries.join(saved(first, "vector-floors"), F.col("vec_id") == F.col("__q"), "left").withColumn("floor", F.coalesce("__floor", lowest))
-    return search(bounded, False).select("query_id", "rank", "vec_id", "score")
+    index = Index(vectors, every, id_col, vector_col)
+    if index.geometry is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = ranked(index.search(index.bounded(k), k), k)
+    names = index.queries.select(F.col("uid").alias("__uid"), F.col("vec_id").alias("query_id"))
+    return found.join(names, F.col("query") == F.col("__uid")).select("query_id", "rank", "vec_id", "score")
+
+
+def visited_share(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
+    """The part of all pairs of query and row that the triangle inequality leaves in the second round; 0 without queries."""
+    index = Index(vectors, every, id_col, vector_col)
+    if index.geometry is None or not index.queries_n:
+        return 0.0
+    seen = index.search(index.bounded(k), k, measure=True).agg(F.sum("score")).first()[0]
+    return (seen or 0) / (index.queries_n * index.rows)
