@@ -43,7 +43,7 @@ def source_targets(rows: DataFrame, source: str, size: str, weights: tuple[float
 
 
 def mix(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, **law) -> DataFrame:
-    """Every row with its copies in the mix: columns `keep`, size, source_size, target, copies, taken.
+    """Every row with its copies in the mix: columns `keep` (none of the others' names), size, source_size, target, copies, taken.
 
     Within each source the rows are sorted by size class (its two leading digits) and a seeded key; each row's
     expected copies, target / source_size, are summed up to it, one random offset for the source is added, and
@@ -51,10 +51,18 @@ def mix(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str
     less than one, and by size class the words taken stay near the target.
 
     Null text: size 0. Null source: a source of its own, last. Sources without words take nothing. Rows equal in
-    id and text are interchangeable; reruns agree. Empty table: no rows.
+    id and text are interchangeable; reruns agree. Empty table: no rows. Other columns are ignored. A very long
+    text is a row like others: of its size class hardly any other has it, and its copies differ from the expected
+    by less than one.
 
-    Prefix sums run over pieces of each source, whose number follows its rows; the targets need one row a source.
+    Prefix sums run over pieces of each source, whose number follows its rows; the targets need one row a source,
+    and those few rows (tens of sources, not millions of hosts) are sorted in one task.
     """
+    return copied(docs, seed, id_col, text_col, source_col, keep, **law).select("__row.*", "size", "source_size", "target", "copies", "taken")
+
+
+def copied(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, **law) -> DataFrame:
+    """As mix(), with the columns `keep` in one struct, __row."""
     spark = docs.sparkSession
     keep = [id_col] if keep is None else keep
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -77,11 +85,13 @@ def mix(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str
     summed = prefix_sums(keyed, "__g", "__piece", ["__key"], "__expected", "__sum")
     upto = F.col("__sum") + F.col("__offset")
     copies = F.shiftright(upto, 24) - F.shiftright(upto - F.col("__expected"), 24)
-    return summed.select("__row.*", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return summed.select("__row", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of docs, each row as often as it is taken."""
-    columns = docs.columns
-    mixed = mix(docs, keep=columns, **options).select(*columns, F.col("copies").alias("__copies"))
-    return mixed.where("__copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    """The mix itself: each row of docs, with all its columns whatever their names, as often as it is taken.
+
+    Null, empty and very long texts, null sources, repeated rows and empty tables are as in mix().
+    """
+    taken = copied(docs, keep=["*"], **options).where("copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

@@ -83,8 +83,13 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_c
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that are kept."""
+    """The rows of docs that are kept, with all their columns, whatever their names.
+
+    Null, empty and short texts go, as they fail the base rules. A row is judged with its text and host, so copies
+    of one text in a host share their fate; repeated rows stay repeated. Empty table: no rows.
+    """
     bad = rate(docs, id_col, text_col, host_col).where("not kept").select(F.col(id_col).alias("__i"), F.col("__hash").alias("__t"), F.col("__host").alias("__o")).distinct()
     bad = small(bad, "quality-rejected")
     host = F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("null")))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(F.col(text_col)) == F.col("__t")) & (host == F.col("__o")), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), host.alias("host"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("__i")) & (F.col("hash") == F.col("__t")) & (F.col("host") == F.col("__o")), "left_anti").select("row.*")
