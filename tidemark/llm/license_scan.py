@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.cluster import saved, small
 
-# Phrases with their labels, and licence notices with the phrases that each must hold. Key phrases
-# are of indexed words only (no FILLERS).
+# Phrases with their labels; licence notices and texts with the phrases that each must hold. Key phrases
+# are of indexed words only (no FILLERS). Texts are given without punctuation and names.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-TEMPLATES = [
+NOTICES = [
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["binary forms", "redistribution"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
@@ -25,7 +25,99 @@ TEMPLATES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license", ["mozilla public license"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
 ]
-FILLERS = {"a", "and", "any", "are", "for", "in", "into", "is", "of", "or", "the", "this", "to", "with"}
+TEXTS = [
+    (
+        "apache-2.0",
+        """licensed under the apache license version 2 0 the license you may not use this file except in compliance with
+        the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by
+        applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+        without warranties or conditions of any kind either express or implied see the license for the specific language
+        governing permissions and limitations under the license""",
+        ["applicable law", "specific language governing permissions"],
+    ),
+    (
+        "boost-1.0",
+        """boost software license version 1 0 permission is hereby granted free of charge to any person or organization
+        obtaining a copy of the software and accompanying documentation covered by this license the software to use
+        reproduce display distribute execute and transmit the software and to prepare derivative works of the software
+        and to permit third parties to whom the software is furnished to do so all subject to the following""",
+        ["boost software license", "prepare derivative works"],
+    ),
+    (
+        "bsd",
+        """redistributions of source code must retain the above copyright notice this list of conditions and the
+        following disclaimer redistributions in binary form must reproduce the above copyright notice this list of
+        conditions and the following disclaimer in the documentation and or other materials provided with the
+        distribution""",
+        ["must retain", "must reproduce", "materials provided"],
+    ),
+    (
+        "bsd",
+        """this software is provided by the copyright holders and contributors as is and any express or implied warranties
+        including but not limited to the implied warranties of merchantability and fitness for a particular purpose are
+        disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental
+        special exemplary or consequential damages""",
+        ["copyright holders", "particular purpose", "consequential damages"],
+    ),
+    (
+        "gpl-3",
+        """this program is free software you can redistribute it and or modify it under the terms of the gnu general public
+        license as published by the free software foundation either version 3 of the license or at your option any later
+        version this program is distributed in the hope that it will be useful but without any warranty without even the
+        implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more
+        details""",
+        ["free software foundation", "hope", "useful"],
+    ),
+    (
+        "isc",
+        """the software is provided as is and the author disclaims all warranties with regard to this software including all
+        implied warranties of merchantability and fitness in no event shall the author be liable for any special direct
+        indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits""",
+        ["author disclaims", "warranties", "damages whatsoever resulting"],
+    ),
+    (
+        "mit",
+        """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+        documentation files the software to deal in the software without restriction including without limitation the rights
+        to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to
+        whom the software is furnished to do so subject to the following conditions the above copyright notice and this
+        permission notice shall be included in all copies or substantial portions of the software""",
+        ["without restriction including without limitation", "substantial portions"],
+    ),
+    (
+        "mit",
+        """the software is provided as is without warranty of any kind express or implied including but not limited to the
+        warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or
+        copyright holders be liable for any claim damages or other liability whether in an action of contract tort or
+        otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
+        ["noninfringement", "dealings"],
+    ),
+    (
+        "mpl-2.0",
+        """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not
+        distributed with this file you can obtain one at http mozilla org mpl 2 0""",
+        ["mozilla public license", "mpl", "distributed"],
+    ),
+    (
+        "unlicense",
+        """anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as
+        a compiled binary for any purpose commercial or non commercial and by any means""",
+        ["compiled binary", "non commercial"],
+    ),
+    (
+        "zlib",
+        """this software is provided as is without any express or implied warranty in no event will the authors be held liable
+        for any damages arising from the use of this software permission is granted to anyone to use this software for any
+        purpose including commercial applications and to alter it and redistribute it freely subject to the following
+        restrictions the origin of this software must not be misrepresented""",
+        ["held liable", "origin", "misrepresented"],
+    ),
+]
+TEMPLATES = [(label, " ".join(text.split()), keys) for label, text, keys in NOTICES + TEXTS]
+FILLERS = set("a all an and any anyone are as at be but can do for from if in into is it no not of on one or other out see so that the they this to use was what whether whom will with you your".split())
+
+#: Of each template so many words, the rarest of its key phrases, are looked up.
+LOOKUPS = 2
 
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -54,13 +146,15 @@ def lowered(text: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs.
 
-    Words are runs of 0-9, a-z and characters beyond ASCII. Base: the places of PHRASES. Templates: all licence words
-    of a file are looked up in the index of the templates' words, however many notices it holds; postings with the same
-    relative place count together, and a template is found where all words of its key phrases stand at that place.
-    score: the largest part of a found template's indexed words that stand in place, 0 if none is found.
+    Words are runs of 0-9, a-z and characters beyond ASCII. Base: the places of PHRASES. Templates: of each template
+    the LOOKUPS words of its key phrases with the highest IDF (in the files of this table) are looked up, and postings
+    with the same relative place are intersected. As a template needs all its key phrases, that loses none, however
+    many notices a file holds. Only then the template's other words are compared at that place: it is found where all
+    words of its key phrases stand. score: the largest part of a found template's indexed words that stand in place, 0
+    if none is found.
 
     Null or empty text: no words, no labels, score 0. Rows equal in id and text get equal results; a null id is an id.
-    Empty table: no rows. Other columns are ignored.
+    Empty table: no rows. Other columns are ignored. A very long text is an array of its words in one row.
 
     Only places of licence words leave the scan of the texts; the index is as small as the templates.
     """
@@ -72,9 +166,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     base = saved(rows.select("__id", "__hash", F.size("__words").cast("long").alias("n_words"), places.alias("__at")), "licence-words")
 
     indexed = sorted({w for w, _, _ in _postings()})
-    spots = base.select("__id", "__hash", F.explode("__at").alias("o")).select("__id", "__hash", F.col("o.i").alias("i"), F.col("o.w").alias("w")).where(F.col("w").isin(indexed))
+    spots = base.select("__id", "__hash", F.explode("__at").alias("o")).select("__id", "__hash", F.col("o.i").alias("i"), F.col("o.w").alias("w"))
+    files = base.select(F.explode(F.array_distinct(F.transform("__at", lambda o: o.w))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    files = {r["w"]: r["n"] for r in files.collect()}  # a row for each word of the templates at most
+    anchors = []
+    for t, (_, words, keys) in enumerate(TEMPLATES):
+        split = words.split()
+        rarest = sorted(_key_places(words, keys), key=lambda k: (files.get(split[k], 0), k))[:LOOKUPS]
+        anchors += [(split[k], t, k, len(rarest)) for k in rarest]
+    looked_up = F.broadcast(spark.createDataFrame(anchors, "pw string, template int, place int, needed int"))
+    looks = spots.where(F.col("w").isin(sorted({a[0] for a in anchors}))).join(looked_up, F.col("w") == F.col("pw"))
+    looks = looks.groupBy("__id", "__hash", "template", (F.col("i") - F.col("place")).alias("shift")).agg(F.size(F.collect_set("place")).alias("agreeing"), F.first("needed").alias("needed"))
+    seen = saved(looks.where(F.col("agreeing") == F.col("needed")).select(*[F.col(c).alias(f"s{c}") for c in ("__id", "__hash", "template", "shift")]), "licence-candidates")
     postings = F.broadcast(spark.createDataFrame([(w, t, i) for w, t, i in _postings()], "pw string, template int, place int"))
-    votes = spots.join(postings, F.col("w") == F.col("pw")).withColumn("shift", F.col("i") - F.col("place"))
+    same_file = F.col("__id").eqNullSafe(F.col("s__id")) & (F.col("__hash") == F.col("s__hash"))
+    votes = spots.where(F.col("w").isin(indexed)).join(small(seen.select("s__id", "s__hash").distinct(), "licence-files"), same_file, "left_semi")
+    votes = votes.join(postings, F.col("w") == F.col("pw")).withColumn("shift", F.col("i") - F.col("place"))
+    votes = votes.join(small(seen, "licence-places"), same_file & (F.col("template") == F.col("stemplate")) & (F.col("shift") == F.col("sshift")), "left_semi")
     grouped = votes.groupBy("__id", "__hash", "template", "shift").agg(F.collect_set("place").alias("places"))
     sizes = [sum(1 for _, t, _ in _postings() if t == k) for k in range(len(TEMPLATES))]
     checks = F.broadcast(spark.createDataFrame([(k, label, _key_places(words, keys), sizes[k]) for k, (label, words, keys) in enumerate(TEMPLATES)], "t int, label string, keys array<int>, of int"))
