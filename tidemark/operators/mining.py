@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import wilson
 
+_FLAGS = ("is_win", "is_loss", "is_to")
+#: A task hands on its sums of pairs when they have more cells (months times literals squared) than this.
+_CELLS = 4_000_000
+
 
 def counts() -> list[Column]:
     return [F.sum("is_win").alias("wins"), F.sum("is_loss").alias("losses"), F.sum("is_to").alias("timeouts")]
@@ -62,23 +71,62 @@ def mine_single(events: DataFrame, columns: list[str], min_support: int = 24, mi
 def mine_pairs(events: DataFrame, columns: list[str], min_support: int = 24, min_wins: int = 4, min_months: int = 4, include_timeouts: bool = False, min_resolve: float = 0.25, max_timeout: float = 0.6, z: float = 1.96) -> DataFrame:
     """Rules of two literals of different columns.
 
-    Support, wins and months of a pair can't exceed its literals', so literals below them are dropped from the
-    events' literal arrays before pairs are made. Pairs are made within a row, of which the columns bound the number.
+    Support, wins and months of a pair can't exceed its literals', so literals below them are dropped first; those
+    left, columns times bins at most, go to the tasks. Each task counts pairs by month as products of 0/1 matrices
+    over Arrow batches, whatever number of literals a row has, and hands on its sums alone.
     """
     size = F.sum(F.col("is_win") + F.col("is_loss") + (F.col("is_to") if include_timeouts else F.lit(0)))
     viable = literals(events, columns).groupBy("lit", "val").agg(size.alias("n"), F.sum("is_win").alias("w"), F.countDistinct("ym").alias("m"))
     viable = viable.where((F.col("n") >= min_support) & (F.col("w") >= min_wins) & (F.col("m") >= min_months))
-    fit = viable.groupBy().agg(F.collect_set(F.struct("lit", "val")).alias("__fit"))  # columns times bins at most
-    pairs = F.array(*[F.struct(F.lit(c).alias("lit"), F.col(c).cast("long").alias("val")) for c in sorted(columns)])
-    rows = events.crossJoin(F.broadcast(fit)).select("ym", "is_win", "is_loss", "is_to", F.filter(pairs, lambda p: F.array_contains("__fit", p)).alias("__lits"))
-    rows = rows.select("ym", "is_win", "is_loss", "is_to", F.expr("explode(flatten(transform(__lits, (a, i) -> transform(slice(__lits, i + 2, size(__lits)), b -> struct(a, b)))))").alias("p"))
-    rows = rows.select("ym", "is_win", "is_loss", "is_to", F.col("p.a.lit").alias("lit1"), F.col("p.a.val").alias("val1"), F.col("p.b.lit").alias("lit2"), F.col("p.b.val").alias("val2"))
+    chosen = sorted((r["lit"], r["val"]) for r in viable.select("lit", "val").collect())
+    rows = events.select(F.col("ym").cast("string").alias("ym"), *[F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in _FLAGS], *[F.col(c).cast("long").alias(f"l_{c}") for c in columns])
+    counted = rows.mapInArrow(_pair_counts(chosen), "lit1 string, val1 long, lit2 string, val2 long, ym string, is_win long, is_loss long, is_to long")
     keys = ["lit1", "val1", "lit2", "val2"]
-    monthly = rows.groupBy(*keys, "ym").agg(*counts())
+    monthly = counted.groupBy(*keys, "ym").agg(*counts())
     rules = _registered(_rated(monthly, keys, baseline(events), include_timeouts, z), min_support, min_wins, min_months, min_resolve, max_timeout)
     return rules.withColumn("rule_id", rule_id(("lit1", "val1"), ("lit2", "val2")))
 
 
+def _pair_counts(chosen: list[tuple[str, int]]):
+    """Counts of the pairs of the chosen literals, sorted by column, for each month of a partition."""
+    names, values = [c for c, _ in chosen], [v for _, v in chosen]
+    places: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        places.setdefault(name, []).append(i)
+
+    def summed(sums: dict[str | None, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for month, of in sums.items():
+            i, j = np.nonzero(np.triu(of.sum(axis=0), 1))
+            firsts, seconds = (pa.array(names, pa.string()).take(pa.array(x)) for x in (i, j))
+            v1, v2 = (pa.array(values, pa.int64()).take(pa.array(x)) for x in (i, j))
+            flags = [pa.array(of[k][i, j].astype(np.int64)) for k in range(len(_FLAGS))]
+            yield pa.RecordBatch.from_arrays([firsts, v1, seconds, v2, pa.array([month] * len(i), pa.string()), *flags], names=["lit1", "val1", "lit2", "val2", "ym", *_FLAGS])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str | None, np.ndarray] = {}
+        for batch in batches:
+            held = np.zeros((batch.num_rows, len(chosen)), dtype=np.float32)  # exact: a batch has fewer rows than 2**24
+            for name, at in places.items():
+                column = batch.column(f"l_{name}")
+                for i in at:
+                    held[:, i] = pc.fill_null(pc.equal(column, values[i]), False).to_numpy(zero_copy_only=False)
+            months = batch.column("ym").dictionary_encode()
+            codes = pc.fill_null(months.indices, -1).to_numpy(zero_copy_only=False)
+            flags = [batch.column(c).to_numpy(zero_copy_only=False) for c in _FLAGS]
+            for code in np.unique(codes):
+                month = None if code < 0 else months.dictionary[int(code)].as_py()
+                into = sums.setdefault(month, np.zeros((len(_FLAGS), len(chosen), len(chosen))))
+                for k, flag in enumerate(flags):
+                    part = held[(codes == code) & (flag > 0)]
+                    into[k] += part.T @ part
+            if len(sums) * len(chosen) ** 2 > _CELLS:
+                yield from summed(sums)
+                sums = {}
+        yield from summed(sums)
+
+    return count
+
+
 def rule_id(*conditions: tuple[str, str]) -> Column:
     """Canonical id: conditions `column==value`, sorted, joined by ` & `."""
     return F.array_join(F.array_sort(F.array(*[F.concat(F.col(a), F.lit("=="), F.col(b).cast("string")) for a, b in conditions])), " & ")
