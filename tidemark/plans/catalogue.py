@@ -413,7 +413,7 @@ def spaced_candidates(spark, sf_dir):
 
 # --- labels -------------------------------------------------------------------------------------------------------
 def _labels_sql(frm: str, hours: int, mult: float, skip: bool) -> str:
-    return f"""{CANDS}, w AS (SELECT *, round(entry, 8) AS e, greatest(round(risk_dist, 8), 0.05 * round(atr, 8)) AS rr, CASE WHEN side = 'long' THEN 1 ELSE -1 END AS sg FROM c),
+    return f"""{CANDS}, w AS (SELECT *, round(entry, 8) AS e, CASE WHEN greatest(round(risk_dist, 8), 0.05 * round(atr, 8)) > 0 THEN greatest(round(risk_dist, 8), 0.05 * round(atr, 8)) ELSE 1e-6 END AS rr, CASE WHEN side = 'long' THEN 1 ELSE -1 END AS sg FROM c),
 j AS (SELECT w.symbol, w.ts, w.side, any_value(w.e) AS entry, any_value(w.rr) AS risk_dist, count(t.ts) AS n, min(CASE WHEN sg * (t.price - (e + sg * {mult} * rr)) >= 0 THEN (t.ts, t.seq) END) AS tp, min(CASE WHEN sg * (t.price - (e - sg * rr)) <= 0 THEN (t.ts, t.seq) END) AS sl
       FROM w LEFT JOIN {frm} t ON t.symbol = w.symbol AND t.ts BETWEEN w.ts + 1 AND w.ts + {hours * HOUR} GROUP BY 1, 2, 3),
 lab AS (SELECT symbol, ts, side, entry, risk_dist, CASE WHEN tp IS NOT NULL AND (sl IS NULL OR tp <= sl) THEN 'win' WHEN sl IS NOT NULL THEN 'loss' ELSE 'timeout' END AS outcome,
@@ -429,10 +429,9 @@ def first_touch_labels(spark, sf_dir):
     return _labelled(spark, sf_dir).select("symbol", "ts", "side", "outcome", "outcome_ts", "preempted")
 
 
-@query("first_touch_no_ticks", f"WITH {_labels_sql('(SELECT * FROM ticks WHERE ts % 7 = 0)', 1, 3.0, True)} SELECT symbol, ts, side, outcome, outcome_ts, preempted FROM lab")
+@query("first_touch_no_ticks", f"WITH {_labels_sql('ticks', 1, 3.0, True)} SELECT symbol, ts, side, outcome, outcome_ts, preempted FROM lab")
 def first_touch_no_ticks(spark, sf_dir):
-    t = ticks(spark, sf_dir).where("ts % 7 = 0")
-    return labeling.first_touch(_cands(spark, sf_dir), t, r_mult=3.0, hours=1, keep_untouched=False).select("symbol", "ts", "side", "outcome", "outcome_ts", "preempted")
+    return labeling.first_touch(_cands(spark, sf_dir), ticks(spark, sf_dir), r_mult=3.0, hours=1, keep_untouched=False).select("symbol", "ts", "side", "outcome", "outcome_ts", "preempted")
 
 
 @query("outcome_counts", f"WITH {_labels_sql('ticks', 48, 3.0, False)} SELECT symbol, side, outcome, count(*) AS n FROM lab GROUP BY ALL")
