@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.functions import windows as W
-from tidemark.operators import evaluate, features, labeling, mining, sequential
+from tidemark.operators import binning, evaluate, features, labeling, mining, sequential
 from tidemark.sources import series
 
 
@@ -157,3 +157,77 @@ def test_readers(spark, tmp_path):
         series.read_bars(spark, str(tmp_path / "t.csv"), "S")
     assert series.existing(spark, str(tmp_path / "a.parquet")).endswith("a.csv")
     assert series.folds(["1", "2", "3", "4"], 2, 1, 1) == [(0, ["1", "2"], ["3"]), (1, ["2", "3"], ["4"])]
+
+
+def test_capped_schedule_by_brute_force(spark):
+    for seed in range(4):
+        rows, df = _events(spark, seed=seed)
+        want, open_ = [], []
+        for r in sorted(rows, key=lambda r: (r[1], r[2])):
+            now = [o for o in open_ if o[3] > r[1]]
+            if len(now) < 3 and sum(o[2] == r[2] for o in now) < 2:
+                want.append(r)
+                open_.append(r)
+        # Events of one time and side are interchangeable in the rule, so compare what doesn't depend on their order.
+        found = sequential.capped(df, 3, 2).collect()
+        if len({r[1:3] for r in rows}) == len(rows):
+            assert sorted(tuple(r) for r in found) == sorted(want)
+        for r in found:
+            others = [x for x in found if x["ts"] < r["ts"] < x["outcome_ts"]]
+            assert len(others) < 3 and sum(x["side"] == r["side"] for x in others) < 2
+
+
+def test_best_schedule_rows(spark):
+    """The rows kept, not only their total: disjoint, and no set of disjoint events is worth more."""
+    rng = random.Random(9)
+    for _ in range(3):
+        rows = [("a", t, "long", t + rng.randrange(1, 30), float(rng.randrange(1, 9))) for t in rng.sample(range(60), 12)]
+        df = spark.createDataFrame(rows, "symbol string, ts long, side string, outcome_ts long, w double")
+        kept = sorted(tuple(r) for r in sequential.best_schedule(df, "w").collect())
+        assert set(kept) <= set(rows) and len(set(kept)) == len(kept) and all(a[3] <= b[1] for a, b in zip(kept, kept[1:]))
+
+        def best(left: list, free: int) -> float:
+            return max([best(left[1:], free), *([left[0][4] + best(left[1:], left[0][3])] if left[0][1] >= free else [])]) if left else 0.0
+
+        assert sum(r[4] for r in kept) == best(sorted(rows, key=lambda r: r[1]), -1)
+
+
+def test_pair_counts_with_nulls_and_many_months(spark, monkeypatch):
+    monkeypatch.setattr(mining, "_CELLS", 20)
+    rng = random.Random(12)
+    rows = [(f"2024-{1 + i % 9:02}" if i % 50 else None, rng.choice(["win", "loss", "timeout"]), rng.choice([None, 0, 1, 2]), rng.choice([0, 1]), rng.choice([5, 7, None])) for i in range(900)]
+    df = mining.flagged(spark.createDataFrame(rows, "ym string, outcome string, a int, b long, c short"))
+    found = {r["rule_id"]: (r["wins"], r["losses"], r["timeouts"]) for r in mining.mine_pairs(df, ["c", "a", "b"], 1, 1, 1, max_timeout=9.0, min_resolve=0.0).collect()}
+    want: dict[str, list[int]] = {}
+    for _, outcome, *values in rows:
+        held = [(n, v) for n, v in zip("abc", values) if v is not None]
+        for x in range(len(held)):
+            for z in held[x + 1 :]:
+                at = want.setdefault(f"{held[x][0]}=={held[x][1]} & {z[0]}=={z[1]}", [0, 0, 0])
+                at[["win", "loss", "timeout"].index(outcome)] += 1
+    assert found == {k: tuple(v) for k, v in want.items()}
+
+
+def test_chosen_bins(spark):
+    assert binning.merged_bins(np.array([0.3, 0.001, 0.3, 0.399]), 0.005) == [0, 2, 3] or binning.merged_bins(np.array([0.3, 0.001, 0.3, 0.399]), 0.005) == [0, 1, 3]
+    assert binning.merged_bins(np.array([0.001, 0.999]), 0.005) == [0] and binning.merged_bins(np.array([0.5, 0.5]), 0.005) == [0, 1]
+    n, w = np.array([40.0, 60.0, 100.0]), np.array([10.0, 30.0, 80.0])
+    p = binning.bin_probabilities(n, w)
+    assert np.abs(p - w / n).max() < 0.03 and np.abs(n @ p - w.sum()) < 3
+    assert binning.drift(np.array([[1.0, 0.0], [0.0, 1.0]])) == pytest.approx(np.sqrt(np.log(2))) and binning.drift(np.array([[2.0, 2.0], [1.0, 1.0]])) == 0
+    ap, ece, brier, corr = binning.quality(np.array([0.2, 0.8]), np.array([10.0, 10.0]), np.array([2.0, 8.0]))
+    ps, ys = np.repeat([0.2, 0.8], 10), np.array([1] * 2 + [0] * 8 + [1] * 8 + [0] * 2)
+    assert ap == pytest.approx(0.8 * 0.8 + 0.2 * 0.5) and ece == pytest.approx(0, abs=1e-9) and -brier == pytest.approx(((ps - ys) ** 2).mean()) and corr == pytest.approx(np.corrcoef(ps, ys)[0, 1])
+    rng = random.Random(7)
+    rows = []
+    for i in range(3_000):
+        x = rng.random()
+        rows.append((f"2024-0{1 + i % 4}", x, 1.0, rng.random() if i % 9 else None, int(rng.random() < 0.1 + 0.8 * x)))
+    df = spark.createDataFrame(rows, "ym string, up double, flat double, noise double, y int")
+    edges = binning.choose_bins(df, ["up", "flat", "noise"], "y", F.col("ym") != "2024-04")
+    assert edges["flat"] == [] and len(edges["up"]) >= 4 and 2 <= len(edges["noise"]) <= 9
+    for e in edges.values():
+        assert e == sorted(e)
+    k = len(edges["up"]) + 1
+    assert edges["up"] == pytest.approx(np.quantile([r[1] for r in rows if r[0] != "2024-04"], [j / k for j in range(1, k)]))
+    assert set(binning.choose_bins(df.limit(0), ["up"], "y", F.lit(True))["up"]) == set()

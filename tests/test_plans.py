@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate, gate
 from tidemark.plans import reports, walkforward
-from tidemark.sources import series
+from tidemark.sources import artifacts, series
 from tidemark.streaming import ticks as stream
 
 
@@ -120,3 +120,79 @@ def test_streamed_bars(spark, tmp_path):
     want = series.bars_from_ticks(df, 3_600_000).where("ts < 1704067200000 + 6 * 3600000")
     key = lambda t: sorted(map(tuple, t.select("symbol", "ts", "open", "high", "low", "close", "n_ticks").collect()))
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(want)
+
+
+def test_crosses_by_their_own_ranking(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(3), rng.randrange(3), f"2024-0{1 + i % 3}") for i in range(900)]
+    rows = [(i, a, b, ym, int(rng.random() < (0.9 if a == 2 and b == 2 else 0.2))) for i, a, b, ym in rows]
+    df = spark.createDataFrame(rows, "ts long, qbin_a int, q_b int, ym string, y int")
+    out = gate.curated(df, [("qbin_a:high", "b:top?"), ("qbin_a:low2", "b:eq1"), ("missing:high", "b")])
+    assert [c for c in out.columns if c.startswith("xC_")] == ["xC_qbin_a:high__b:top?", "xC_qbin_a:low2__b:eq1"]
+    for r in out.collect():
+        assert r["xC_qbin_a:high__b:top?"] == (r["qbin_a"] == 2 and r["q_b"] == 2) and r["xC_qbin_a:low2__b:eq1"] == (r["qbin_a"] <= 1 and r["q_b"] == 1)
+    x = gate.crosses(df, [(("qbin_a", 2), ("q_b", 2)), (("qbin_a", 0), ("q_b", 1)), (("qbin_a", 9), ("q_b", 1))])
+    core, held = x.where("ym < '2024-03'"), x.where("ym = '2024-03'")
+    assert gate.chosen_crosses(core, held, "y", ["x_0", "x_1", "x_2"], cap=1) == ["x_0"] and gate.chosen_crosses(core, held, "y", ["x_0", "x_1", "x_2"]) == ["x_0", "x_1"]
+    # One binary feature's average precision by hand: the set rows first, then the others.
+    y1 = [r["y"] for r in held.collect() if r["x_0"]]
+    base = np.mean([r["y"] for r in held.collect()])
+    assert sum(y1) / len(y1) > base
+    assert gate.chosen_crosses(core.where("y = 0"), held, "y", ["x_1", "x_0"]) == sorted(["x_0", "x_1"], key=lambda c: -core.where(f"y = 0 AND {c} = 1").count())
+
+
+@pytest.mark.parametrize("method", ["isotonic", "sigmoid"])
+def test_refitted_gate_survives_saving(spark, tmp_path, method):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(3), rng.randrange(2)) for i in range(300)]
+    df = spark.createDataFrame([(i, a, b, int(rng.random() < (0.85 if a == 2 else 0.2)), False) for i, a, b in rows], "ts long, qbin_a int, qbin_b int, y int, preempted boolean")
+    pairs = [(("qbin_a", 2), ("qbin_b", 1))]
+    x = gate.crosses(df, pairs)
+    model = gate.fit(x, "y", ["qbin_a", "qbin_b"], ["x_0"], grid=(1.0,))
+    parts = gate.refitted(x, "y", ["qbin_a", "qbin_b"], model, ["x_0"], method=method, strength=model.strength, most=3)
+    assert len(parts) == 3
+    bundle = gate.Bundle(parts, ["qbin_a", "qbin_b"], pairs, ["x_0"], 0.5, [[("qbin_b", 0)]], [("qbin_a:high", "qbin_b:high")])
+    out = bundle.enter(df)
+    assert out.columns == [*df.columns, "p_win", "loser_mask", "enter"]
+    by = {r["qbin_a"]: r["p"] for r in out.groupBy("qbin_a").agg(F.avg("p_win").alias("p")).collect()}
+    assert by[2] > 0.7 and by[0] < 0.35 and out.where("enter AND qbin_b = 0").count() == 0 < out.where("enter").count()
+    gate.save_bundle(spark, bundle, str(tmp_path / "gate"))
+    again = gate.load_bundle(spark, str(tmp_path / "gate"))
+    assert (again.tau, again.losers, again.pairs, again.curated) == (bundle.tau, bundle.losers, bundle.pairs, bundle.curated)
+    assert {r["ts"]: round(r["p_win"], 9) for r in again.enter(df).collect()} == {r["ts"]: round(r["p_win"], 9) for r in out.collect()}
+    lone = gate.refitted(x.where("y = 0 OR ts = 0").withColumn("y", (F.col("ts") == 0).cast("int")), "y", ["qbin_a", "qbin_b"], model, ["x_0"])
+    assert len(lone) == 1 and lone[0][0] is model
+
+
+def test_gated_candidates_and_forced_runs(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [("S", 3_600_000 * i, "2024-01", rng.random(), rng.random() * 3, rng.random() * 3, rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1), rng.random() * 100, rng.random() * 100, 100 + rng.random(), rng.choice([0.0, 1.0, 2.0])) for i in range(500)]
+    names = ["symbol", "ts", "ym", "body_dom", "close_to_hi_atr", "close_to_lo_atr", "t_240", "t_60", "t_15", "accel_15_240", "atr_p", "dcw_p", "close", "atr"]
+    spark.createDataFrame(rows, "symbol string, ts long, ym string, " + ", ".join(f"{n} double" for n in names[3:])).write.parquet(str(tmp_path / "S" / "fold_0" / "features.parquet"))
+    spec = {"body_dom_min": 0.2, "close_to_ext_atr_max": 2.0, "t240_abs_min": 0.3, "accel_15_240_min": -1.0, "compression": {"atr_p_max": 90, "dcw_p_max": 80}, "kappa_sign_thr": {"t_240_min": 0.3, "t_60_min": 0.0, "t_15_min": 0.0, "quorum": 2}}
+    cfg = {"io": {"outputs_root": str(tmp_path)}, "candidates": {"mode": "gated"}, "candidate_gate": spec, "labels": {"eta_atr": 0.1, "eta_cap": {"min": 0.4, "max": 9}, "risk_floor_rho": 0.3, "quick_ignition_hours": 0.0001}}
+    fold = walkforward.Fold(spark, cfg, "S", 0, ["2024-01"], [])
+    want = {}
+    for r in rows:
+        v = dict(zip(names, r))
+        for side, sign, near in (("long", 1, "close_to_hi_atr"), ("short", -1, "close_to_lo_atr")):
+            votes = sum(sign * v[t] >= m for t, m in (("t_240", 0.3), ("t_60", 0.0), ("t_15", 0.0)))
+            if v["body_dom"] >= 0.2 and v[near] <= 2 and abs(v["t_240"]) >= 0.3 and v["t_240"] * sign > 0 and v["accel_15_240"] >= -1 and v["atr_p"] <= 90 and v["dcw_p"] <= 80 and votes >= 2:
+                want[v["ts"], side] = round(v["close"] - sign * 0.4 * v["atr"], 8)
+    found = fold.table("candidates").collect()
+    assert len(want) > 10 and {(r["ts"], r["side"]): r["level"] for r in found} == want and all(r["eta"] == 0.4 for r in found)
+    cfg["labels"]["side"] = "long"
+    forced, made = walkforward.Fold(spark, cfg, "S", 0, ["2024-01"], [], force=True), []
+    forced.features = lambda: made.append("features") or spark.createDataFrame(rows, "symbol string, ts long, ym string, " + ", ".join(f"{n} double" for n in names[3:]))
+    assert {r["side"] for r in forced.table("candidates").collect()} == {"long"}
+    forced.table("features"), forced.table("candidates")
+    assert made == ["features"]  # made anew once, not at each use
+
+
+def test_crash_report(spark, tmp_path):
+    (tmp_path / "part.csv").write_text("x")
+    try:
+        raise KeyError("nothing there")
+    except KeyError as error:
+        found = artifacts.read_json(spark, artifacts.write_report(spark, error, str(tmp_path)))
+    assert "nothing there" in found["error"] and any("test_crash_report" in line for line in found["traceback"]) and any(f.endswith("part.csv") and n == 1 for f, n in found["files"].items())

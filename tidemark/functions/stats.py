@@ -59,3 +59,8 @@ def to_epoch_ms(ts: Column, largest: Column) -> Column:
 def month_of(ts_ms: Column) -> Column:
     """YYYY-MM in UTC (the session time zone is UTC)."""
     return F.date_format(F.timestamp_millis(ts_ms), "yyyy-MM")
+
+
+def time_unit(median_step: Column) -> Column:
+    """Unit of time stamps by the median of their positive steps: sec, ms or ns; sec without any."""
+    return F.when(median_step >= 1e10, "ns").when(median_step >= 1e4, "ms").otherwise("sec")

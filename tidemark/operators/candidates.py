@@ -84,6 +84,19 @@ def both_sides(df: DataFrame, eta: float = 20.0, eta_table: list[tuple[float, fl
     return out.withColumns({c: F.round(c, 8) for c in ("entry", "level", "risk_dist", "atr")})
 
 
+def gated(df: DataFrame, gate: Gate, eta: float = 0.3, eta_table: list[tuple[float, float, float]] = [], eta_cap: tuple[float, float] = (0.0, float("inf")), min_risk: float = 0.0, sides: tuple[str, ...] = ("long", "short")) -> DataFrame:  # noqa: B006
+    """One candidate for each row and side that passes all conditions of the gate; prices as in both_sides, eta within its cap.
+
+    Candidates that risk less than min_risk ATRs are dropped; entry, level, risk_dist and eta are rounded to 8 places.
+    """
+    eta_of = lookup(F.col("atr_p"), eta_table, eta) if eta_table else F.lit(float(eta))
+    passed = F.array_compact(F.array(*[F.when(gate.mask(s), F.lit(s)) for s in sides]))
+    out = df.withColumn("eta", F.least(F.greatest(eta_of, F.lit(eta_cap[0])), F.lit(eta_cap[1]))).withColumn("side", F.explode(passed))
+    sign = F.when(F.col("side") == "long", 1).otherwise(-1)
+    out = out.withColumns({"entry": F.col("close"), "level": F.col("close") - sign * F.col("eta") * F.col("atr")}).withColumn("risk_dist", F.abs(F.col("entry") - F.col("level")))
+    return out.where(F.col("risk_dist") >= min_risk * F.col("atr")).withColumns({c: F.round(c, 8) for c in ("entry", "level", "risk_dist", "eta")})
+
+
 def kept_columns(df: DataFrame, base: list[str]) -> DataFrame:
     """The base columns that exist, in their order, then those of the families."""
     names = [c for c in base if c in df.columns]

@@ -150,3 +150,17 @@ def set_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that only one of the tables has, with the side that has them."""
     only = lambda x, y, name: x.select(*keys).distinct().join(y.select(*keys).distinct(), keys, "left_anti").withColumn("only_in", F.lit(name))
     return only(a, b, "a").unionByName(only(b, a, "b"))
+
+
+def monotone(df: DataFrame, bin_col: str, y: str, slack: float = 0.02) -> DataFrame:
+    """One row: rises, falls and monotone, whether the rate of wins by bin never falls (rises) by more than `slack` from a bin to the next; a few bins at most."""
+    rates = df.where(F.col(bin_col).isNotNull()).groupBy(F.col(bin_col).alias("__bin")).agg(F.avg(F.col(y).cast("double")).alias("__rate"))
+    step = rates.withColumn("__step", F.col("__rate") - F.lag("__rate").over(Window.orderBy("__bin")))
+    rises, falls = (F.coalesce(F.min(test), F.lit(True)) for test in (F.col("__step") >= -slack, F.col("__step") <= slack))
+    return step.agg(rises.alias("rises"), falls.alias("falls")).withColumn("monotone", F.col("rises") | F.col("falls"))
+
+
+def least_gap(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
+    """For each key the least time between successive rows; null for a single row."""
+    gap = F.col(ts) - F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts))
+    return df.withColumn("__gap", gap).groupBy(*keys).agg(F.min("__gap").alias("min_gap"))

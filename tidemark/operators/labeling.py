@@ -79,12 +79,13 @@ def r_multiple(df: DataFrame, r_mult: float) -> DataFrame:
     return df.withColumn("R_gross", F.when(F.col("outcome") == "win", float(r_mult)).when(F.col("outcome") == "loss", -1.0).otherwise(0.0))
 
 
-def costs(df: DataFrame, maker_bps: float = 1.0, taker_bps: float = 5.0, entry_is_maker: bool = False, exit_is_maker: bool = True, funding_per_hour: float = 0.0001, funding_sign: float = 1.0, compat: bool = False) -> DataFrame:
+def costs(df: DataFrame, maker_bps: float = 1.0, taker_bps: float = 5.0, entry_is_maker: bool = False, exit_is_maker: bool = True, funding_per_hour: float = 0.0001, funding_sign: float = 1.0, compat: bool = False, roundtrip_bps: float = 0.0) -> DataFrame:
     """Adds R_costs and R: fees and funding in units of risk, by the position's leverage entry / risk_dist.
 
-    compat: hours as milliseconds / 3600, a thousand times too long, as older runs had them.
+    compat: hours as milliseconds / 3600, a thousand times too long, as older runs had them. roundtrip_bps: if above 0,
+    the fee of entry and exit together.
     """
-    bps = (maker_bps if entry_is_maker else taker_bps) + (maker_bps if exit_is_maker else taker_bps)
+    bps = roundtrip_bps if roundtrip_bps > 0 else (maker_bps if entry_is_maker else taker_bps) + (maker_bps if exit_is_maker else taker_bps)
     leverage = safe_div(F.col("entry"), F.col("risk_dist"))
     hours = (F.col("outcome_ts") - F.col("ts")) / (3600 if compat else 3_600_000)
     cost = leverage * (bps / 10_000) + leverage * funding_per_hour * funding_sign * F.greatest(hours, F.lit(0.0))

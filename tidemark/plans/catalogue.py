@@ -250,6 +250,14 @@ def bar_seconds(spark, sf_dir):
     return d.groupBy("symbol").agg(F.expr("mode(d, true)").alias("d")).select("symbol", F.expr("d div 1000").alias("bar_seconds"))
 
 
+@query("time_units", f"""WITH {BARS}, d AS (SELECT symbol, ts - lag(ts) {BY} AS d FROM bars), m AS (SELECT symbol, median(d) AS ms, median(d / 1000) AS s, median(d * 1000000.0) AS ns FROM d WHERE d > 0 GROUP BY 1)
+SELECT symbol, {', '.join(f"CASE WHEN {c} >= 1e10 THEN 'ns' WHEN {c} >= 1e4 THEN 'ms' ELSE 'sec' END AS unit_{c}" for c in ('ms', 's', 'ns'))} FROM m""")
+def time_units(spark, sf_dir):
+    d = bars(spark, sf_dir).withColumn("d", (F.col("ts") - F.lag("ts").over(W.ordered())).cast("double")).where("d > 0")
+    steps = d.groupBy("symbol").agg(*[F.percentile(F.col("d") * by, F.lit(0.5)).alias(c) for c, by in (("ms", 1.0), ("s", 0.001), ("ns", 1e6))])
+    return steps.select("symbol", *[stats.time_unit(F.col(c)).alias(f"unit_{c}") for c in ("ms", "s", "ns")])
+
+
 # --- fitted features ----------------------------------------------------------------------------------------------
 EDGES5 = "quantile_cont(close, [0.2, 0.4, 0.6, 0.8])"
 
@@ -362,6 +370,12 @@ def gate_mask(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query("candidates_gated", f"""WITH {GATED} SELECT m.symbol, m.ts, m.side, {r('g.close', 'entry')}, {r('g.close - g.sg * 0.5 * g.atr', 'level')}, {r('abs(0.5 * g.atr)', 'risk_dist')}, 0.5::DOUBLE AS eta
+FROM m JOIN g ON m.symbol = g.symbol AND m.ts = g.ts AND m.side = g.side WHERE body AND near AND trend AND sign AND m.accel AND m.atr AND dcw AND quorum AND abs(0.5 * g.atr) >= 0.2 * g.atr""")
+def candidates_gated(spark, sf_dir):
+    return candidates.gated(_gated(spark, sf_dir), GATE, eta=0.3, eta_cap=(0.5, 2.0), min_risk=0.2).select("symbol", "ts", "side", "entry", "level", "risk_dist", "eta")
+
+
 @query("gate_diagnostics", f"""WITH {GATED} SELECT side, count(*) AS rows, {', '.join(f'count(*) FILTER ({c}) AS n_{c}' for c in ('body', 'near', 'trend', 'sign', 'accel', 'atr', 'dcw', 'quorum'))},
 count(*) FILTER (body AND near AND trend AND sign AND accel AND atr AND dcw AND quorum) AS n_all FROM m GROUP BY side""")
 def gate_diagnostics(spark, sf_dir):
@@ -447,6 +461,14 @@ def trade_costs(spark, sf_dir):
     return labeling.costs(labeling.r_multiple(done, 3.0)).select("symbol", "ts", "side", "R_gross", "R_costs", "R")
 
 
+@query("trade_costs_roundtrip", f"""WITH {_labels_sql('ticks', 48, 3.0, False)}, g AS (SELECT *, CASE outcome WHEN 'win' THEN 3.0 WHEN 'loss' THEN -1.0 ELSE 0.0 END AS R_gross,
+ entry / risk_dist * 0.0008 + entry / risk_dist * 0.0001 * greatest((outcome_ts - ts) / 3600000.0, 0) AS R_costs FROM lab WHERE outcome <> 'timeout')
+SELECT symbol, ts, side, {r('R_costs', 'R_costs')}, {r('R_gross - R_costs', 'R')} FROM g""")
+def trade_costs_roundtrip(spark, sf_dir):
+    done = _labelled(spark, sf_dir).where("outcome <> 'timeout'")
+    return labeling.costs(labeling.r_multiple(done, 3.0), roundtrip_bps=8.0).select("symbol", "ts", "side", "R_costs", "R")
+
+
 @query("decided_metrics", f"""WITH {_labels_sql('ticks', 48, 3.0, False)}, g AS (SELECT count(*) AS n, count(*) FILTER (side = 'long') AS entries, count(*) FILTER (side = 'long' AND outcome = 'win') AS wins, count(*) FILTER (side = 'long' AND outcome = 'loss') AS losses, count(*) FILTER (side = 'long' AND outcome = 'timeout') AS timeouts FROM lab)
 SELECT n, entries, wins, losses, timeouts, {r('entries / n::DOUBLE', 'coverage')}, {r('coalesce(wins / nullif(wins + losses, 0)::DOUBLE, 0.0)', 'ppv')}, {r(wilson_sql('wins', '(wins + losses)')[0], 'ppv_lcb')}, {r('wins * 3.0 - losses', 'net_R')}, {r('coalesce((wins * 3.0 - losses) / nullif(wins + losses, 0), 0.0)', 'avg_R')} FROM g""")
 def decided_metrics(spark, sf_dir):
@@ -476,6 +498,13 @@ def capped_schedule(spark, sf_dir):
     return sequential.capped(_labelled(spark, sf_dir), 3, 2).select("symbol", "ts", "side")
 
 
+@query("least_gap", f"""WITH RECURSIVE {BARS}, n AS (SELECT a.symbol, a.ts, min(b.ts) AS next FROM bars a LEFT JOIN bars b ON a.symbol = b.symbol AND b.ts >= a.ts + {6 * HOUR} GROUP BY 1, 2),
+g AS (SELECT symbol, ts, next FROM n WHERE ts = (SELECT min(ts) FROM bars WHERE bars.symbol = n.symbol) UNION ALL SELECT n.symbol, n.ts, n.next FROM g JOIN n ON n.symbol = g.symbol AND n.ts = g.next)
+SELECT symbol, CAST(min(next - ts) AS BIGINT) AS min_gap FROM g GROUP BY symbol""")
+def least_gap(spark, sf_dir):
+    return evaluate.least_gap(sequential.spaced(bars(spark, sf_dir), 6 * HOUR, ("symbol",)), ["symbol"])
+
+
 # --- mining -------------------------------------------------------------------------------------------------------
 LITS = ("q", "d", "t", "ln")
 MINED = "base AS (SELECT sum(is_win) / sum(is_win + is_loss)::DOUBLE AS base_p, sum(is_win + is_loss) / count(*)::DOUBLE AS base_resolve FROM ev)"
@@ -510,6 +539,13 @@ def mine_rules_2d(spark, sf_dir):
     return mining.mine_pairs(outcomes(spark, sf_dir), list(LITS), max_timeout=2.0).select("rule_id", *_RULE)
 
 
+@query("monotone_bins", f"""WITH {OUT}, l AS ({ONE}), g AS (SELECT lit, val, avg(is_win::DOUBLE) AS p FROM l GROUP BY 1, 2), d AS (SELECT lit, p - lag(p) OVER (PARTITION BY lit ORDER BY val) AS d FROM g)
+SELECT lit, coalesce(bool_and(d >= -0.001), true) AS rises, coalesce(bool_and(d <= 0.001), true) AS falls, coalesce(bool_and(d >= -0.001), true) OR coalesce(bool_and(d <= 0.001), true) AS monotone FROM d GROUP BY lit""")
+def monotone_bins(spark, sf_dir):
+    ev = outcomes(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [evaluate.monotone(ev, c, "is_win", 0.001).withColumn("lit", F.lit(c)) for c in LITS])
+
+
 @query("promote_top_k", f"WITH {_rules_sql('lit, val', ONE)} SELECT lit || '==' || val AS rule_id, {r('precision_lcb', 'precision_lcb')} FROM rules WHERE precision_lcb >= 0.4 ORDER BY precision_lcb DESC, support_n DESC, lit || '==' || val LIMIT 5")
 def promote_top_k(spark, sf_dir):
     return mining.promoted(_single(spark, sf_dir).withColumn("base_p", F.lit(0.4)).withColumn("base_resolve", F.lit(0.0)), top_k=5, max_timeout=2.0).select("rule_id", "precision_lcb")
@@ -555,6 +591,13 @@ def label_join_full_key(spark, sf_dir):
     return _cands(spark, sf_dir).select("symbol", "ts", "side").join(ev, ["symbol", "ts", "side"], "left")
 
 
+@query("label_join_five_keys", f"""WITH {_labels_sql('ticks', 48, 3.0, False)} SELECT c.symbol, c.ts, c.side, outcome
+FROM c LEFT JOIN lab l ON c.symbol = l.symbol AND c.ts = l.ts AND c.side = l.side AND round(c.entry, 8) = l.entry AND round(c.risk_dist, 8) = l.risk_dist""")
+def label_join_five_keys(spark, sf_dir):
+    keys = ["symbol", "ts", "side", "entry", "level", "risk_dist"]
+    return _cands(spark, sf_dir).select(*keys).join(_labelled(spark, sf_dir).select(*keys, "outcome"), keys, "left").select("symbol", "ts", "side", "outcome")
+
+
 @query("label_join_ts_fanout", f"WITH {_labels_sql('ticks', 48, 3.0, False)} SELECT c.symbol, c.ts, c.side, l.side AS label_side, outcome FROM c JOIN lab l ON c.symbol = l.symbol AND c.ts = l.ts")
 def label_join_ts_fanout(spark, sf_dir):
     ev = _labelled(spark, sf_dir).select("symbol", "ts", F.col("side").alias("label_side"), "outcome")

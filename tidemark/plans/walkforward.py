@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import windows as W
 from tidemark.operators import candidates, evaluate, features, gate, labeling, mining, sequential
 from tidemark.sources import series
+from tidemark.sources.artifacts import write_report
 
 STAGES = ("features", "candidates", "labels", "rules", "trades")
 HOUR = 3_600_000
@@ -41,12 +42,14 @@ class Fold:
     def __init__(self, spark: SparkSession, cfg: dict, symbol: str, number: int, train: list[str], test: list[str], force: bool = False):
         self.spark, self.cfg, self.symbol, self.train, self.test, self.force = spark, cfg, symbol, train, test, force
         self.root = f"{cfg.get('io', {}).get('outputs_root', 'outputs')}/{symbol}/fold_{number}"
-        self.label = cfg.get("labels", {})
+        self.label, self.done = cfg.get("labels", {}), set()
 
     def table(self, stage: str) -> DataFrame:
+        """The stage's result; with `force` it is made anew, once."""
         path = f"{self.root}/{stage}.parquet"
-        if self.force or not series._exists(self.spark, f"{path}/_SUCCESS"):
+        if (self.force and stage not in self.done) or not series._exists(self.spark, f"{path}/_SUCCESS"):
             getattr(self, stage)().write.mode("overwrite").parquet(path)
+        self.done.add(stage)
         return self.spark.read.parquet(path)
 
     def _path(self, kind: str) -> str:
@@ -70,13 +73,28 @@ class Fold:
         return df
 
     def candidates(self) -> DataFrame:
-        p = self.cfg.get("candidates", {}).get("blind", {}).get("thinning", {}).get("params", {})
         df = self.table("features").withColumn("bar_idx", F.row_number().over(W.ordered()) - 1)
-        df = candidates.thinned(df, p.get("ret_lookback", 240), p.get("k_sigma", 0.75), p.get("drift", 0.0), p.get("min_gap_bars", 0), p.get("fallback_stride_k", 0))
-        table = [(r["lo"], r["hi"], r["eta"]) for r in self.label.get("eta_by_atr_p", [])]
-        df = candidates.both_sides(df, self.label.get("eta_atr", 20.0), table, self.label.get("min_risk_atr_frac", 0.001))
+        df = self._blind(df) if self.cfg.get("candidates", {}).get("mode", "blind") == "blind" else self._gated(df)
         return sequential.best_in_window(df, int(self.label.get("quick_ignition_hours", 2) * HOUR))
 
+    def _eta_table(self) -> list[tuple[float, float, float]]:
+        return [(r["lo"], r["hi"], r["eta"]) for r in self.label.get("eta_by_atr_p", [])]
+
+    def _gated(self, df: DataFrame) -> DataFrame:
+        """Candidates of the sides in labels.side that pass candidate_gate."""
+        g, cap, side = self.cfg["candidate_gate"], self.label.get("eta_cap", {}), self.label.get("side", "both")
+        signs = g["kappa_sign_thr"]
+        gate_ = candidates.Gate(
+            g["body_dom_min"], g["close_to_ext_atr_max"], g["t240_abs_min"], g["accel_15_240_min"], g["compression"]["atr_p_max"], g["compression"]["dcw_p_max"], (signs["t_240_min"], signs["t_60_min"], signs["t_15_min"]), int(signs["quorum"])
+        )
+        sides = ("long", "short") if side == "both" else (side,)
+        return candidates.gated(df, gate_, self.label.get("eta_atr", 0.3), self._eta_table(), (cap.get("min", 0.0), cap.get("max", float("inf"))), self.label.get("risk_floor_rho", 0.0), sides)
+
+    def _blind(self, df: DataFrame) -> DataFrame:
+        p = self.cfg.get("candidates", {}).get("blind", {}).get("thinning", {}).get("params", {})
+        df = candidates.thinned(df, p.get("ret_lookback", 240), p.get("k_sigma", 0.75), p.get("drift", 0.0), p.get("min_gap_bars", 0), p.get("fallback_stride_k", 0))
+        return candidates.both_sides(df, self.label.get("eta_atr", 20.0), self._eta_table(), self.label.get("min_risk_atr_frac", 0.001))
+
     def labels(self) -> DataFrame:
         cands = self.table("candidates")
         found = [p for p in (series.existing(self.spark, self._path("ticks").format(SYMBOL=self.symbol, YYYY=m[:4], MM=m[5:7])) for m in self.train + self.test) if p]
@@ -120,14 +138,16 @@ class Fold:
         core, held = train.where(~late), train.where(late)
         return train if core.isEmpty() else core, train if held.isEmpty() else held
 
-    def _rule_of(self, rules: DataFrame) -> Column:
-        """Id of the first promoted rule that holds, by lower bound."""
+    def _promoted(self, rules: DataFrame) -> DataFrame:
         spec = self.cfg.get("mining", {}).get("rules", {})
-        best = mining.promoted(
+        return mining.promoted(
             rules, spec.get("top_k", 25), spec.get("min_precision_uplift_abs", 0.0), spec.get("min_precision_uplift_pp", 0.0), spec.get("min_lift_lcb", 0.0), spec.get("min_resolve_frac", 0.0), spec.get("min_resolve_uplift_pp", 0.0),
             spec.get("max_timeout_rate", 1.0), spec.get("min_wins", 4), spec.get("abs_min_plcb", spec.get("min_precision_lcb", 0.0)),
         )
-        best = [r.asDict() for r in best.collect()]  # top_k rules at most
+
+    def _rule_of(self, rules: DataFrame) -> Column:
+        """Id of the first promoted rule that holds, by lower bound."""
+        best = [r.asDict() for r in self._promoted(rules).collect()]  # top_k rules at most
         return mining.first_match([(r["rule_id"], [(c, "==", v) for c, v in group]) for r, group in zip(best, gate.loser_groups(best, 0), strict=True)])
 
     def trades(self) -> DataFrame:
@@ -139,16 +159,22 @@ class Fold:
         kinds = [r[0] for r in core.select("is_win").distinct().limit(2).collect()]
         if len(kinds) < 2:  # nothing to learn from
             return test.withColumns({"p_win": F.lit(0.0), "enter": F.lit(False)}).limit(0)
-        model = gate.fit(core, "is_win", lits, model=self.cfg.get("ml_gating", {}).get("model", "logreg"), validation=held)
-        models = gate.calibrated(gate.scored(gate.codes(core, lits), model), "is_win")
-        valid = gate.scored(gate.codes(held, lits), model).withColumn("p_win", gate.probability(models))
-        tau = evaluate.threshold(valid, "p_win", "is_win", spec.get("target_ppv_lcb", 0.7), spec.get("min_coverage", 0.02)).first()
-        losers = gate.loser_groups([r.asDict() for r in mining.losers(rules).collect()])  # a few rules at most
-        out = gate.scored(gate.codes(test, lits), model).withColumn("p_win", gate.probability(models))
-        out = gate.entered(out, tau["tau"] if tau else 0.5, losers).where("enter")
-        out = sequential.one_at_a_time(out.drop(*[c for c in out.columns if c.startswith(("c_qbin_", "c_B_"))]), int(self.label.get("horizon_hours", 480) * HOUR))
+        learner, method = self.cfg.get("ml_gating", {}).get("model", "logreg"), spec.get("calibration", "isotonic")
+        groups = [g for g in gate.loser_groups([r.asDict() for r in self._promoted(rules).collect()], 0) if len(g) == 2]  # top_k rules at most
+        pairs = [tuple(g) for g in groups if all(c in core.columns for c, _ in g)]
+        crossing = self.cfg.get("ml_gating", {}).get("crosses", {})
+        curated = [tuple(p) for p in crossing.get("curated", [])] if crossing.get("enable_curated", True) else []
+        bundle = gate.Bundle([], lits, pairs, [], 0.5, gate.loser_groups([r.asDict() for r in mining.losers(rules).collect()]), curated)  # a few losers at most
+        core, held = bundle.crossed(core), bundle.crossed(held)
+        bundle.extra = gate.chosen_crosses(core, held, "is_win", [c for c in core.columns if c.startswith(("x_", "xC_")) and c in held.columns], crossing.get("max_total", 20))
+        model = gate.fit(core, "is_win", lits, bundle.extra, model=learner, validation=held)
+        bundle.parts = gate.refitted(core, "is_win", lits, model, bundle.extra, learner, method, model.strength)
+        tau = evaluate.threshold(gate.with_probability(held, bundle.parts, lits), "p_win", "is_win", spec.get("target_ppv_lcb", 0.7), spec.get("min_coverage", 0.02)).first()
+        bundle.tau = tau["tau"] if tau else 0.5
+        gate.save_bundle(self.spark, bundle, f"{self.root}/gate")
+        out = sequential.one_at_a_time(bundle.enter(test).where("enter"), int(self.label.get("horizon_hours", 480) * HOUR))
         fees = self.cfg.get("execution_sim", {}).get("fees", {})
-        return labeling.costs(labeling.r_multiple(out, self.label.get("r_mult", 5.0)), fees.get("maker_bps", 1.0), fees.get("taker_bps", 5.0), fees.get("entry_is_maker", False), fees.get("exit_is_maker", True))
+        return labeling.costs(labeling.r_multiple(out, self.label.get("r_mult", 5.0)), fees.get("maker_bps", 1.0), fees.get("taker_bps", 5.0), fees.get("entry_is_maker", False), fees.get("exit_is_maker", True), roundtrip_bps=fees.get("roundtrip_bps", 0.0))
 
 
 def run(spark: SparkSession, cfg: dict, stages: tuple[str, ...] = STAGES, force: bool = False) -> list[dict]:
@@ -177,7 +203,11 @@ def main(argv: list[str] | None = None) -> None:
         cfg = yaml.safe_load(file)
     stages = (args.only,) if args.only else STAGES[STAGES.index(args.first) : STAGES.index(args.last) + 1]
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    print(json.dumps(run(spark, cfg, stages, args.force), indent=2))
+    try:
+        print(json.dumps(run(spark, cfg, stages, args.force), indent=2))
+    except Exception as error:
+        write_report(spark, error, cfg.get("io", {}).get("outputs_root", "outputs"))
+        raise
 
 
 if __name__ == "__main__":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import traceback
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,18 @@ def read_json(spark: SparkSession, path: str) -> object:
     return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
 
 
+def write_report(spark: SparkSession, error: BaseException, root: str) -> str:
+    """What a failed run leaves behind: error, traceback and the files below root with their sizes. Returns the report's path."""
+    at, fs = _file(spark, root)
+    files, walk = {}, fs.listFiles(at, True) if fs.exists(at) else None
+    while walk is not None and walk.hasNext():
+        status = walk.next()
+        files[status.getPath().toString()] = status.getLen()
+    path = f"{root}/crash_report.json"
+    write_json(spark, {"error": repr(error), "traceback": traceback.format_exception(error), "files": files}, path)
+    return path
+
+
 def fingerprint(cfg: dict, tables: dict[str, DataFrame]) -> dict:
     """SHA-256 of the configuration, and for each table its rows and an order-free hash of them."""
     marks = {}
