@@ -78,9 +78,10 @@ def sigma_filled(df: DataFrame, x: str, n: int, out: str, keys: tuple[str, ...]
 
 def run_lengths(df: DataFrame, x: str, out: str, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """1, 2, 3, ... along equal neighbours, from 1 again where the value changes."""
-    change = (~F.col(x).eqNullSafe(F.lag(x).over(ordered(keys)))).cast("int")
-    df = df.withColumn("__new", change).withColumn("__island", F.sum("__new").over(ordered(keys)))
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "__island").orderBy("ts"))).drop("__new", "__island")
+    at = F.row_number().over(ordered(keys))
+    df = df.withColumns({"__at": at, "__new": (at == 1) | ~F.col(x).eqNullSafe(F.lag(x).over(ordered(keys)))})
+    began = F.max(F.when(F.col("__new"), F.col("__at"))).over(ordered(keys).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn(out, F.col("__at") - began + 1).drop("__at", "__new")
 
 
 def rows_since(df: DataFrame, flag: Column, out: str, keys: tuple[str, ...] = SERIES) -> DataFrame:
