@@ -14,8 +14,11 @@ KEY_BITS = 60
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it; /tmp/checkpoints only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints")
+    """The folder every executor can reach, as the cluster names it; where that is unset, the warehouse, or /tmp/checkpoints in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    return "/tmp/checkpoints" if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -47,7 +47,7 @@ def measured(docs: DataFrame, text: str = "__text") -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """__id, __hash, __host and each line that has a word, normalised (A-Z as a-z, one space between words), as hash and word count."""
+    """__id, __hash, __host and each line that has a word, normalised (lower case, one space between words), as hash and word count."""
     exploded = docs.select("__id", "__hash", "__host", F.explode(F.split("__text", "\\n")).alias("__line"))
     plain = exploded.withColumn("__line", F.trim(F.regexp_replace(F.lower("__line"), _SPACES, " "))).where("__line != ''")
     return plain.select("__id", "__hash", "__host", F.xxhash64("__line").alias("line"), F.size(F.split("__line", " ")).alias("words"))
@@ -61,7 +61,8 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_c
     words left is rejected, as are those that fail the base rules.
 
     Null text: no words (fails). No words: nothing is removed. A null host is a host. Rows equal in id, text and
-    host get equal results. Empty table: no rows. Other columns are ignored.
+    host get equal results. Empty table: no rows. Other columns are ignored. A very long text is one row, its words and
+    windows arrays of that row.
 
     Counts are aggregated before they are shuffled, so a line that all documents share is no hot key; the join
     back to lines broadcasts the boilerplate lines if they are few, and shuffles otherwise.

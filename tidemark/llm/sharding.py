@@ -22,8 +22,9 @@ def interleave(docs: DataFrame, n_shards: int = 24, seed: str = SEED, id_col: st
     grown_shard (null: this law fixes nothing for other shard counts).
 
     Null text: no bytes, CRC of nothing (0). Null source: a source of its own. Null ids and repeated rows are
-    rows like others; rows equal in id and text are interchangeable. Empty table: no rows. Fewer rows than
-    shards: some shards stay empty. Other columns are ignored.
+    rows like others; rows equal in id and text are interchangeable. Rows of equal texts are dealt one by one, so a
+    group of copies is spread over the shards as its sources are (law `rows` keeps no group together). Empty table:
+    no rows. Fewer rows than shards: some shards stay empty. A very long text is one row. Other columns are ignored.
 
     Ranks come from prefix sums over hash ranges of each source, whose number follows its rows, so one source
     may hold any share of the table.
