@@ -21,8 +21,12 @@ CHUNKS, SLOTS, BITS = 14, 4, 16
 #: Errors allowed in a chunk. Pairs with up to DISTANCE differing values share a chunk with at most that many.
 ERRORS = 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Buckets of more classes than this are crowded: their classes' shingles are counted to bound similarities.
-CROWD = 8
+#: Buckets of more classes than this are crowded: their classes' shingles are counted and mapped to MAP_WORDS words of 64
+#: bits to bound similarities, which never drops a pair that reaches the similarity.
+CROWD, MAP_WORDS = 8, 16
+#: Buckets of more members than HOT meet their leader by broadcast, so that no task holds them; buckets of more than
+#: BLOCK are compared in blocks of about so many members, each pair of blocks by itself.
+HOT, BLOCK = 4_096, 512
 #: Link: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
 
@@ -31,6 +35,7 @@ _XOR = _RNG.integers(0, 1 << 63, CHUNKS * SLOTS, dtype=U)
 _MUL = _RNG.integers(0, 1 << 63, CHUNKS * SLOTS, dtype=U) * U(2) + U(1)
 _LANES = (0, 1, 2, 3)
 _CHUNK_COLUMNS = [f"s{i}" for i in range(CHUNKS)]
+_MAP_COLUMNS = [f"m{i}" for i in range(MAP_WORDS)]
 _PLACE = (U(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F)
 
 
@@ -84,18 +89,42 @@ def _may_link(a: str, b: str) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * SIMILARITY) & (reduce(add, _differing(a, b)) <= DISTANCE)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """cid and shingle sets of the rows (cid, text), about a million shingles at a time."""
     for batch in batches:
-        sets = pa.array([s.tobytes() for s in shingle_sets(column_bytes(batch.column("text")))], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), sets], names=["cid", "items"])
+        cids, at, sets, size = batch.column("cid").to_numpy(zero_copy_only=False), 0, [], 0
+        for s in shingle_sets(column_bytes(batch.column("text"))):
+            sets.append(s)
+            size += len(s)
+            if size > 1 << 20:
+                yield cids[at : at + len(sets)], sets
+                at, sets, size = at + len(sets), [], 0
+        yield cids[at : at + len(sets)], sets
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for cids, sets in _in_parts(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "items"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = list(shingle_sets(column_bytes(batch.column("text"))))
+    for cids, sets in _in_parts(batches):
         if sets:
-            cids = np.repeat(batch.column("cid").to_numpy(zero_copy_only=False), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(np.concatenate(sets).view(np.int64))], names=["cid", "shingle"])
+            every = np.repeat(cids, [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.concatenate(sets).view(np.int64))], names=["cid", "shingle"])
+
+
+def shingle_map(shingles: np.ndarray) -> np.ndarray:
+    """MAP_WORDS words of 64 bits, with the bit of each shingle's hash set."""
+    bits = np.zeros(64 * MAP_WORDS, dtype=np.uint8)
+    bits[(mix(shingles) % U(64 * MAP_WORDS)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for cids, sets in _in_parts(batches):
+        words = np.array([shingle_map(s) for s in sets], dtype=np.int64).reshape(-1, MAP_WORDS)
+        yield pa.RecordBatch.from_arrays([pa.array(cids), *[pa.array(words[:, i]) for i in range(MAP_WORDS)]], names=["cid", *_MAP_COLUMNS])
 
 
 def _rare(crowd: DataFrame, docs: DataFrame) -> DataFrame:
@@ -107,34 +136,61 @@ def _rare(crowd: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _bound(a: str, b: str) -> Column:
-    """Whether the similarity can be reached by shingles that aren't rare; pairs with a rare one in common are compared besides."""
-    common = F.least(F.col(f"{a}.n") - F.col(f"{a}.rare"), F.col(f"{b}.n") - F.col(f"{b}.rare"))
-    return ~F.col(f"{a}.crowded") | (100 * common >= SIMILARITY * (F.col(f"{a}.n") + F.col(f"{b}.n") - common))
+    """Whether two classes of a crowded bucket, without a rare shingle in common, can reach the similarity.
+
+    They share at most what either has of shingles that aren't rare (`plain`). Each bit that one's map has and the
+    other's lacks is a shingle of its own, so they also share at most the bits in common and what either has of
+    shingles beyond its bits (`beyond`).
+    """
+    col = lambda side, c: F.col(f"{side}.{c}")
+    bits = reduce(add, [F.bit_count(col(a, m).bitwiseAND(col(b, m))) for m in _MAP_COLUMNS])
+    most = F.least(col(a, "plain"), col(b, "plain"), F.least(col(a, "beyond"), col(b, "beyond")) + bits)
+    return (100 + SIMILARITY) * most >= SIMILARITY * (col(a, "n") + col(b, "n"))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
-        for x, y in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist(), strict=True):
-            p, q = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
-            both = np.concatenate([p, q])
+        for x, y in zip(batch.column("xs"), batch.column("ys"), strict=True):
+            both = np.concatenate([np.frombuffer(x.as_py(), dtype=U), np.frombuffer(y.as_py(), dtype=U)])
             both.sort(kind="stable")
             common = int((both[1:] == both[:-1]).sum())
             good.append(100 * common >= SIMILARITY * (len(both) - common))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
+def _one_each(table: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The saved table with one row for each cid; rows of documents that repeat id and text come more than once."""
+    return saved(table.dropDuplicates(["cid"]), name) if table.count() > wanted.count() else table
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the saved pairs (a, b) of class ids that meet the similarity, by their full shingle sets."""
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     needed = small(classes.join(needed, F.col("cid") == F.col("id"), "left_semi").select("cid", F.col("uid").alias("__uid")), "dedup-needed")
     sets = docs.join(needed, F.col("uid") == F.col("__uid")).select("cid", "text").mapInArrow(_sets, "cid long, items binary")
-    sets = saved(sets, "dedup-sets").dropDuplicates(["cid"])
+    sets = _one_each(saved(sets, "dedup-sets"), needed, "dedup-single-sets")
     left, right = sets.toDF("ca", "xs"), sets.toDF("cb", "ys")
     both = pairs.join(left, F.col("a") == F.col("ca")).join(right, F.col("b") == F.col("cb"))
     return both.select("a", "b", "xs", "ys").mapInArrow(_confirm, "u long, v long")
 
 
+def _led(keys: DataFrame, leaders: DataFrame) -> DataFrame:
+    """keys with the leader of their bucket, where it has more members than one; leaders is a saved table."""
+    hot = small(leaders.where(F.col("members") > HOT), "dedup-hot")
+    if hot.isEmpty():
+        return keys.join(leaders, F.col("key") == F.col("__key"))
+    rest = keys.join(hot, F.col("key") == F.col("__key"), "left_anti").join(leaders.where(F.col("members") <= HOT), F.col("key") == F.col("__key"))
+    return keys.join(hot, F.col("key") == F.col("__key")).unionByName(rest)
+
+
+def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets as left and right sides that meet by (key, i, j), blocks of the left and of the right member."""
+    of = F.ceil(F.col("members") / BLOCK)
+    own, every = F.pmod(F.xxhash64("cid"), of).cast("int"), F.explode(F.sequence(F.lit(0), (of - 1).cast("int")))
+    return members.select("*", own.alias("i"), every.alias("j")), members.select("*", own.alias("j"), every.alias("i"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept, uid (a hash of id and text).
 
@@ -147,13 +203,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. In each bucket all members are compared with the least one; links are confirmed on full sets and joined to
        components, so that a group of near copies costs one comparison a member and bucket.
     4. Then all pairs of a bucket that are still in different components are compared, in the first bucket they share.
-       In crowded buckets rare shingles, which three texts of all crowds have at most, bound what two classes without
-       a rare one in common can share; pairs with one are listed by it. So a copy changed so much that it left its
-       group, whose new shingles hardly anyone has, isn't compared with all the others.
+       In crowded buckets rare shingles, which three texts of all crowds have at most, and bit maps of the sets bound
+       what two classes without a rare one in common can share; pairs with one are listed by it. So a copy changed so
+       much that it left its group, whose new shingles hardly anyone has, isn't confirmed against all the others. The
+       members of a large bucket are dealt to blocks, and each pair of blocks is a group of its own.
 
     No words, empty or null text: an empty set, n_shingles 0, linked with nothing. Rows equal in id and text get
     equal results. A null id takes part, but names no component unless all ids of it are null (component_id is
-    null then). kept: the id is the component's (null-safe). Empty table: no rows. Other columns are ignored.
+    null then). kept: the id is the component's (null-safe). Empty table: no rows. Other columns are ignored. Very long
+    texts are hashed piece by piece; a text's set of shingles is held as a whole where it is compared.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
     chunk_schema = ", ".join(f"{c} long" for c in _CHUNK_COLUMNS)
@@ -166,8 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = saved(found.join(first, F.col("rep") == F.col("__rep"), "left").withColumn("cid", own).drop("__rep", "__first"), "dedup-classes")
 
     keys = classes.select("cid", *_CHUNK_COLUMNS).mapInArrow(_chunk_keys, "key long, cid long, chunk byte")
-    leaders = keys.groupBy(F.col("key").alias("__key")).agg(F.min("cid").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    buckets = saved(keys.join(leaders, F.col("key") == F.col("__key")).select("key", "chunk", "cid", "leader"), "dedup-buckets")
+    leaders = saved(keys.groupBy(F.col("key").alias("__key")).agg(F.min("cid").alias("leader"), F.count("*").alias("members")).where("members > 1"), "dedup-leaders")
+    buckets = saved(_led(keys, leaders).select("key", "chunk", "cid", "leader", "members"), "dedup-buckets")
 
     side = classes.select("cid", "n", *_CHUNK_COLUMNS)
     stars = buckets.where("cid != leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
@@ -177,23 +235,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = saved(components(links), "dedup-components")
 
     labels = small(joined, "dedup-labels")
-    labelled = buckets.join(labels, F.col("cid") == F.col("node"), "left").select("key", "chunk", "cid", F.coalesce("root", "cid").alias("label"))
+    labelled = buckets.join(labels, F.col("cid") == F.col("node"), "left").select("key", "chunk", "cid", "members", F.coalesce("root", "cid").alias("label"))
     labelled = saved(labelled, "dedup-labelled")
-    mixed = labelled.groupBy(F.col("key").alias("__key")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count("*") > CROWD).alias("crowded")).where("lo < hi")
-    open_ = saved(labelled.join(mixed.select("__key", "crowded"), F.col("key") == F.col("__key")).drop("__key"), "dedup-mixed")
+    mixed = labelled.groupBy(F.col("key").alias("__key")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("members").alias("members")).where("lo < hi")
+    mixed = saved(mixed.select("__key", "members"), "dedup-mixed-keys")
+    open_ = saved(_led(labelled.drop("members"), mixed).drop("__key").withColumn("crowded", F.col("members") > CROWD), "dedup-mixed")
     crowd = open_.where("crowded").select(F.col("cid").alias("__in")).distinct()
     crowd = small(classes.join(crowd, F.col("cid") == F.col("__in"), "left_semi").select("cid", F.col("uid").alias("__uid")), "dedup-crowd")
     rare = saved(_rare(crowd, docs), "dedup-rare")
+    maps = docs.join(crowd, F.col("uid") == F.col("__uid")).select("cid", "text").mapInArrow(_maps, "cid long, " + ", ".join(f"{m} long" for m in _MAP_COLUMNS))
+    maps = _one_each(saved(maps, "dedup-maps"), crowd, "dedup-single-maps").withColumnRenamed("cid", "__mc")
     burden = small(rare.select(F.explode("owners").alias("__rc")).groupBy("__rc").agg(F.count("*").alias("rare")), "dedup-burden")
-    open_ = open_.join(side.withColumnRenamed("cid", "__cid"), F.col("cid") == F.col("__cid")).join(burden, F.col("cid") == F.col("__rc"), "left")
-    open_ = saved(open_.withColumn("rare", F.coalesce("rare", F.lit(0))).drop("__cid", "__rc"), "dedup-open")
-    x, y = open_.alias("x"), open_.alias("y")
+    calm = open_.where("not crowded").join(side.withColumnRenamed("cid", "__cid"), F.col("cid") == F.col("__cid")).drop("__cid")
+    x, y = calm.alias("x"), calm.alias("y")
     first_shared = reduce(and_, [(d > ERRORS) | (F.lit(i) >= F.col("x.chunk")) for i, d in enumerate(_differing("x", "y"))])
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label"))
-    cross = x.join(y, apart & _bound("x", "y") & _may_link("x", "y") & first_shared).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    apart = (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label"))
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _may_link("x", "y") & first_shared).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    bits = reduce(add, [F.bit_count(m) for m in _MAP_COLUMNS])
+    known = classes.select("cid", "n").join(maps, F.col("cid") == F.col("__mc")).join(burden, F.col("cid") == F.col("__rc"), "left")
+    known = known.select(F.col("cid").alias("__cid"), "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("plain"), (F.col("n") - bits).alias("beyond"), *_MAP_COLUMNS)
+    thronged = saved(open_.where("crowded").join(known, F.col("cid") == F.col("__cid")).drop("__cid", "chunk", "leader", "crowded"), "dedup-open")
+    x, y = (side_.alias(name) for name, side_ in zip("xy", _blocks(thronged), strict=True))
+    met = reduce(and_, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "i", "j")])
+    bounded = x.join(y, met & apart & _bound("x", "y")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     by_rare = rare.where("size(owners) > 1").select(F.expr("explode(filter(array(struct(owners[0] AS a, owners[1] AS b), struct(owners[0] AS a, get(owners, 2) AS b), struct(owners[1] AS a, get(owners, 2) AS b)), p -> p.b IS NOT NULL))").alias("p"))
-    by_rare = by_rare.select("p.a", "p.b").distinct().join(side.alias("x"), F.col("a") == F.col("x.cid")).join(side.alias("y"), F.col("b") == F.col("y.cid"))
-    cross = cross.union(by_rare.where(_may_link("x", "y")).select("a", "b")).distinct()
+    listed = bounded.union(by_rare.select("p.a", "p.b")).distinct()
+    listed = listed.join(side.alias("x"), F.col("a") == F.col("x.cid")).join(side.alias("y"), F.col("b") == F.col("y.cid"))
+    cross = cross.union(listed.where(_may_link("x", "y")).select("a", "b")).distinct()
     cross = saved(cross.join(stars, ["a", "b"], "left_anti"), "dedup-cross")
     more = saved(_confirmed(cross, classes, docs), "dedup-more-links")
     if more.isEmpty():
@@ -211,14 +279,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, one of each group; of rows equal in id and text, one."""
+    """The rows of docs that are kept, one of each group, with all their columns whatever their names.
+
+    Of rows equal in id and text one stays, whichever its other columns. Rows with a null, empty or wordless text
+    are groups of their own. Of ids with several texts each text is judged by itself. Empty table: no rows.
+    """
     result = near_duplicates(docs, id_col, text_col)
     kept = small(result.where("kept").select(F.col("uid").alias("__uid")).distinct(), "dedup-kept")
-    uid = F.xxhash64(F.col(id_col), F.col(text_col))
-    columns = docs.columns
-    rows = docs.withColumn("__own", uid).join(kept, F.col("__own") == F.col("__uid"), "left_semi")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("own")).join(kept, F.col("own") == F.col("__uid"), "left_semi")
     repeated = saved(result.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("uid").alias("__uid")), "dedup-repeated")
     if repeated.isEmpty():
-        return rows.select(*columns)
-    again = rows.join(small(repeated, "dedup-again"), F.col("__own") == F.col("__uid"), "left_semi").dropDuplicates(["__own"])
-    return rows.join(small(repeated, "dedup-once"), F.col("__own") == F.col("__uid"), "left_anti").unionByName(again).select(*columns)
+        return rows.select("row.*")
+    again = rows.join(small(repeated, "dedup-again"), F.col("own") == F.col("__uid"), "left_semi").dropDuplicates(["own"])
+    return rows.join(small(repeated, "dedup-once"), F.col("own") == F.col("__uid"), "left_anti").unionByName(again).select("row.*")

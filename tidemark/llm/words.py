@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 #: Odd multipliers for the words of a shingle.
 _PLACES = [0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F]
 #: Texts are hashed in pieces of about so many bytes, which bounds memory.
-PIECE = 1 << 21
+PIECE = 1 << 19
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _powers: dict[str, np.ndarray] = {}
 
@@ -65,22 +65,29 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([s for s, _ in out]), np.concatenate([h for _, h in out])
 
 
-def column_bytes(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.binary()).to_pylist()
+def column_bytes(column: pa.Array) -> Iterator[bytes | None]:
+    return (text.as_py() for text in column.cast(pa.binary()))
 
 
-def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+def _parts(texts: Iterable[bytes | None]) -> Iterator[list[bytes]]:
+    """Texts (null: empty) in lists of about PIECE bytes together, or one longer text."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text or b"") > PIECE:
+            yield part
+            part, size = [], 0
+        part.append(text or b"")
+        size += len(part[-1]) + 1
+    if part:
+        yield part
+
+
+def shingle_sets(texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
     """For each text its sorted distinct five-word shingle hashes; A-Z count as a-z.
 
     A text of one to four words has one shingle, its whole sequence; no words or null: none.
     """
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end] or b"") <= PIECE):
-            size += len(texts[end] or b"") + 1
-            end += 1
-        part = [t or b"" for t in texts[at:end]]
+    for part in _parts(texts):
         bounds = np.cumsum([0] + [len(t) + 1 for t in part])
         starts, h = word_hashes(b"\n".join(part).translate(_LOWER))
         cut = np.searchsorted(starts, bounds)
@@ -99,4 +106,3 @@ def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
                 yield mix(np.array([whole], dtype=U))
             else:
                 yield np.zeros(0, dtype=U)
-        at = end
