@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_trie, language_id, license_scan, mixing, near_dedup, quality_rules, sharding, token_counts, token_files, vector_topk
+from tidemark.llm import bpe_trie, fill_middle, language_id, license_scan, mixing, near_dedup, phrases, quality_rules, sharding, token_counts, token_files, url_filters, vector_topk
 from tidemark.llm.cluster import new_folder
 from tidemark.llm.vocabulary import default_path
 
@@ -56,6 +56,19 @@ def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.recode_digests(documents(spark, sf_dir), default_path("byte_bpe_50k.json"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filters.judge(pages, url_filters.fit(url_filters.labelled_by(pages)))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_language_filters": op2_language_filters,
@@ -67,6 +80,9 @@ QUERIES = {
     "op7_interleaved_shards": op7_interleaved_shards,
     "op8_systematic_mix": op8_systematic_mix,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_url_filters": op11_url_filters,
+    "op12_phrases": op12_phrases,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 _POSTINGS = ", ".join(f"('{w}', {t}, {i})" for w, t, i in license_scan._postings())
@@ -228,5 +244,60 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.v[i] * c.v[i] FOR
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op12_phrases": f"""
+WITH p AS MATERIALIZED (
+  SELECT lang, row_number() OVER () AS piece, w FROM (
+    SELECT lang, list_filter(string_split_regex(unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')), '[\\x20\\x09]+'), lambda x: x <> '') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)
+  )
+),
+u AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM p),
+o AS MATERIALIZED (SELECT lang, w1, lead(w1) OVER x AS w2, lead(w1, 2) OVER x AS w3 FROM u WINDOW x AS (PARTITION BY piece ORDER BY i)),
+words AS (SELECT lang, count(*) AS n FROM o GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, w1 AS phrase, count(*) AS f FROM o GROUP BY ALL
+  UNION ALL
+  SELECT lang, w1 || ' ' || w2, count(*) FROM o WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL
+  SELECT lang, w1 || ' ' || w2 || ' ' || w3, count(*) FROM o WHERE w3 IS NOT NULL GROUP BY ALL
+),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE f >= {phrases.LEAST} AND contains(phrase, ' ')),
+cuts AS (SELECT *, array_to_string(w[1:k], ' ') AS first_, array_to_string(w[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, len(w))) AS k FROM c)),
+half AS MATERIALIZED (SELECT cuts.*, x.f AS l FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first_),
+s AS (
+  SELECT half.lang, half.phrase, w, a, k, l, y.f AS r, CAST({phrases.SCALE}::HUGEINT * a * a // (l::HUGEINT * y.f) AS BIGINT) AS score
+  FROM half JOIN f y ON y.lang = half.lang AND y.phrase = rest
+),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS i FROM s) WHERE i = 1),
+inner_ AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE len(w) = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE len(w) = 3
+  ) GROUP BY ALL
+),
+r AS (
+  SELECT low.*, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank
+  FROM low LEFT JOIN inner_ ON low.lang = inner_.lang AND low.phrase = inner_.phrase WHERE most IS NULL OR 100 * most < {phrases.COVERED} * a
+)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN words ON r.lang = words.lang WHERE rank <= {phrases.TOP}
+""",
+    "op13_fill_middle": """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS w,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+),
+h AS (SELECT *, len(w) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS d FROM t),
+c AS (SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b FROM h),
+f AS (
+  SELECT doc_id, n, text, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 50 THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         coalesce(array_to_string(w[1:a], ''), '') AS p, coalesce(array_to_string(w[a + 1:b], ''), '') AS m, coalesce(array_to_string(w[b + 1:], ''), '') AS s
+  FROM c
+),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM f),
+b AS (SELECT *, string_split_regex(output, '<[PSM]>') AS x FROM o)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN x[2] || x[4] || x[3] ELSE x[3] || x[4] || x[2] END) AS restored_sha256
+FROM b
 """,
 }
