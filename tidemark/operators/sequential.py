@@ -1,7 +1,8 @@
-"""Operators whose state runs along a series: one pandas group for each series and fold.
+"""Operators whose state runs along a series, each cut into pieces where its state allows it.
 
-A series is one symbol (or side) of bars or candidates, which is small next to the ticks; state crosses months, so a
-series can't be cut without changing results. Parallelism is the number of series times folds.
+Averages are affine maps composed over pieces; schedules are chains of successors found by counting and pointer
+doubling; the best set of intervals is found in each stretch between gaps. `cusum` and `capped`, whose states neither
+compose nor point ahead, are one pandas group for each series and fold.
 """
 
 from __future__ import annotations
@@ -10,7 +11,11 @@ from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidemark.operators import pieces as P
+from tidemark.sources.staging import saved
 
 
 def _grouped(df: DataFrame, keys: list[str], f, added: str) -> DataFrame:
@@ -18,14 +23,10 @@ def _grouped(df: DataFrame, keys: list[str], f, added: str) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(f, f"{kept}, {added}" if added else kept)
 
 
-def ema(df: DataFrame, x: str, n: int, out: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Exponential average with weight 2 / (n + 1), begun at the first value; nulls carry it on."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        return rows.assign(**{out: rows[x].ewm(span=n, adjust=False, ignore_na=True).mean().ffill()})
-
-    return _grouped(df, list(keys), run, f"{out} double")
+def ema(df: DataFrame, x: str, n: int, out: str, keys: tuple[str, ...] = ("symbol",), pieces: int | None = None) -> DataFrame:
+    """Exponential average with weight 2 / (n + 1), begun at the first value; nulls carry it on. A series may lie in any number of pieces."""
+    rows = P.pieced(df, keys, [F.col("ts")], pieces)
+    return P.affine_scan(rows, keys, "ts", x, 1 - 2 / (n + 1), out).drop("__piece")
 
 
 def cusum(df: DataFrame, x: str, threshold: str, drift: float = 0.0, min_gap: int = 0, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -49,55 +50,47 @@ def cusum(df: DataFrame, x: str, threshold: str, drift: float = 0.0, min_gap: in
     return _grouped(df, list(keys), run, "event int")
 
 
-def best_in_window(df: DataFrame, width_ms: int, keys: tuple[str, ...] = ("symbol", "side")) -> DataFrame:
-    """Keeps the best candidate (least eta, highest atr_p, earliest) of each window.
+def _numbered(df: DataFrame) -> DataFrame:
+    return saved(df.withColumn("__id", F.monotonically_increasing_id()), "events")
 
-    A window begins at the first candidate that is free and spans width_ms; after its best one at time t, candidates
-    before t + width_ms are passed over. Null eta ranks last, null atr_p as the lowest.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "bar_idx"] if "bar_idx" in rows else "ts")
-        ts = rows["ts"].to_numpy(np.int64)
-        rank = list(zip(rows["eta"].fillna(np.inf), -rows["atr_p"].fillna(-np.inf), ts.tolist(), range(len(ts)), strict=True))
-        kept, i = [], 0
-        while i < len(ts):
-            end = int(np.searchsorted(ts, ts[i] + width_ms, side="left"))
-            best = min(rank[i:end])[3]
-            kept.append(best)
-            i = max(end, int(np.searchsorted(ts, ts[best] + width_ms, side="left")))
-        return rows.iloc[sorted(set(kept))]
 
-    return _grouped(df, list(keys), run, "")
+def _met(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    return rows.join(ids.withColumnRenamed("__id", "__met"), F.col("__id") == F.col("__met"), "left_semi").drop("__id")
 
 
-def spaced(df: DataFrame, gap_ms: int, keys: tuple[str, ...] = ("symbol", "side")) -> DataFrame:
-    """Keeps each row that comes gap_ms or more after the last one kept."""
+def best_in_window(df: DataFrame, width_ms: int, keys: tuple[str, ...] = ("symbol", "side"), block: int = P.BLOCK, pieces: int | None = None) -> DataFrame:
+    """Keeps the best candidate (least eta, highest atr_p, earliest) of each window.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        kept, free = [], None
-        for t in rows["ts"].to_numpy(np.int64):
-            kept.append(free is None or t >= free)
-            free = t + gap_ms if kept[-1] else free
-        return rows[np.array(kept, dtype=bool)]
+    A window begins at the first candidate that is free and spans width_ms; after its best one at time t, candidates
+    before t + width_ms are passed over. Null eta ranks last, null atr_p as the lowest.
 
-    return _grouped(df, list(keys), run, "")
+    The best one of the window at each candidate is found among the candidates of its own stretch of width_ms and the next one.
+    """
+    rows, tie = _numbered(df), F.col("bar_idx" if "bar_idx" in df.columns else "__id")
+    rank = F.struct(
+        F.coalesce("eta", F.lit(float("inf"))).alias("eta"), (-F.coalesce("atr_p", F.lit(float("-inf")))).alias("atr_p"), F.col("ts").alias("ts"),
+        tie.alias("tie"), F.col("__id").alias("id"),
+    )
+    stretch = F.floor(F.col("ts") / width_ms)
+    seen = rows.select(*keys, "ts", "__id", rank.alias("rank"), stretch.alias("own"), F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
+    ahead = Window.partitionBy(*keys, "stretch").orderBy("ts").rangeBetween(0, width_ms - 1)
+    best = seen.withColumn("best", F.min("rank").over(ahead)).where("stretch = own").select(*keys, "ts", "__id", "best", "rank.tie")
+    best = saved(best, "windows")
+    ids = P.chained(best, keys, [F.col("tie")], F.col("best.ts") + width_ms, block, pieces)
+    chosen = best.join(ids.withColumnRenamed("__id", "__met"), F.col("__id") == F.col("__met"), "left_semi").select(F.col("best.id").alias("__id")).distinct()
+    return _met(rows, chosen)
+
+
+def spaced(df: DataFrame, gap_ms: int, keys: tuple[str, ...] = ("symbol", "side"), block: int = P.BLOCK, pieces: int | None = None) -> DataFrame:
+    """Keeps each row that comes gap_ms or more after the last one kept."""
+    rows = _numbered(df)
+    return _met(rows, P.chained(rows, keys, [F.col("__id")], F.col("ts") + gap_ms, block, pieces))
 
 
-def one_at_a_time(df: DataFrame, horizon_ms: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def one_at_a_time(df: DataFrame, horizon_ms: int, keys: tuple[str, ...] = ("symbol",), block: int = P.BLOCK, pieces: int | None = None) -> DataFrame:
     """Keeps the events that begin while no kept one is open (sorted by ts and side); one without exit stays open for horizon_ms."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "side"])
-        kept, free = [], None
-        for t, end in zip(rows["ts"].to_numpy(np.int64), rows["outcome_ts"], strict=True):
-            kept.append(free is None or t >= free)
-            if kept[-1]:
-                free = t + horizon_ms if pd.isna(end) else int(end)
-        return rows[np.array(kept, dtype=bool)]
-
-    return _grouped(df, list(keys), run, "")
+    rows = _numbered(df)
+    return _met(rows, P.chained(rows, keys, [F.col("side"), F.col("__id")], F.coalesce(F.col("outcome_ts"), F.col("ts") + horizon_ms), block, pieces))
 
 
 def capped(df: DataFrame, most: int, most_a_side: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -116,11 +109,18 @@ def capped(df: DataFrame, most: int, most_a_side: int, keys: tuple[str, ...] = (
     return _grouped(df, list(keys), run, "")
 
 
-def best_schedule(df: DataFrame, weight: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def best_schedule(df: DataFrame, weight: str, keys: tuple[str, ...] = ("symbol",), pieces: int | None = None) -> DataFrame:
     """Keeps the events [ts, outcome_ts] that don't overlap and have the greatest total weight.
 
-    Sorted by end (then ts, side), each is taken only if that is better than all choices without it.
+    Sorted by end (then ts, side), each is taken only if that is better than all choices without it. A series is cut where
+    no event is open, that is where one begins at or after the latest end of all before it: each stretch is solved by
+    itself, and only a stretch of ever overlapping events is one group.
     """
+    order = [F.col("ts"), F.col("outcome_ts"), F.col("side"), F.col("__id")]
+    rows = P.earlier_max(P.pieced(_numbered(df), keys, order, pieces), keys, order, F.col("outcome_ts"), "__open")
+    rows = rows.withColumn("__cut", F.when(F.col("ts") >= F.col("__open"), 1).otherwise(0))
+    rows = P.prefixed(rows, keys, order, {"__cuts": F.col("__cut")}).withColumn("__stretch", F.col("__cuts") + F.col("__cut"))
+    rows = rows.drop("__id", "__open", "__cut", "__cuts", "__piece")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["outcome_ts", "ts", "side"])
@@ -137,4 +137,4 @@ def best_schedule(df: DataFrame, weight: str, keys: tuple[str, ...] = ("symbol",
             i = prior[i - 1] if taken[i - 1] else i - 1
         return rows.iloc[kept[::-1]]
 
-    return _grouped(df, list(keys), run, "")
+    return _grouped(rows, [*keys, "__stretch"], run, "").drop("__stretch")
