@@ -18,7 +18,7 @@ DEPTH, LEAST, COVERED = 3, 10, 50
 #: Scores are floor(SCALE * a * a / (l * r)); so many candidates of each language are returned.
 SCALE, TOP = 1_000_000, 2_000
 #: A trie is built of about so many bytes of text of one language; a task holds so many bytes of all languages.
-TRIE_BYTES, HELD_BYTES = 8 << 20, 24 << 20
+TRIE_BYTES, HELD_BYTES = 6 << 20, 12 << 20
 #: Tries are cut into prefix ranges, one for each so many bytes of all texts, and no fewer than shuffle partitions.
 RANGE_BYTES = 8 << 20
 #: Candidates of a language are ranked in so many parts first.
@@ -261,10 +261,12 @@ def _with_prefixes(nodes: DataFrame, path: list, up: list[str], name: str) -> Da
     lost = small(lost1.union(lost2).distinct().toDF("__l", "__a", "__b"), f"{name}-cut")
     same = (F.col("lang") == F.col("__l")) & (F.col("p1") == F.col("__a")) & F.col("p2").eqNullSafe(F.col("__b"))
     fences = small(walked.where("p3 IS NULL").join(lost, same, "left_semi").select("lang", "p1", "p2", "n").toDF("__l", "__a", "__b", "__n"), f"{name}-fences")
-    one, two = (fences.where(F.col("__b").isNull()).alias("f1"), fences.where(F.col("__b").isNotNull()).alias("f2"))
-    joined = walked.join(one.select("__l", "__a", F.col("__n").alias("__n1")), (F.col("lang") == F.col("__l")) & (F.col("p1") == F.col("__a")) & F.col("p2").isNotNull() & F.col("up1").isNull(), "left").drop("__l", "__a")
-    joined = joined.join(two.select("__l", "__a", "__b", F.col("__n").alias("__n2")), (F.col("lang") == F.col("__l")) & (F.col("p1") == F.col("__a")) & (F.col("p2") == F.col("__b")) & F.col("p3").isNotNull() & F.col("up2").isNull(), "left")
-    return joined.select(*nodes.columns, F.coalesce("up1", "__n1").alias(up[0]), F.coalesce("up2", "__n2").alias(up[1]))
+    known = F.col("p2").isNull() | (F.col("up1").isNotNull() & (F.col("p3").isNull() | F.col("up2").isNotNull()))
+    one, two = (fences.where(F.col("__b").isNull()).select("__l", "__a", F.col("__n").alias("__n1")), fences.where(F.col("__b").isNotNull()).select("__l", "__a", "__b", F.col("__n").alias("__n2")))
+    below = (F.col("lang") == F.col("__l")) & (F.col("p1") == F.col("__a"))
+    filled = walked.where(~known).join(one, below, "left").drop("__l", "__a").join(two, below & (F.col("p2") == F.col("__b")), "left")
+    filled = filled.select(*nodes.columns, F.coalesce("up1", "__n1").alias("up1"), F.when(F.col("p3").isNotNull(), F.coalesce("up2", "__n2")).alias("up2"))
+    return walked.where(known).select(*nodes.columns, "up1", "up2").union(filled).withColumnsRenamed({"up1": up[0], "up2": up[1]})
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
