@@ -21,7 +21,7 @@ def test_bins_and_nulls(spark):
 
 def test_rank_of_null_is_100(spark):
     df = spark.createDataFrame([("a", 1, 1.0, True), ("a", 2, 2.0, True), ("a", 3, None, False), ("a", 4, 1.5, False)], "symbol string, ts long, x double, train boolean")
-    got = {r["ts"]: r["p"] for r in features.train_ranks(df, "x", "train", "p").collect()}
+    got = {r["ts"]: r["p"] for r in features.train_ranks(df, {"x": "p"}, "train").collect()}
     assert got == {1: 50.0, 2: 100.0, 3: 100.0, 4: 50.0}
 
 
@@ -105,6 +105,32 @@ def test_rule_pairs_agree_with_counting(spark):
     assert got == {k: tuple(v) for k, v in want.items() if v[0]}
 
 
+def test_pairs_at_full_width_hand_on_few_rows(spark):
+    """960 literals and 6 months: the tasks hand on less than ten rows for each row they read."""
+    rng = np.random.default_rng(4)
+    n, columns = 4_000, [f"c{i}" for i in range(192)]
+    values = rng.integers(0, 5, (n, 192))
+    outcome, month = rng.integers(0, 3, n), rng.integers(1, 7, n)
+    rows = [(f"2024-{m:02d}", ["win", "loss", "timeout"][o], *map(int, v)) for m, o, v in zip(month, outcome, values, strict=True)]
+    ev = mining.flagged(spark.createDataFrame(rows, "ym string, outcome string, " + ", ".join(f"{c} int" for c in columns))).repartition(4)
+    chosen = [(c, v) for c in sorted(columns) for v in range(5)]
+    packed = ev.select("ym", *mining._FLAGS, *[F.col(c).cast("long").alias(f"l_{c}") for c in columns]).sortWithinPartitions("ym").mapInArrow(mining._pair_counts(chosen), mining._PAIRS)
+    assert packed.count() <= 4 * 6 * 960 < 10 * n
+    got = {r["rule_id"]: (r["wins"], r["losses"], r["timeouts"], r["unique_months"]) for r in mining.mine_pairs(ev.select("ym", *mining._FLAGS, *columns[:12], *columns[-12:]), columns[:12] + columns[-12:], 120, 60, 6, min_resolve=0, max_timeout=9).collect()}
+    want = {}
+    picked = [*range(12), *range(180, 192)]
+    for a in range(24):
+        for b in range(a + 1, 24):
+            for u in range(5):
+                for v in range(5):
+                    here = (values[:, picked[a]] == u) & (values[:, picked[b]] == v)
+                    w, lo, to = (int((here & (outcome == o)).sum()) for o in range(3))
+                    months = len(set(month[here]))
+                    if w + lo >= 120 and w >= 60 and months >= 6:
+                        want[" & ".join(sorted([f"{columns[picked[a]]}=={u}", f"{columns[picked[b]]}=={v}"]))] = (w, lo, to, months)
+    assert got == want and len(want) > 5
+
+
 def test_unknown_operator_and_column(spark):
     df = spark.createDataFrame([(1, None)], "a int, b int")
     assert df.select(mining.first_match([("r1", [("a", "!=", 1)]), ("r2", [("b", "<", 5)]), ("r3", [("a", ">=", 1)])])).first()[0] == "r3"

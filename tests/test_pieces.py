@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import pieces, sequential
+from tidemark.operators import features, pieces, quantiles, sequential
 
 
 def test_prefix_sums_and_maxima(spark):
@@ -109,3 +109,38 @@ def test_best_schedule_in_stretches(spark):
         free = next((j for j in range(i, 0, -1) if ends[j - 1][3] <= r[1]), 0)
         total.append(max(total[-1], r[4] + total[free]))
     assert sum(w for *_, w in kept) == total[-1]
+
+
+def test_exact_quantiles_of_many_rows(spark):
+    """Series of 90,000 and of a few values, ties, nulls, NaN and infinities, against numpy."""
+    n = 90_000
+    k = F.when(F.col("id") % 1000 < 3, F.lit(None).cast("string")).when(F.col("id") % 9000 == 5, F.lit("few")).otherwise(F.lit("many"))
+    z = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003
+    df = spark.range(n).select(
+        k.alias("symbol"), F.when(F.col("id") % 11 == 0, None).otherwise(F.log(z + 0.001)).alias("x"), F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.floor(z * 40)).alias("tied"),
+        F.when(F.col("id") % 50 == 0, float("nan")).when(F.col("id") % 51 == 0, float("-inf")).otherwise(z).alias("odd"), F.lit(None).cast("double").alias("none"),
+    ).repartition(7)
+    at, columns = [0.0, 0.1, 1 / 3, 0.5, 0.999, 1.0], ["x", "tied", "odd", "none"]
+    found = {r["symbol"]: r for r in quantiles.exact_quantiles(df, columns, at, ["symbol"]).collect()}
+    rows = df.toPandas()
+    assert set(found) == {None, "few", "many"}
+    for symbol, part in ((s, rows[rows["symbol"].isna() if s is None else rows["symbol"] == s]) for s in found):
+        for c in columns[:3]:
+            got, values = found[symbol][f"q_{c}"], part[c].dropna().to_numpy(float)
+            assert got[0] == values.min()
+            np.testing.assert_allclose(got[1:], np.quantile(values, at[1:]), rtol=1e-12)
+        assert found[symbol]["q_none"] is None
+    whole = quantiles.exact_quantiles(df, ["x"], [0.25]).first()["q_x"]
+    np.testing.assert_allclose(whole, [np.quantile(rows["x"].dropna(), 0.25)], rtol=1e-12)
+
+
+def test_ranks_in_pieces(spark):
+    rng = np.random.default_rng(12)
+    rows = [(str(rng.choice(["a", "b", "c"])), i, None if rng.random() < 0.1 else float(rng.integers(0, 60)), bool(rng.random() < 0.5)) for i in range(900)]
+    rows = [(s, i, x, t and s != "c") for s, i, x, t in rows]
+    got = features.train_ranks(spark.createDataFrame(rows, "symbol string, ts long, x double, train boolean"), {"x": "p"}, "train", pieces=9).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        known = [x for s, _, x, t in rows if s == r["symbol"] and t and x is not None]
+        want = None if not known else 100.0 if r["x"] is None else 100.0 * sum(x <= r["x"] for x in known) / len(known)
+        assert r["p"] == pytest.approx(want)

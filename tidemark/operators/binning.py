@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import interval_bin
+from tidemark.operators.quantiles import exact_quantiles
 
 
 def _apart(edges: np.ndarray) -> np.ndarray:
@@ -86,19 +87,19 @@ def choose_bins(
     correlation or calibration on the other rows gains on the last choice. The best of them counts, by average
     precision, calibration error, Brier score and correlation; without any, the fewest bins' plain quantiles.
 
-    A column without two values has one bin. Null belongs to the top bin, but to no month's histogram. Two passes over
+    A column without two values has one bin. Null belongs to the top bin, but to no month's histogram. Three passes over
     df, whatever the number of columns; what comes back is a row for each column, number of bins, bin and month.
     """
     sizes = sorted({3, *candidates})
     places = sorted({i / k for k in sizes for i in range(1, k)})
     found = df.where(fit).agg(
-        *[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, places))).alias(f"q{i}") for i, c in enumerate(columns)],
         *[(F.min(c) < F.max(c)).alias(f"some{i}") for i, c in enumerate(columns)],
     ).first()
     known = [i for i in range(len(columns)) if found[f"some{i}"]]
     if not known:
         return {c: [] for c in columns}
-    inner = {(i, k): _apart(np.array([found[f"q{i}"][places.index(j / k)] for j in range(1, k)])) for i in known for k in sizes}
+    edges = exact_quantiles(df.where(fit), [columns[i] for i in known], places).first()
+    inner = {(i, k): _apart(np.array([edges[f"q_{columns[i]}"][places.index(j / k)] for j in range(1, k)])) for i in known for k in sizes}
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), interval_bin(F.col(columns[i]).cast("double"), e.tolist(), k).cast("int").alias("b"), F.col(columns[i]).isNotNull().alias("valid")) for (i, k), e in inner.items()])
     rows = df.select(F.coalesce(fit, F.lit(False)).alias("fit"), F.col(ym).cast("string").alias("ym"), F.col(y).cast("long").alias("y"), F.explode(cells).alias("c"))
     counts = rows.groupBy("c.i", "c.k", "c.b", "c.valid", "fit", "ym").agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("w"))

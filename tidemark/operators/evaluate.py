@@ -6,54 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import safe_div, wilson
+from tidemark.operators import pieces as P
 
 
-#: Pieces, at most, that a sorted table is cut into, and rows that are sampled for each bound.
-PIECES, SAMPLED = 200, 20
-
-
-def _pieced(df: DataFrame, order: list[str], values: list[str], down: bool = False) -> DataFrame:
-    """Adds __piece, which grows with `order`, and for each value before_<value>, its sum over the lower pieces (the higher ones if `down`), and all_<value>, its sum over all rows.
-
-    Pieces are of about equal size by a sample and are sorted apart; results don't depend on where they are cut. Only
-    one row for each piece is summed in one task. df is read three times.
-    """
-    n = min(PIECES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    picked = df.select(*order).orderBy(F.xxhash64(*order)).limit(n * SAMPLED).orderBy(*order).collect()
-    bounds = [picked[i * len(picked) // n] for i in range(1, n)] if picked else []
-    edges, key = F.array(*[F.struct(*[F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in order]) for r in bounds]), F.struct(*order)
-    df = df.withColumn("__piece", F.size(F.filter(edges, lambda e: e <= key)) if bounds else F.lit(0))
-    totals = df.groupBy(F.col("__piece").alias("__at")).agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
-    before = Window.orderBy(F.desc("__at") if down else "__at").rowsBetween(Window.unboundedPreceding, -1)
-    sums = {f"before_{v}": F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)) for v in values} | {f"all_{v}": F.sum(f"__t_{v}").over(Window.partitionBy()) for v in values}
-    offsets = totals.withColumns(sums).drop(*[f"__t_{v}" for v in values])
-    return df.join(F.broadcast(offsets), F.col("__piece") == F.col("__at")).drop("__at")
-
-
-def _upto(value: str, order: Column) -> Column:
-    """The value's sum over the rows up to this one and its equals, for a table of _pieced."""
-    return F.col(f"before_{value}") + F.coalesce(F.sum(value).over(Window.partitionBy("__piece").orderBy(order)), F.lit(0))
-
-
-def _quantiles(by_score: DataFrame, n_quantiles: int) -> DataFrame:
-    """tau: the quantiles 0, 1 / (n_quantiles - 1), .. 1 of scores p that stand for n rows each, between neighbours on a line."""
-    rows = _pieced(by_score.where("p IS NOT NULL"), ["p"], ["n"]).withColumn("last", _upto("n", F.col("p")) - 1).withColumn("first", F.col("last") - F.col("n") + 1)
-    top, step = F.col("all_n") - 1, (n_quantiles - 1) / F.greatest(F.col("all_n") - 1, F.lit(1))
-    near = F.sequence(F.greatest(F.floor((F.col("first") - 1) * step), F.lit(0).cast("long")), F.least(F.ceil((F.col("last") + 1) * step), F.lit(n_quantiles - 1).cast("long")))
-    rows = rows.select("p", "first", "last", top.alias("top"), F.explode(near).alias("i")).withColumn("at", F.col("top") * (F.col("i") / (n_quantiles - 1)))
-    here = lambda x: F.max(F.when(x.between(F.col("first"), F.col("last")), F.col("p").cast("double")))
-    ends = rows.groupBy("i", "at").agg(here(F.floor("at")).alias("a"), here(F.ceil("at")).alias("b"))
-    return ends.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b")).alias("tau"))
+def _by_score(df: DataFrame, p: str, sums: dict[str, Column]) -> DataFrame:
+    """A row for each score p (null first), with the sums, and before_<name> and all_<name>: their sums over lower scores and over all; sorted in pieces."""
+    by_score = df.groupBy(F.col(p).alias("p")).agg(*[v.alias(n) for n, v in sums.items()])
+    rows = P.prefixed(P.pieced(by_score, [], [F.col("p")]), [], [F.col("p")], {f"before_{n}": F.col(n) for n in sums}, totals=True)
+    return rows.withColumnsRenamed({f"all_before_{n}": f"all_{n}" for n in sums})
 
 
 def average_precision(df: DataFrame, p: str, y: str) -> DataFrame:
     """One row: average_precision, the sum of precision times gain in recall over falling scores; equal scores count together.
 
-    Aggregated to distinct scores first.
+    Aggregated to distinct scores first; a null score is the lowest.
     """
-    by_score = df.groupBy(F.col(p).alias("p")).agg(F.sum(y).alias("tp"), F.count("*").alias("n"))
-    run = _pieced(by_score, ["p"], ["tp", "n"], down=True).withColumns({"ctp": _upto("tp", F.desc("p")), "cn": _upto("n", F.desc("p"))})
-    return run.agg(F.try_divide(F.sum(F.col("tp") * F.col("ctp") / F.col("cn")), F.sum("tp")).alias("average_precision"))
+    run = _by_score(df, p, {"tp": F.sum(y), "n": F.count("*")})
+    above = lambda x: F.col(f"all_{x}") - F.col(f"before_{x}")
+    return run.agg(F.try_divide(F.sum(F.col("tp") * above("tp") / above("n")), F.sum("tp")).alias("average_precision"))
 
 
 def brier(df: DataFrame, p: str, y: str) -> DataFrame:
@@ -62,8 +32,7 @@ def brier(df: DataFrame, p: str, y: str) -> DataFrame:
 
 def calibration_error(df: DataFrame, p: str, y: str, n_bins: int, tie: str) -> DataFrame:
     """One row: ece over bins of equal count in order of score, cut at floor(i * n / n_bins)."""
-    df = _pieced(df.withColumn("__one", F.lit(1)), [p, tie], ["__one"])
-    df = df.withColumns({"__i": F.col("before___one") + F.row_number().over(Window.partitionBy("__piece").orderBy(p, tie)) - 1, "__n": F.col("all___one")})
+    df = P.prefixed(P.pieced(df, [], [F.col(p), F.col(tie)]), [], [F.col(p), F.col(tie)], {"__i": F.lit(1)}, totals=True).withColumnRenamed("all___i", "__n")
     cuts = F.array(*[F.floor(F.lit(i) * F.col("__n") / n_bins) for i in range(1, n_bins)])
     df = df.withColumn("__bin", F.size(F.filter(cuts, lambda c: c <= F.col("__i"))))
     bins = df.groupBy("__bin").agg(F.count("*").alias("n"), F.abs(F.avg(p) - F.avg(y)).alias("gap"))
@@ -97,10 +66,20 @@ def threshold(df: DataFrame, p: str, y: str, target: float, min_cov: float, n_qu
     precision reaches the target; else the best bound with at least min_cov of the rows. Rows without y count for
     coverage only; a score reaches tau if it is equal to it.
     """
-    by_score = df.groupBy(F.col(p).alias("p")).agg(F.sum(F.coalesce(y, F.lit(0))).alias("tp"), F.count(y).alias("pos"), F.count("*").alias("n"))
-    qs = _quantiles(by_score, n_quantiles).distinct()
-    points = by_score.select("p", "tp", "pos", "n", F.lit(None).cast("double").alias("tau")).unionByName(qs.select(F.col("tau").alias("p"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("n"), "tau"))
-    run = _pieced(points, ["p"], ["tp", "pos", "n"], down=True).withColumns({f"c{x}": _upto(x, F.desc("p")) for x in ("tp", "pos", "n")}).withColumn("of", F.col("all_n")).where("tau IS NOT NULL")
+    sums = {"tp": F.sum(F.coalesce(y, F.lit(0))), "pos": F.count(y), "n": F.count("*"), "none": F.sum(F.when(F.col(p).isNull(), 1).otherwise(0))}
+    rows = _by_score(df, p, sums).where("p IS NOT NULL").withColumn("first", F.col("before_n") - F.col("all_none"))
+    rows = rows.withColumns({"last": F.col("first") + F.col("n") - 1, "top": F.col("all_n") - F.col("all_none") - 1})
+    step = (n_quantiles - 1) / F.greatest(F.col("top"), F.lit(1))
+    near = F.sequence(F.greatest(F.floor((F.col("first") - 1) * step), F.lit(0).cast("long")), F.least(F.ceil((F.col("last") + 1) * step), F.lit(n_quantiles - 1).cast("long")))
+    upwards = F.struct("p", *[(F.col(f"all_{x}") - F.col(f"before_{x}")).alias(f"c{x}") for x in ("tp", "pos", "n")], "tp", "pos", "n")
+    rows = rows.select("first", "last", "top", upwards.alias("s"), F.col("all_n").alias("of"), F.explode(near).alias("i")).withColumn("at", F.col("top") * (F.col("i") / (n_quantiles - 1)))
+    here = lambda rank: F.max(F.when(rank.between(F.col("first"), F.col("last")), F.col("s")))
+    ends = rows.groupBy("i", "at", "of").agg(here(F.floor("at")).alias("a"), here(F.ceil("at")).alias("b"))
+    between = (F.ceil("at") - F.col("at")) * F.col("a.p") + (F.col("at") - F.floor("at")) * F.col("b.p")
+    ends = ends.withColumn("tau", F.when(F.col("a.p") == F.col("b.p"), F.col("a.p")).otherwise(between).cast("double"))
+    # Rows that reach tau: from the lower neighbour on, from the upper one, or (tau rounded up) from the next.
+    reach = lambda x: F.when(F.col("tau") <= F.col("a.p"), F.col(f"a.c{x}")).when(F.col("tau") <= F.col("b.p"), F.col(f"b.c{x}")).otherwise(F.col(f"b.c{x}") - F.col(f"b.{x}")).alias(f"c{x}")
+    run = ends.where("tau IS NOT NULL").select("tau", "of", *[reach(x) for x in ("tp", "pos", "n")]).dropDuplicates(["tau"])
     low, _ = wilson(F.col("ctp"), F.col("cpos"))
     run = run.select("tau", F.coalesce(F.try_divide(F.col("ctp"), F.col("cpos")), F.lit(0.0)).alias("ppv"), low.alias("ppv_lcb"), (F.col("cn") / F.col("of")).alias("cov")).where("cov > 0")
     rank = F.when(F.col("ppv_lcb") >= target, F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("b"), (-F.col("tau")).alias("c"))).when((F.col("cov") >= min_cov) & (F.col("ppv_lcb") > 0), F.struct(F.lit(1).alias("a"), (-F.col("ppv_lcb")).alias("b"), (-F.col("tau")).alias("c")))

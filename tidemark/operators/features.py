@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
 from tidemark.functions.stats import interval_bin, safe_div, sgn
+from tidemark.operators import pieces as P
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.sequential import ema
+from tidemark.sources.staging import saved
 
 #: Distance to an extreme, in ATR, that counts as near.
 NEAR = 0.25
@@ -67,9 +70,8 @@ def _rising(edges: Column) -> Column:
 
 def quantile_edges(train: DataFrame, columns: list[str], n_bins: int, keys: tuple[str, ...] = W.SERIES, rising: bool = False) -> DataFrame:
     """One row a series: edges_<column>, the inner linear-interpolation quantiles of the training rows; rising: without equal ones."""
-    at = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
-    edges = {c: F.percentile(c, at) for c in columns}
-    return train.groupBy(*keys).agg(*[(_rising(e) if rising else e).alias(f"edges_{c}") for c, e in edges.items()])
+    found = exact_quantiles(train, columns, [i / n_bins for i in range(1, n_bins)], keys)
+    return found.select(*keys, *[(_rising(F.col(f"q_{c}")) if rising else F.col(f"q_{c}")).alias(f"edges_{c}") for c in columns])
 
 
 def with_bins(df: DataFrame, edges: DataFrame, columns: list[str], n_bins: int, prefix: str = "qbin_", keys: tuple[str, ...] = W.SERIES, null_bin: Column | None = None) -> DataFrame:
@@ -79,11 +81,23 @@ def with_bins(df: DataFrame, edges: DataFrame, columns: list[str], n_bins: int,
     return joined.withColumns(bins).drop(*[f"edges_{c}" for c in columns])
 
 
-def train_ranks(df: DataFrame, x: str, is_train: str, out: str, keys: tuple[str, ...] = W.SERIES) -> DataFrame:
-    """Percentage of the series' training values that are <= x; 100 for null x, null without training values."""
-    counted = (F.col(is_train) & F.col(x).isNotNull()).cast("int")
-    upto = Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.try_divide(F.sum(counted).over(upto) * 100.0, F.sum(counted).over(Window.partitionBy(*keys))))
+def train_ranks(df: DataFrame, ranks: dict[str, str], is_train: str, keys: tuple[str, ...] = W.SERIES, pieces: int | None = None) -> DataFrame:
+    """For each column x of `ranks` its rank: the percentage of the series' training values that are <= x; 100 for null x, null without training values.
+
+    Only distinct values are put in order, in pieces, with the number of training rows that have them. df is read once and staged.
+    """
+    rows = saved(df, "ranked")
+    for x, out in ranks.items():
+        values = rows.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("__x")).agg(F.count_if(is_train).alias("__n"))
+        counted = P.prefixed(P.pieced(values, keys, [F.col("__x")], pieces), keys, [F.col("__x")], {"__before": F.col("__n")}, totals=True)
+        table = counted.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__x", F.try_divide((F.col("__before") + F.col("__n")) * 100.0, F.col("all___before")).alias(out), (F.col("all___before") > 0).alias("__some"))
+        table = saved(table, "ranks")
+        same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+        some = table.where("__some").select(*[f"__k{i}" for i in range(len(keys))], F.lit(100.0).alias("__top")).distinct()
+        ids = [f"__k{i}" for i in range(len(keys))]
+        rows = rows.join(table.drop("__some"), [*same, F.col(x) == F.col("__x")], "left").drop("__x", *ids)
+        rows = rows.join(some, same, "left").withColumn(out, F.when(F.col(x).isNull(), F.col("__top")).otherwise(F.col(out))).drop("__top", *ids)
+    return rows
 
 
 def age_features(df: DataFrame, columns: list[str], is_train: str, n_bins: int = 5, n_age_bins: int = 6, windows: tuple[int, ...] = (60, 240), keys: tuple[str, ...] = W.SERIES) -> DataFrame:

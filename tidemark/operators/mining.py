@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import wilson
+from tidemark.sources.staging import saved
 
 _FLAGS = ("is_win", "is_loss", "is_to")
-#: A task hands on its sums of pairs when they have more cells (months times literals squared) than this.
-_CELLS = 4_000_000
+#: A task holds the sums of one month; it hands them on as a row for each first literal when the month ends.
+_PAIRS = "i int, ym string, sums binary"
 
 
 def counts() -> list[Column]:
@@ -72,61 +73,82 @@ def mine_pairs(events: DataFrame, columns: list[str], min_support: int = 24, min
     """Rules of two literals of different columns.
 
     Support, wins and months of a pair can't exceed its literals', so literals below them are dropped first; those
-    left, columns times bins at most, go to the tasks. Each task counts pairs by month as products of 0/1 matrices
-    over Arrow batches, whatever number of literals a row has, and hands on its sums alone.
+    left, columns times bins at most, go to the tasks. Each task sorts its rows by month and counts a month's pairs
+    as products of 0/1 matrices over Arrow batches; it hands on one packed row for each first literal and month, whatever
+    number of literals a row has (memory: three counts for each pair of literals). The packed rows of a literal are
+    added up, and its pairs below the limits end there.
     """
-    size = F.sum(F.col("is_win") + F.col("is_loss") + (F.col("is_to") if include_timeouts else F.lit(0)))
-    viable = literals(events, columns).groupBy("lit", "val").agg(size.alias("n"), F.sum("is_win").alias("w"), F.countDistinct("ym").alias("m"))
+    events = saved(events.select("ym", *_FLAGS, *columns), "mining-events")
+    one = saved(literals(events, columns).groupBy("lit", "val", "ym").agg(*counts()), "mining-literals")
+    size = F.sum(F.col("wins") + F.col("losses") + (F.col("timeouts") if include_timeouts else F.lit(0)))
+    viable = one.groupBy("lit", "val").agg(size.alias("n"), F.sum("wins").alias("w"), F.countDistinct("ym").alias("m"))
     viable = viable.where((F.col("n") >= min_support) & (F.col("w") >= min_wins) & (F.col("m") >= min_months))
     chosen = sorted((r["lit"], r["val"]) for r in viable.select("lit", "val").collect())
     rows = events.select(F.col("ym").cast("string").alias("ym"), *[F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in _FLAGS], *[F.col(c).cast("long").alias(f"l_{c}") for c in columns])
-    counted = rows.mapInArrow(_pair_counts(chosen), "lit1 string, val1 long, lit2 string, val2 long, ym string, is_win long, is_loss long, is_to long")
+    packed = rows.sortWithinPartitions("ym").mapInArrow(_pair_counts(chosen), _PAIRS)
+    monthly = packed.groupBy("i").applyInArrow(_pair_sums(chosen, min_support, min_wins, min_months, include_timeouts), "lit1 string, val1 long, lit2 string, val2 long, ym string, wins long, losses long, timeouts long")
     keys = ["lit1", "val1", "lit2", "val2"]
-    monthly = counted.groupBy(*keys, "ym").agg(*counts())
     rules = _registered(_rated(monthly, keys, baseline(events), include_timeouts, z), min_support, min_wins, min_months, min_resolve, max_timeout)
     return rules.withColumn("rule_id", rule_id(("lit1", "val1"), ("lit2", "val2")))
 
 
 def _pair_counts(chosen: list[tuple[str, int]]):
-    """Counts of the pairs of the chosen literals, sorted by column, for each month of a partition."""
-    names, values = [c for c, _ in chosen], [v for _, v in chosen]
+    """For each month of a partition sorted by month and each chosen literal i, the wins, losses and timeouts of its pairs with the later ones (three runs of unsigned 64-bit counts)."""
     places: dict[str, list[int]] = {}
-    for i, name in enumerate(names):
+    for i, (name, _) in enumerate(chosen):
         places.setdefault(name, []).append(i)
 
-    def summed(sums: dict[str | None, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for month, of in sums.items():
-            i, j = np.nonzero(np.triu(of.sum(axis=0), 1))
-            firsts, seconds = (pa.array(names, pa.string()).take(pa.array(x)) for x in (i, j))
-            v1, v2 = (pa.array(values, pa.int64()).take(pa.array(x)) for x in (i, j))
-            flags = [pa.array(of[k][i, j].astype(np.int64)) for k in range(len(_FLAGS))]
-            yield pa.RecordBatch.from_arrays([firsts, v1, seconds, v2, pa.array([month] * len(i), pa.string()), *flags], names=["lit1", "val1", "lit2", "val2", "ym", *_FLAGS])
+    def summed(month: str | None, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some = [i for i in range(len(chosen)) if sums[:, i, i + 1 :].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([month] * len(some), pa.string()), pa.array([sums[:, i, i + 1 :].astype("<u8").tobytes() for i in some], pa.binary())], names=["i", "ym", "sums"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str | None, np.ndarray] = {}
+        current, sums = None, None
         for batch in batches:
             held = np.zeros((batch.num_rows, len(chosen)), dtype=np.float32)  # exact: a batch has fewer rows than 2**24
             for name, at in places.items():
                 column = batch.column(f"l_{name}")
                 for i in at:
-                    held[:, i] = pc.fill_null(pc.equal(column, values[i]), False).to_numpy(zero_copy_only=False)
+                    held[:, i] = pc.fill_null(pc.equal(column, chosen[i][1]), False).to_numpy(zero_copy_only=False)
             months = batch.column("ym").dictionary_encode()
             codes = pc.fill_null(months.indices, -1).to_numpy(zero_copy_only=False)
             flags = [batch.column(c).to_numpy(zero_copy_only=False) for c in _FLAGS]
-            for code in np.unique(codes):
+            for code in codes[np.flatnonzero(np.diff(codes, prepend=-2))]:
                 month = None if code < 0 else months.dictionary[int(code)].as_py()
-                into = sums.setdefault(month, np.zeros((len(_FLAGS), len(chosen), len(chosen))))
+                if sums is not None and month != current:
+                    yield from summed(current, sums)
+                    sums = None
+                current, sums = month, np.zeros((len(_FLAGS), len(chosen), len(chosen))) if sums is None else sums
                 for k, flag in enumerate(flags):
                     part = held[(codes == code) & (flag > 0)]
-                    into[k] += part.T @ part
-            if len(sums) * len(chosen) ** 2 > _CELLS:
-                yield from summed(sums)
-                sums = {}
-        yield from summed(sums)
+                    sums[k] += part.T @ part
+        if sums is not None:
+            yield from summed(current, sums)
 
     return count
 
 
+def _pair_sums(chosen: list[tuple[str, int]], min_support: int, min_wins: int, min_months: int, include_timeouts: bool):
+    """Monthly counts of the pairs of one first literal, added up over tasks; only pairs that reach the limits over all months."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        i = key[0].as_py()
+        later = chosen[i + 1 :]
+        months: dict[str | None, np.ndarray] = {}
+        for month, sums in zip(table.column("ym").to_pylist(), table.column("sums"), strict=True):
+            months.setdefault(month, np.zeros((len(_FLAGS), len(later)), dtype=np.int64))
+            months[month] += np.frombuffer(sums.as_py(), "<u8").reshape(len(_FLAGS), -1).astype(np.int64)
+        every = np.stack(list(months.values()))
+        wins, shown = every[:, 0].sum(axis=0), every[:, : 3 if include_timeouts else 2].sum(axis=(0, 1))
+        good = (shown >= min_support) & (wins >= min_wins) & (every.any(axis=1).sum(axis=0) >= min_months) & np.array([name != chosen[i][0] for name, _ in later], dtype=bool)
+        at, j = np.nonzero(every.any(axis=1) & good)
+        names, values = pa.array([n for n, _ in later], pa.string()), pa.array([v for _, v in later], pa.int64())
+        columns = [pa.array([chosen[i][0]] * len(j), pa.string()), pa.array([chosen[i][1]] * len(j), pa.int64()), names.take(pa.array(j)), values.take(pa.array(j)), pa.array(list(months), pa.string()).take(pa.array(at))]
+        return pa.table(columns + [pa.array(every[at, k, j]) for k in range(len(_FLAGS))], names=["lit1", "val1", "lit2", "val2", "ym", "wins", "losses", "timeouts"])
+
+    return run
+
+
 def rule_id(*conditions: tuple[str, str]) -> Column:
     """Canonical id: conditions `column==value`, sorted, joined by ` & `."""
     return F.array_join(F.array_sort(F.array(*[F.concat(F.col(a), F.lit("=="), F.col(b).cast("string")) for a, b in conditions])), " & ")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.functions import windows as W
-from tidemark.operators import candidates, evaluate, features, labeling, mining, sequential
+from tidemark.operators import candidates, evaluate, features, labeling, mining, quantiles, sequential
 from tidemark.sources import series
 
 HOUR = 3_600_000
@@ -278,7 +278,7 @@ def qbin_apply(spark, sf_dir):
 SELECT symbol, ts, {r('(SELECT count(*) FROM t WHERE c <= close) * 100.0 / (SELECT count(*) FROM t)', 'pct')} FROM bars""")
 def ecdf_rank(spark, sf_dir):
     d = daily(spark, sf_dir).withColumn("train", F.col("ts") < 946684800000)
-    return features.train_ranks(d, "close", "train", "pct").select("symbol", "ts", "pct")
+    return features.train_ranks(d, {"close": "pct"}, "train").select("symbol", "ts", "pct")
 
 
 NL = f"""{BARS}, x AS (SELECT *, {TR} AS tr, ln(close) - lag(ln(close)) {BY} AS ret FROM bars),
@@ -316,7 +316,7 @@ p AS (SELECT symbol, ts, dcw, CASE WHEN dcw IS NULL THEN 100.0 ELSE (SELECT coun
 SELECT symbol, ts, {r('100 - dcw_p', 'nl_squeeze_score')}, {r(f'dcw_p - lag(dcw_p, 15) {BY}', 'nl_release_slope_15')} FROM p""")
 def squeeze_family(spark, sf_dir):
     b = _plain(spark, sf_dir).withColumns({"dcw": F.col("dch") - F.col("dcl"), "train": F.lit(True)})
-    b = features.train_ranks(b, "dcw", "train", "dcw_p")
+    b = features.train_ranks(b, {"dcw": "dcw_p"}, "train")
     return features.nonlinear_features(b, ["squeeze_score", "release_slope_15"], horizons=(48, 24, 12)).select("symbol", "ts", "nl_squeeze_score", "nl_release_slope_15")
 
 
@@ -704,7 +704,7 @@ def patterns_single(spark, sf_dir):
 @query("patterns_numeric", f"WITH {OUT.replace('l_linenumber,', 'l_linenumber, l_extendedprice::DOUBLE AS x,', 1)}, dn AS (SELECT * FROM ev WHERE is_win + is_loss = 1), e AS (SELECT list_sort(list_distinct(quantile_cont(x, [k / 9.0 FOR k IN range(10)]))) AS e FROM dn), b AS (SELECT greatest(1, len(list_filter(e, lambda v: v < x))) - 1 AS bin, is_win FROM dn, e) SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, CAST(sum(is_win) AS BIGINT) AS k FROM b GROUP BY bin")
 def patterns_numeric(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").where("l_returnflag IN ('A', 'R')").select(F.col("l_extendedprice").cast("double").alias("x"), (F.col("l_returnflag") == "A").cast("int").alias("is_win"))
-    e = li.agg(F.array_sort(F.array_distinct(F.percentile("x", F.array(*[F.lit(k / 9.0) for k in range(10)])))).alias("e"))
+    e = quantiles.exact_quantiles(li, ["x"], [k / 9.0 for k in range(10)]).select(F.array_sort(F.array_distinct("q_x")).alias("e"))
     b = li.crossJoin(F.broadcast(e)).select((F.greatest(F.lit(1), F.size(F.filter("e", lambda v: v < F.col("x")))) - 1).alias("bin"), "is_win")
     return b.groupBy("bin").agg(F.count("*").alias("n"), F.sum("is_win").alias("k"))
 

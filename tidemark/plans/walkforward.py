@@ -60,8 +60,7 @@ class Fold:
         spec = self.cfg.get("features", {})
         bars = series.read_bars_months(self.spark, self._path("bars"), self.symbol, self.train + self.test)
         df = features.base_features(bars, spec.get("atr_n", 14), spec.get("donch_n_candidate", 20)).withColumn("is_train", F.col("ym").isin(self.train))
-        for x in ("atr", "dcw"):
-            df = features.train_ranks(df, x, "is_train", f"{x}_p")
+        df = features.train_ranks(df, {"atr": "atr_p", "dcw": "dcw_p"}, "is_train")
         extra = spec.get("nonlinear", {})
         if extra.get("enabled"):
             w = extra.get("windows", {})
