@@ -24,8 +24,8 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Buckets of more classes than this are crowded: their classes' shingles are counted and mapped to MAP_WORDS words of 64
 #: bits to bound similarities, which never drops a pair that reaches the similarity.
 CROWD, MAP_WORDS = 8, 16
-#: Buckets of more members than HOT meet their leader by broadcast, so that no task holds them; buckets of more than
-#: BLOCK are compared in blocks of about so many members, each pair of blocks by itself.
+#: Buckets of more members than HOT meet their leader by broadcast, so that no task holds them; strangers and members of
+#: crowded buckets are compared in blocks of about BLOCK, each pair of blocks by itself.
 HOT, BLOCK = 4_096, 512
 #: Link: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
@@ -184,11 +184,13 @@ def _led(keys: DataFrame, leaders: DataFrame) -> DataFrame:
     return keys.join(hot, F.col("key") == F.col("__key")).unionByName(rest)
 
 
-def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of buckets as left and right sides that meet by (key, i, j), blocks of the left and of the right member."""
-    of = F.ceil(F.col("members") / BLOCK)
-    own, every = F.pmod(F.xxhash64("cid"), of).cast("int"), F.explode(F.sequence(F.lit(0), (of - 1).cast("int")))
-    return members.select("*", own.alias("i"), every.alias("j")), members.select("*", own.alias("j"), every.alias("i"))
+def _sides(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Strangers (members outside their bucket's main label) and all members as sides that meet by (key, i, j), blocks of strangers and of members."""
+    strangers, every = F.ceil(F.col("strangers") / BLOCK), F.ceil(F.col("members") / BLOCK)
+    place = lambda of: F.pmod(F.xxhash64("cid"), of).cast("int")
+    copies = lambda of: F.explode(F.sequence(F.lit(0), (of - 1).cast("int")))
+    left = members.where("label != main").select("*", place(strangers).alias("i"), copies(every).alias("j"))
+    return left, members.select("*", place(every).alias("j"), copies(strangers).alias("i"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,8 +207,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     4. Then all pairs of a bucket that are still in different components are compared, in the first bucket they share.
        In crowded buckets rare shingles, which three texts of all crowds have at most, and bit maps of the sets bound
        what two classes without a rare one in common can share; pairs with one are listed by it. So a copy changed so
-       much that it left its group, whose new shingles hardly anyone has, isn't confirmed against all the others. The
-       members of a large bucket are dealt to blocks, and each pair of blocks is a group of its own.
+       much that it left its group, whose new shingles hardly anyone has, isn't confirmed against all the others. Only
+       members outside a bucket's largest component meet the rest, so a group of a million and one stranger costs a
+       million tests; both sides are dealt to blocks, and each pair of blocks is a group of its own.
 
     No words, empty or null text: an empty set, n_shingles 0, linked with nothing. Rows equal in id and text get
     equal results. A null id takes part, but names no component unless all ids of it are null (component_id is
@@ -237,8 +240,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = small(joined, "dedup-labels")
     labelled = buckets.join(labels, F.col("cid") == F.col("node"), "left").select("key", "chunk", "cid", "members", F.coalesce("root", "cid").alias("label"))
     labelled = saved(labelled, "dedup-labelled")
-    mixed = labelled.groupBy(F.col("key").alias("__key")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("members").alias("members")).where("lo < hi")
-    mixed = saved(mixed.select("__key", "members"), "dedup-mixed-keys")
+    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = by_label.groupBy(F.col("key").alias("__key")).agg(F.sum("n").alias("members"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
+    mixed = saved(mixed.select("__key", "members", F.col("top.label").alias("main"), (F.col("members") - F.col("top.n")).alias("strangers")), "dedup-mixed-keys")
     open_ = saved(_led(labelled.drop("members"), mixed).drop("__key").withColumn("crowded", F.col("members") > CROWD), "dedup-mixed")
     crowd = open_.where("crowded").select(F.col("cid").alias("__in")).distinct()
     crowd = small(classes.join(crowd, F.col("cid") == F.col("__in"), "left_semi").select("cid", F.col("uid").alias("__uid")), "dedup-crowd")
@@ -255,9 +259,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = classes.select("cid", "n").join(maps, F.col("cid") == F.col("__mc")).join(burden, F.col("cid") == F.col("__rc"), "left")
     known = known.select(F.col("cid").alias("__cid"), "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("plain"), (F.col("n") - bits).alias("beyond"), *_MAP_COLUMNS)
     thronged = saved(open_.where("crowded").join(known, F.col("cid") == F.col("__cid")).drop("__cid", "chunk", "leader", "crowded"), "dedup-open")
-    x, y = (side_.alias(name) for name, side_ in zip("xy", _blocks(thronged), strict=True))
+    x, y = (side_.alias(name) for name, side_ in zip("xy", _sides(thronged), strict=True))
     met = reduce(and_, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "i", "j")])
-    bounded = x.join(y, met & apart & _bound("x", "y")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    once = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid")))
+    bounded = x.join(y, met & once & _bound("x", "y")).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     by_rare = rare.where("size(owners) > 1").select(F.expr("explode(filter(array(struct(owners[0] AS a, owners[1] AS b), struct(owners[0] AS a, get(owners, 2) AS b), struct(owners[1] AS a, get(owners, 2) AS b)), p -> p.b IS NOT NULL))").alias("p"))
     listed = bounded.union(by_rare.select("p.a", "p.b")).distinct()
     listed = listed.join(side.alias("x"), F.col("a") == F.col("x.cid")).join(side.alias("y"), F.col("b") == F.col("y.cid"))
