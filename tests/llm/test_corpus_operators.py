@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm import bpe_trie, language_id, license_scan, mixing, near_dedup, quality_rules, sharding, token_counts, token_files, vector_topk
+from tidemark.llm import bpe_trie, language_id, license_scan, mixing, near_dedup, quality_rules, queries, sharding, token_counts, token_files, vector_topk
 from tidemark.llm.cluster import new_folder
 from tidemark.llm.graph import components
 from tidemark.llm.vocabulary import default_path, tokenizer
@@ -285,6 +287,34 @@ def test_licences_of_many_notices_by_brute_force(spark):
     assert set(found[0]["labels"].split(",")) == {label for label, _, _ in license_scan.NOTICES} | {"cc-by", "gpl"}
 
 
+def test_licence_sql_agrees_on_joined_templates(spark):
+    """The query's SQL on files of many notices, 200 of them random joins of templates, cut, repeated and changed."""
+    rng = np.random.default_rng(13)
+    templates = [t for _, t, _ in license_scan.TEMPLATES]
+    texts = [" foo ".join(templates), " ".join(templates[::-1])]
+    for _ in range(200):
+        picked = [templates[i] for i in rng.integers(0, len(templates), rng.integers(1, 7))]
+        text = f" {rng.choice(['bar', 'the license', 'software', ''])} ".join(picked).split()
+        for _ in range(rng.integers(0, 3)):
+            text[rng.integers(0, len(text))] = "changed"
+        texts.append(" ".join(text[rng.integers(0, 5) : len(text) - rng.integers(0, 20)]))
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    want = con.execute(f"SELECT doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score FROM ({queries.SQL['op3_license_scan']})").fetchall()
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert len({r["labels"] for r in got}) > 100
+
+
+def test_boilerplate_of_large_hosts_by_its_ceiling(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "CEILING", 15)
+    menu = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty menu"
+    docs = [(i, f"{menu}\n{i}", "h") for i in range(20)] + [(i, " ".join(f"w{i}x{j}" for j in range(25)), "h") for i in range(20, 2_000)]
+    docs += [(i, f"{menu}\n{i}", "k") for i in range(3_000, 3_012)] + [(i, " ".join(f"w{i}x{j}" for j in range(25)), "k") for i in range(3_012, 5_000)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.rate(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert not any(kept[i] for i in range(20)) and all(kept[i] for i in range(20, 2_000)) and all(kept[i] for i in range(3_000, 5_000))
+
+
 def test_top_products(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, rng.normal(size=8).round(2).tolist()) for i in range(700)]

@@ -148,8 +148,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Words are runs of 0-9, a-z and characters beyond ASCII. Base: the places of PHRASES. Templates: of each template
     the LOOKUPS words of its key phrases with the highest IDF (in the files of this table) are looked up, and postings
-    with the same relative place are intersected. As a template needs all its key phrases, that loses none, however
-    many notices a file holds. Only then the template's other words are compared at that place: it is found where all
+    with the same relative place are intersected. As a template needs all its key phrases, these are the words that a
+    file which holds it has with the highest IDF of all its words of those phrases: choosing them file by file would
+    choose the same, and none is lost, however many notices a file holds. Only then the template's other words are compared at that place: it is found where all
     words of its key phrases stand. score: the largest part of a found template's indexed words that stand in place, 0
     if none is found.
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.cluster import small
 
 #: A line is boilerplate of its host if more than MAX_DOCUMENTS of the host's documents, and more than MAX_SHARE of
-#: them, have it.
-MAX_DOCUMENTS, MAX_SHARE = 10, 0.1
+#: them or more than CEILING, have it.
+MAX_DOCUMENTS, MAX_SHARE, CEILING = 10, 0.02, 10_000
 #: A document is depleted if less than this part of its words is outside boilerplate lines.
 MIN_LEFT = 0.2
 #: Base rules: fewer words, or more than this percentage of them in repeated windows, fail.
@@ -71,7 +71,7 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_c
     lines = _lines(rows)
     hosts = small(rows.select("__host", "__hash").distinct().groupBy(F.col("__host").alias("__h")).agg(F.count("*").alias("of")), "quality-hosts")
     common = lines.groupBy("__host", "line").agg(F.countDistinct("__hash").alias("n")).where(F.col("n") > MAX_DOCUMENTS)
-    common = common.join(hosts, F.col("__host") == F.col("__h")).where(F.col("n") > MAX_SHARE * F.col("of"))
+    common = common.join(hosts, F.col("__host") == F.col("__h")).where(F.col("n") > F.least(MAX_SHARE * F.col("of"), F.lit(CEILING)))
     common = small(common.select(F.col("__host").alias("__ch"), F.col("line").alias("__cl")), "quality-lines")
     marked = lines.join(common, (F.col("__host") == F.col("__ch")) & (F.col("line") == F.col("__cl")), "left")
     removed = marked.groupBy("__id", "__hash", "__host").agg(F.sum("words").alias("all"), F.sum(F.when(F.col("__cl").isNotNull(), F.col("words"))).alias("gone"))

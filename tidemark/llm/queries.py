@@ -181,15 +181,13 @@ WITH w AS (
 p(w, t, place) AS (VALUES {_POSTINGS}),
 k(t, label, keys, n) AS (VALUES {_KEYS}),
 words AS (SELECT doc_id, w[i + 1] AS w, i FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w) WHERE w[i + 1] IN (SELECT w FROM p)),
-idf AS (SELECT w, row_number() OVER (ORDER BY count(DISTINCT doc_id), w) AS rarity FROM words GROUP BY w),
-ranked AS (SELECT words.*, dense_rank() OVER (PARTITION BY doc_id ORDER BY rarity) AS r FROM words JOIN idf ON words.w = idf.w),
 votes AS (
-  SELECT doc_id, p.t, i - place AS shift, count(DISTINCT CASE WHEN r <= 16 THEN ranked.w END) AS agreeing, list(DISTINCT place) AS places
-  FROM ranked JOIN p ON ranked.w = p.w GROUP BY doc_id, p.t, i - place
+  SELECT doc_id, p.t, i - place AS shift, list(DISTINCT place) AS places
+  FROM words JOIN p ON words.w = p.w GROUP BY doc_id, p.t, i - place
 ),
 found AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(len(places) / n::DOUBLE) AS score
-  FROM votes JOIN k ON votes.t = k.t WHERE agreeing >= 2 AND list_has_all(places, keys) GROUP BY doc_id
+  FROM votes JOIN k ON votes.t = k.t WHERE list_has_all(places, keys) GROUP BY doc_id
 ),
 b AS (
   SELECT doc_id, w, [i FOR i IN range(len(w)) IF w[i + 1] = 'cc' AND w[i + 2] = 'by'] AS c, [i FOR i IN range(len(w)) IF w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license'] AS g,
@@ -228,7 +226,7 @@ l AS (SELECT doc_id, host, text, trim(regexp_replace(lower(unnest(ls)), '[\\x20\
 hosts AS (SELECT host, count(DISTINCT text) AS of FROM f GROUP BY host),
 common AS (
   SELECT l.host, line FROM l JOIN hosts ON l.host = hosts.host GROUP BY l.host, line, of
-  HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > 0.1 * of
+  HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > least(0.02 * of, 10000)
 ),
 gone AS (
   SELECT l.doc_id, sum(len(string_split(l.line, ' '))) AS n FROM l JOIN common c ON l.host = c.host AND l.line = c.line GROUP BY l.doc_id
