@@ -394,12 +394,12 @@ def eta_lookup(spark, sf_dir):
 
 CANDS = f"""{BARS}, x AS (SELECT *, {TR} AS tr, row_number() {BY} - 1 AS bar_idx FROM bars), a AS (SELECT *, avg(tr) {rows(14)} AS atr FROM x),
 c AS (SELECT symbol, ts, side, close AS entry, close - CASE WHEN side = 'long' THEN 1 ELSE -1 END * 0.5 * atr AS level, abs(0.5 * atr) AS risk_dist, atr, bar_idx FROM a, (VALUES ('long'), ('short')) s(side)
-      WHERE bar_idx % 6 = 0 AND 0.5 * atr >= 0.001 * atr)"""
+      WHERE 0.5 * atr >= 0.001 * atr)"""
 
 
 def _cands(spark, sf_dir) -> DataFrame:
     b = bars(spark, sf_dir).withColumn("tr", W.true_range()).withColumns({"atr": F.avg("tr").over(W.last(14)), "bar_idx": F.row_number().over(W.ordered()) - 1})
-    return candidates.both_sides(candidates.every_kth(b, 6), eta=0.5).select("symbol", "ts", "side", "entry", "level", "risk_dist", "atr", "eta", "bar_idx")
+    return candidates.both_sides(b, eta=0.5).select("symbol", "ts", "side", "entry", "level", "risk_dist", "atr", "eta", "bar_idx")
 
 
 @query("candidates_both_sides", f"WITH {CANDS} SELECT symbol, ts, side, {r('entry', 'entry')}, {r('level', 'level')}, {r('risk_dist', 'risk_dist')}, CAST(bar_idx AS INTEGER) AS bar_idx FROM c")
@@ -483,17 +483,25 @@ def busy_until_schedule(spark, sf_dir):
     return sequential.one_at_a_time(_labelled(spark, sf_dir), 48 * HOUR).select("symbol", "ts", "side")
 
 
-@query("weighted_interval", f"""WITH RECURSIVE {_labels_sql('ticks', 48, 3.0, False)}, o AS (SELECT symbol, ts, outcome_ts, (abs(hash(1)) * 0 + 1 + (ts // {HOUR}) % 5)::DOUBLE AS w, row_number() OVER (PARTITION BY symbol ORDER BY outcome_ts, ts, side) AS i FROM lab),
-p AS (SELECT a.symbol, a.i, a.w, (SELECT count(*) FROM o b WHERE b.symbol = a.symbol AND b.i < a.i AND b.outcome_ts <= a.ts) AS prior FROM o a),
+@query("weighted_interval", f"""WITH RECURSIVE {_labels_sql('ticks', 48, 3.0, False)}, o AS MATERIALIZED (SELECT symbol, ts, side, outcome_ts, (1 + (ts // {HOUR}) % 5)::DOUBLE AS w, row_number() OVER (PARTITION BY symbol ORDER BY outcome_ts, ts, side) AS i FROM lab),
+p AS MATERIALIZED (SELECT a.symbol, a.i, a.w, (SELECT count(*) FROM o b WHERE b.symbol = a.symbol AND b.i < a.i AND b.outcome_ts <= a.ts) AS prior FROM o a),
 d AS (SELECT symbol, 0::BIGINT AS i, [0.0::DOUBLE] AS dp FROM (SELECT DISTINCT symbol FROM o) UNION ALL
-      SELECT p.symbol, p.i, list_append(d.dp, greatest(d.dp[p.i], p.w + d.dp[p.prior + 1])) FROM d JOIN p ON p.symbol = d.symbol AND p.i = d.i + 1)
-SELECT symbol, {r('max(dp[i + 1])', 'total')} FROM d GROUP BY symbol""")
+      SELECT p.symbol, p.i, list_append(d.dp, greatest(d.dp[p.i], p.w + d.dp[p.prior + 1])) FROM d JOIN p ON p.symbol = d.symbol AND p.i = d.i + 1),
+e AS MATERIALIZED (SELECT symbol, max(i) AS i, arg_max(dp, i) AS dp FROM d GROUP BY symbol),
+t AS MATERIALIZED (SELECT p.symbol, p.i, p.prior, p.w + e.dp[p.prior + 1] > e.dp[p.i] AS taken FROM p JOIN e ON p.symbol = e.symbol),
+b AS (SELECT symbol, i FROM e UNION ALL SELECT t.symbol, CASE WHEN taken THEN prior ELSE t.i - 1 END FROM b JOIN t ON t.symbol = b.symbol AND t.i = b.i)
+SELECT o.symbol, o.ts, o.side, {r('o.w', 'w')} FROM b JOIN t ON t.symbol = b.symbol AND t.i = b.i AND taken JOIN o ON o.symbol = t.symbol AND o.i = t.i""")
 def weighted_interval(spark, sf_dir):
     ev = _labelled(spark, sf_dir).withColumn("w", (1 + F.expr(f"ts div {HOUR}") % 5).cast("double"))
-    return sequential.best_schedule(ev, "w").groupBy("symbol").agg(F.sum("w").alias("total"))
+    return sequential.best_schedule(ev, "w").select("symbol", "ts", "side", "w")
 
 
-@query("capped_schedule")
+@query("capped_schedule", f"""WITH RECURSIVE {_labels_sql('ticks', 48, 3.0, False)}, o AS MATERIALIZED (SELECT symbol, ts, side, outcome_ts, row_number() OVER (PARTITION BY symbol ORDER BY ts, side) AS i FROM lab),
+s AS (SELECT symbol, 0::BIGINT AS i, 0::BIGINT AS ts, '' AS side, false AS kept, CAST([] AS STRUCT(e BIGINT, s VARCHAR)[]) AS held FROM (SELECT DISTINCT symbol FROM o) UNION ALL
+      SELECT symbol, i, ts, side, kept, CASE WHEN kept THEN list_append(still, {{'e': outcome_ts, 's': side}}) ELSE still END FROM (
+        SELECT *, len(still) < 3 AND len(list_filter(still, lambda x: x.s = side)) < 2 AS kept FROM (
+          SELECT o.symbol, o.i, o.ts, o.side, o.outcome_ts, list_filter(s.held, lambda x: x.e > o.ts) AS still FROM s JOIN o ON o.symbol = s.symbol AND o.i = s.i + 1)))
+SELECT symbol, ts, side FROM s WHERE kept""")
 def capped_schedule(spark, sf_dir):
     return sequential.capped(_labelled(spark, sf_dir), 3, 2).select("symbol", "ts", "side")
 
