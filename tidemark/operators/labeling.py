@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import safe_div
+from tidemark.operators import pieces as P
+from tidemark.sources.staging import saved
 
 
 def risk(df: DataFrame, min_risk_frac: float = 0.001, stop_band: float = 0.05) -> Column:
@@ -27,6 +29,20 @@ def horizon_ms(hours: float, eta: Column | None = None, base_eta: float = 2.5, c
     return F.greatest(F.lit(1), F.rint(F.lit(hours * 3_600_000) * scale).cast("long"))
 
 
+def _in_window(c: DataFrame, ticks: DataFrame, width: int, can: Column, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Candidates (with __from and __to) and the ticks (as __t and their other columns) of their windows in buckets where `can` holds for the lowest and highest price (__lo, __hi); keys of those that have a tick in a bucket wholly inside (__seen)."""
+    spans = c.select("*", F.explode(F.sequence(F.floor(F.col("__from") / width), F.floor(F.col("__to") / width))).alias("__bucket"))
+    bucketed = ticks.select(F.col("symbol").alias("__s"), F.col("ts").alias("__t"), *[x for x in ticks.columns if x not in ("symbol", "ts")], F.floor(F.col("ts") / width).alias("__b"))
+    ranges = bucketed.groupBy(F.col("__s").alias("__rs"), F.col("__b").alias("__rb")).agg(F.min("price").alias("__lo"), F.max("price").alias("__hi"), F.min("__t").alias("__t0"), F.max("__t").alias("__t1"))
+    met = spans.join(ranges, (F.col("symbol") == F.col("__rs")) & (F.col("__bucket") == F.col("__rb")) & (F.col("__t1") >= F.col("__from")) & (F.col("__t0") <= F.col("__to")))
+    # A bucket wholly inside the window shows by itself that the candidate has ticks; those at its ends are looked into.
+    inside = (F.col("__t0") >= F.col("__from")) & (F.col("__t1") <= F.col("__to"))
+    met = met.withColumns({"__can": can, "__inside": inside})
+    seen = met.where("__inside").groupBy(*keys).agg(F.lit(True).alias("__seen"))
+    look = met.where("__can OR NOT __inside").select(*c.columns, "__bucket")
+    return look.join(bucketed, (F.col("symbol") == F.col("__s")) & (F.col("__bucket") == F.col("__b")) & F.col("__t").between(F.col("__from"), F.col("__to"))), seen
+
+
 def first_touch(cands: DataFrame, ticks: DataFrame, r_mult: float = 5.0, hours: float = 480.0, epsilon_ms: int = 1, keep_untouched: bool = True, bucket_ms: int | None = None, scale_by_eta: bool = False) -> DataFrame:
     """outcome (win, loss, timeout), outcome_ts and preempted of each candidate (symbol, ts, side, entry, level, risk_dist, ...).
 
@@ -44,21 +60,12 @@ def first_touch(cands: DataFrame, ticks: DataFrame, r_mult: float = 5.0, hours:
     c = cands.withColumn("__r", risk(cands)).withColumns({"__tp": F.col("entry") + sign * r_mult * F.col("__r"), "__sl": F.col("entry") - sign * F.col("__r")})
     c = c.withColumns({"__from": F.col("ts") + epsilon_ms, "__to": F.col("ts") + horizon_ms(hours, eta)})
     keys = ["symbol", "ts", "side"]
-    spans = c.select(*keys, "__tp", "__sl", "__from", "__to", F.explode(F.sequence(F.floor(F.col("__from") / width), F.floor(F.col("__to") / width))).alias("__bucket"))
-    bucketed = ticks.select(F.col("symbol").alias("__s"), F.col("ts").alias("__t"), "seq", "price", F.floor(F.col("ts") / width).alias("__b"))
-    ranges = bucketed.groupBy(F.col("__s").alias("__rs"), F.col("__b").alias("__rb")).agg(F.min("price").alias("__lo"), F.max("price").alias("__hi"), F.min("__t").alias("__t0"), F.max("__t").alias("__t1"))
-    met = spans.join(ranges, (F.col("symbol") == F.col("__rs")) & (F.col("__bucket") == F.col("__rb")) & (F.col("__t1") >= F.col("__from")) & (F.col("__t0") <= F.col("__to")))
     long = F.col("side") == "long"
     can = F.when(long, (F.col("__hi") >= F.col("__tp")) | (F.col("__lo") <= F.col("__sl"))).otherwise((F.col("__lo") <= F.col("__tp")) | (F.col("__hi") >= F.col("__sl")))
-    # A bucket wholly inside the window shows by itself that the candidate has ticks; those at its ends are looked into.
-    inside = (F.col("__t0") >= F.col("__from")) & (F.col("__t1") <= F.col("__to"))
-    met = met.withColumns({"__can": can, "__inside": inside})
-    seen = met.where("__inside").groupBy(*keys).agg(F.lit(True).alias("__seen"))
-    look = met.where("__can OR NOT __inside").select(*keys, "__tp", "__sl", "__from", "__to", "__bucket")
+    joined, seen = _in_window(c.select(*keys, "__tp", "__sl", "__from", "__to"), ticks.select("symbol", "ts", "seq", "price"), width, can, keys)
     at = F.struct(F.col("__t").alias("t"), "seq")
     hit_tp = F.when(long, F.col("price") >= F.col("__tp")).otherwise(F.col("price") <= F.col("__tp"))
     hit_sl = F.when(long, F.col("price") <= F.col("__sl")).otherwise(F.col("price") >= F.col("__sl"))
-    joined = look.join(bucketed, (F.col("symbol") == F.col("__s")) & (F.col("__bucket") == F.col("__b")) & F.col("__t").between(F.col("__from"), F.col("__to")))
     touches = joined.groupBy(*keys).agg(F.min(F.when(hit_tp, at)).alias("__win"), F.min(F.when(hit_sl, at)).alias("__loss"), F.count("*").alias("__n"))
     out = c.join(touches, keys, "left").join(seen, keys, "left")
     win = F.col("__win").isNotNull() & (F.col("__loss").isNull() | (F.col("__win") <= F.col("__loss")))
@@ -69,6 +76,62 @@ def first_touch(cands: DataFrame, ticks: DataFrame, r_mult: float = 5.0, hours:
     return out.withColumn("risk_dist", F.col("__r")).drop("__r", "__tp", "__sl", "__from", "__to", "__win", "__loss", "__n", "__seen")
 
 
+def stop_band(
+    cands: DataFrame, ticks: DataFrame, r_mult: float = 5.0, hours: float = 480.0, quick_hours: float = 2.0, stop_band_atr: float = 0.05, consec_ticks: int = 1, dwell_ms: int = 0, epsilon_ms: int = 1,
+    keep_untouched: bool = True, bucket_ms: int | None = None, pieces: int | None = None,
+) -> DataFrame:
+    """outcome, outcome_ts, r1_ts, tp_ts and preempted of each candidate by the older rules of stop band and quick ignition.
+
+    A candidate loses at the first tick of the first run of successive ticks beyond its level by more than stop_band_atr
+    ATRs which has consec_ticks ticks or more and lasts dwell_ms or longer, unless the target came before. It wins at the
+    target (r_mult * R) only if one R was reached within quick_hours (r1_ts). Else it times out at the horizon's end.
+
+    Ticks are numbered along their series, in pieces; successive ones have successive numbers. As in first_touch, only buckets
+    whose prices can matter are joined, and runs are found among the ticks beyond the band.
+    """
+    width = bucket_ms or int(hours * 3_600_000 // 24) or 1
+    order, keys = [F.col("ts"), F.col("seq")], ["symbol", "ts", "side"]
+    numbered = P.prefixed(P.pieced(ticks.select("symbol", "ts", "seq", "price"), ["symbol"], order, pieces), ["symbol"], order, {"__ix": F.lit(1)}).drop("__piece")
+    sign, long = F.when(F.col("side") == "long", 1).otherwise(-1), F.col("side") == "long"
+    c = cands.withColumn("__r", risk(cands, stop_band=0.0))
+    c = c.withColumns({"__r1": F.col("entry") + sign * F.col("__r"), "__tp": F.col("entry") + sign * r_mult * F.col("__r"), "__stop": F.col("level") - sign * stop_band_atr * F.coalesce("atr", F.lit(0.0))})
+    c = c.withColumns({"__from": F.col("ts") + epsilon_ms, "__to": F.col("ts") + horizon_ms(hours), "__quick": F.col("ts") + horizon_ms(quick_hours)})
+    can = F.when(long, (F.col("__hi") >= F.col("__r1")) | (F.col("__lo") < F.col("__stop"))).otherwise((F.col("__lo") <= F.col("__r1")) | (F.col("__hi") > F.col("__stop")))
+    joined, seen = _in_window(c.select(*keys, "__r1", "__tp", "__stop", "__from", "__to"), numbered, width, can, keys)
+    at = F.struct(F.col("__ix").alias("ix"), F.col("__t").alias("t"))
+    reached = lambda level: F.when(long, F.col("price") >= F.col(level)).otherwise(F.col("price") <= F.col(level))
+    firsts = joined.groupBy(*keys).agg(F.min(F.when(reached("__r1"), at)).alias("__a"), F.min(F.when(reached("__tp"), at)).alias("__b"), F.count("*").alias("__n"))
+    beyond = joined.where(F.when(long, F.col("price") < F.col("__stop")).otherwise(F.col("price") > F.col("__stop"))).select(*keys, "__ix", "__t")
+    runs = beyond.withColumn("__run", F.col("__ix") - F.row_number().over(Window.partitionBy(*keys).orderBy("__ix"))).groupBy(*keys, "__run")
+    runs = runs.agg(F.count("*").alias("__m"), F.min(at).alias("__at"), (F.max("__t") - F.min("__t")).alias("__lasts")).where((F.col("__m") >= consec_ticks) & (F.col("__lasts") >= dwell_ms))
+    out = c.join(firsts, keys, "left").join(runs.groupBy(*keys).agg(F.min("__at").alias("__v")), keys, "left").join(seen, keys, "left")
+    lost = F.col("__v").isNotNull() & (F.col("__b").isNull() | (F.col("__v.ix") < F.col("__b.ix")))
+    lit = ~lost & F.coalesce(F.col("__a.t") <= F.col("__quick"), F.lit(False))
+    won = lit & F.col("__b").isNotNull()
+    out = out.withColumns({
+        "outcome": F.when(lost, "loss").when(won, "win").otherwise("timeout"), "outcome_ts": F.when(lost, F.col("__v.t")).when(won, F.col("__b.t")).otherwise(F.col("__to")),
+        "r1_ts": F.when(lit, F.col("__a.t")), "tp_ts": F.when(won, F.col("__b.t")), "preempted": F.col("__n").isNull() & F.col("__seen").isNull() & F.lit(not keep_untouched), "risk_dist": F.col("__r"),
+    })
+    return out.drop("__r", "__r1", "__tp", "__stop", "__from", "__to", "__quick", "__a", "__b", "__n", "__v", "__seen")
+
+
+def preempted_while_busy(labels: DataFrame, policy: str = "quick", quick_hours: float = 2.0, keys: tuple[str, ...] = ("symbol",), block: int = P.BLOCK, pieces: int | None = None) -> DataFrame:
+    """Labels where candidates that come while an earlier one is busy time out at once, preempted (sorted by ts and side).
+
+    Busy until: the exit (policy to_exit); else the quick deadline or, if later, the target of a win. A busy candidate's own
+    label plays no part, so those that aren't are a chain of successors (see `pieces.chained`).
+    """
+    rows = saved(labels.withColumn("__id", F.monotonically_increasing_id()), "labels")
+    quick = F.col("ts") + horizon_ms(quick_hours)
+    until = F.col("outcome_ts") if policy == "to_exit" else F.greatest(quick, F.when(F.col("outcome") == "win", F.col("tp_ts")))
+    free = P.chained(rows, keys, [F.col("side"), F.col("__id")], until, block, pieces).select(F.col("__id").alias("__free"))
+    busy = F.col("__free").isNull()
+    out = rows.join(free, F.col("__id") == F.col("__free"), "left").withColumns({"__busy": busy})
+    none = {x: F.when(~F.col("__busy"), F.col(x)) for x in ("r1_ts", "tp_ts")}
+    changed = {"outcome": F.when(F.col("__busy"), "timeout").otherwise(F.col("outcome")), "outcome_ts": F.when(F.col("__busy"), F.col("ts")).otherwise(F.col("outcome_ts")), "preempted": F.col("__busy") | F.col("preempted")}
+    return out.withColumns(changed | none).drop("__id", "__free", "__busy")
+
+
 def unlabelled(cands: DataFrame) -> DataFrame:
     """The fixed event columns for candidates of which no tick file exists: all time out at once."""
     return cands.withColumns({"outcome": F.lit("timeout"), "outcome_ts": F.col("ts"), "preempted": F.lit(False)})

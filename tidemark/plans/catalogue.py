@@ -483,6 +483,36 @@ def busy_until_schedule(spark, sf_dir):
     return sequential.one_at_a_time(_labelled(spark, sf_dir), 48 * HOUR).select("symbol", "ts", "side")
 
 
+STOPS = f"""{CANDS}, numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS ix FROM ticks),
+w AS (SELECT symbol, ts, side, round(entry, 8) AS e, round(level, 8) AS lev, round(atr, 8) AS atr, greatest(round(risk_dist, 8), 0.001 * round(atr, 8)) AS rr, CASE WHEN side = 'long' THEN 1 ELSE -1 END AS sg FROM c),
+j AS MATERIALIZED (SELECT w.*, t.ts AS t, t.ix, sg * (t.price - (e + sg * rr)) >= 0 AS at_r1, sg * (t.price - (e + sg * 3.0 * rr)) >= 0 AS at_tp, CASE WHEN side = 'long' THEN t.price < lev - 0.05 * atr ELSE t.price > lev + 0.05 * atr END AS beyond
+      FROM w JOIN numbered t ON t.symbol = w.symbol AND t.ts BETWEEN w.ts + 1 AND w.ts + {24 * HOUR}),
+f AS (SELECT symbol, ts, side, min(CASE WHEN at_r1 THEN (ix, t) END) AS r1, min(CASE WHEN at_tp THEN (ix, t) END) AS tp FROM j GROUP BY 1, 2, 3),
+runs AS (SELECT symbol, ts, side, min((ix, t)) AS v FROM (SELECT *, ix - row_number() OVER (PARTITION BY symbol, ts, side ORDER BY ix) AS run FROM j WHERE beyond) GROUP BY symbol, ts, side, run HAVING count(*) >= 2 AND max(t) - min(t) >= 600000),
+v AS (SELECT symbol, ts, side, min(v) AS v FROM runs GROUP BY 1, 2, 3),
+g AS (SELECT w.symbol, w.ts, w.side, r1, tp, v, v IS NOT NULL AND (tp IS NULL OR v[1] < tp[1]) AS lost FROM w LEFT JOIN f ON w.symbol = f.symbol AND w.ts = f.ts AND w.side = f.side LEFT JOIN v ON w.symbol = v.symbol AND w.ts = v.ts AND w.side = v.side),
+h AS (SELECT *, NOT lost AND coalesce(r1[2] <= ts + {4 * HOUR}, false) AS lit FROM g),
+stops AS (SELECT symbol, ts, side, CASE WHEN lost THEN 'loss' WHEN lit AND tp IS NOT NULL THEN 'win' ELSE 'timeout' END AS outcome, CAST(CASE WHEN lost THEN v[2] WHEN lit AND tp IS NOT NULL THEN tp[2] ELSE ts + {24 * HOUR} END AS BIGINT) AS outcome_ts,
+  CAST(CASE WHEN lit THEN r1[2] END AS BIGINT) AS r1_ts, CAST(CASE WHEN lit THEN tp[2] END AS BIGINT) AS tp_ts FROM h)"""
+
+
+def _stops(spark, sf_dir) -> DataFrame:
+    return labeling.stop_band(_cands(spark, sf_dir), ticks(spark, sf_dir), 3.0, 24, 4, consec_ticks=2, dwell_ms=600_000)
+
+
+@query("stop_band_labels", f"WITH {STOPS} SELECT symbol, ts, side, outcome, outcome_ts, r1_ts, tp_ts FROM stops")
+def stop_band_labels(spark, sf_dir):
+    return _stops(spark, sf_dir).select("symbol", "ts", "side", "outcome", "outcome_ts", "r1_ts", "tp_ts")
+
+
+@query("preempted_while_busy", f"""WITH RECURSIVE {STOPS}, o AS MATERIALIZED (SELECT *, greatest(ts + {4 * HOUR}, CASE WHEN outcome = 'win' THEN tp_ts END) AS busy, row_number() OVER (PARTITION BY symbol ORDER BY ts, side) AS i FROM stops),
+s AS (SELECT o.*, false AS preempted, busy AS free FROM o WHERE i = 1 UNION ALL
+      SELECT o.*, o.ts < s.free, CASE WHEN o.ts < s.free THEN s.free ELSE o.busy END FROM s JOIN o ON o.symbol = s.symbol AND o.i = s.i + 1)
+SELECT symbol, ts, side, CASE WHEN preempted THEN 'timeout' ELSE outcome END AS outcome, CAST(CASE WHEN preempted THEN ts ELSE outcome_ts END AS BIGINT) AS outcome_ts, preempted FROM s""")
+def preempted_while_busy(spark, sf_dir):
+    return labeling.preempted_while_busy(_stops(spark, sf_dir), quick_hours=4).select("symbol", "ts", "side", "outcome", "outcome_ts", "preempted")
+
+
 @query("weighted_interval", f"""WITH RECURSIVE {_labels_sql('ticks', 48, 3.0, False)}, o AS MATERIALIZED (SELECT symbol, ts, side, outcome_ts, (1 + (ts // {HOUR}) % 5)::DOUBLE AS w, row_number() OVER (PARTITION BY symbol ORDER BY outcome_ts, ts, side) AS i FROM lab),
 p AS MATERIALIZED (SELECT a.symbol, a.i, a.w, (SELECT count(*) FROM o b WHERE b.symbol = a.symbol AND b.i < a.i AND b.outcome_ts <= a.ts) AS prior FROM o a),
 d AS (SELECT symbol, 0::BIGINT AS i, [0.0::DOUBLE] AS dp FROM (SELECT DISTINCT symbol FROM o) UNION ALL
