@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -146,13 +147,13 @@ def scores(text: str | None, filters: Filters) -> np.ndarray | None:
     return np.clip((found / n - filters.false_rate) / (1 - filters.false_rate), 0, 1)
 
 
-def _predict(filters: Filters):
-    """Passes all columns but text through and adds lang_pred and score."""
+def _predict(filters: Filters, inside: str | None = None):
+    """Adds lang_pred and score by the column text and passes the others through, or by the field text of the struct `inside`, passed through as it is."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, values = [], []
-            for text in batch.column("text"):
+            for text in batch.column("text") if inside is None else pc.struct_field(batch.column(inside), "text"):
                 found = scores(text.as_py(), filters)
                 best = -1 if found is None else int(found.argmax())
                 names.append("und" if best < 0 else filters.languages[best])
@@ -194,5 +195,5 @@ def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """
     filters = fit(docs.select("doc_id", "text", "lang").where(~held_out()))
     schema = StructType([StructField("row", docs.schema), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    marked = docs.select(F.struct("*").alias("row"), "text").mapInArrow(_predict(filters), schema)
+    marked = docs.select(F.struct("*").alias("row")).mapInArrow(_predict(filters, "row"), schema)
     return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")

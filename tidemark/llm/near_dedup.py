@@ -90,13 +90,13 @@ def _may_link(a: str, b: str) -> Column:
 
 
 def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """cid and shingle sets of the rows (cid, text), about a million shingles at a time."""
+    """cid and shingle sets of the rows (cid, text), about 260,000 shingles at a time."""
     for batch in batches:
         cids, at, sets, size = batch.column("cid").to_numpy(zero_copy_only=False), 0, [], 0
         for s in shingle_sets(column_bytes(batch.column("text"))):
             sets.append(s)
             size += len(s)
-            if size > 1 << 20:
+            if size > 1 << 18:
                 yield cids[at : at + len(sets)], sets
                 at, sets, size = at + len(sets), [], 0
         yield cids[at : at + len(sets)], sets
@@ -104,7 +104,9 @@ def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, l
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for cids, sets in _in_parts(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "items"])
+        offsets = pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32())
+        items = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, dtype=U), *sets]).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(cids), items], names=["cid", "items"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,17 +150,6 @@ def _bound(a: str, b: str) -> Column:
     return (100 + SIMILARITY) * most >= SIMILARITY * (col(a, "n") + col(b, "n"))
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = []
-        for x, y in zip(batch.column("xs"), batch.column("ys"), strict=True):
-            both = np.concatenate([np.frombuffer(x.as_py(), dtype=U), np.frombuffer(y.as_py(), dtype=U)])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            good.append(100 * common >= SIMILARITY * (len(both) - common))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-
 def _one_each(table: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     """The saved table with one row for each cid; rows of documents that repeat id and text come more than once."""
     return saved(table.dropDuplicates(["cid"]), name) if table.count() > wanted.count() else table
@@ -168,11 +159,12 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     """Those of the saved pairs (a, b) of class ids that meet the similarity, by their full shingle sets."""
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     needed = small(classes.join(needed, F.col("cid") == F.col("id"), "left_semi").select("cid", F.col("uid").alias("__uid")), "dedup-needed")
-    sets = docs.join(needed, F.col("uid") == F.col("__uid")).select("cid", "text").mapInArrow(_sets, "cid long, items binary")
+    sets = docs.join(needed, F.col("uid") == F.col("__uid")).select("cid", "text").mapInArrow(_sets, "cid long, items array<long>")
     sets = _one_each(saved(sets, "dedup-sets"), needed, "dedup-single-sets")
     left, right = sets.toDF("ca", "xs"), sets.toDF("cb", "ys")
     both = pairs.join(left, F.col("a") == F.col("ca")).join(right, F.col("b") == F.col("cb"))
-    return both.select("a", "b", "xs", "ys").mapInArrow(_confirm, "u long, v long")
+    common = F.size(F.array_intersect("xs", "ys")).cast("long")
+    return both.where(100 * common >= SIMILARITY * (F.size("xs") + F.size("ys") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _led(keys: DataFrame, leaders: DataFrame) -> DataFrame:
