@@ -90,11 +90,37 @@ def test_gate_is_chosen_on_held_out_months(spark, tmp_path, monkeypatch):
         assert t["rule_id"] == (held[0] if held else None)
     assert {t["rule_id"] for t in trades} != {None}
     assert reports.truth(fold.table("rules"), fold.table("trades")).where("wins + losses > 0").count() > 0
+    decided = fold.table("decided").collect()
+    found = fold.report()
+    assert artifacts.read_json(spark, f"{tmp_path}/S/fold_0/simulation.json")["decided"]["entries"] == found["decided"]["entries"] == sum(r["enter"] for r in decided)
+    assert found["decided"]["n"] == len(decided) == 150 and found["scheduled"]["entries"] == len(trades)
+    assert found["scheduled"]["wins"] == sum(t["outcome"] == "win" for t in trades) and found["net_R_after_costs"] == pytest.approx(sum(t["R"] for t in trades))
+    assert found["parity"]["mismatches"] == sum(r["enter"] for r in decided) - len(trades)
+    marks = artifacts.read_json(spark, f"{tmp_path}/S/fold_0/fingerprint.json")
+    assert marks["tables"]["trades"]["rows"] == len(trades) and len(marks["config"]) == 64
+    assert not fold.few_resolved()
     one = walkforward.Fold(spark, cfg, "S", 0, ["2024-03"], ["2024-04"])
     events = one._training(fold._events())
     assert [x.count() for x in one._split(events)] == [events.count()] * 2  # one month: both parts are all rows
 
 
+def test_small_samples_and_loser_options(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [("S", i, "long", f"2024-0{1 + i % 2}", rng.randrange(2), "win" if rng.random() < 0.5 else "loss", False) for i in range(120)]
+    spark.createDataFrame(rows, "symbol string, ts long, side string, ym string, qbin_a int, outcome string, preempted boolean").write.parquet(str(tmp_path / "S" / "fold_0" / "labels.parquet"))
+    spec = {"min_support_frac": 0.25, "min_months": 5, "min_wins": 40, "max_terms": 1, "fdr": {"enabled": True, "alpha": 1e-9}, "loser_top_k": 1, "loser_max_precision_ucb": 1.1, "loser_min_resolve_frac": 0.0, "loser_min_months": 1}
+    cfg = {"io": {"outputs_root": str(tmp_path)}, "mining": {"rules": spec}, "loser_mask": {"min_support": 1}}
+    fold = walkforward.Fold(spark, cfg, "S", 0, ["2024-01", "2024-02"], [])
+    rules = fold.table("rules").collect()
+    assert fold.few_resolved() and {r["rule_id"] for r in rules} == {"qbin_a==0", "qbin_a==1"}  # neither months, wins nor the false discovery rate reject any
+    assert all(r["support_n"] >= 30 for r in rules)
+    worst = min(rules, key=lambda r: (r["precision_ucb"], -r["support_n"], r["rule_id"]))["rule_id"]
+    assert fold._losers(fold.table("rules")) == [[("qbin_a", int(worst[-1]))]]
+    assert artifacts.read_json(spark, f"{tmp_path}/S/fold_0/loser_mask.json") == [[{"col": "qbin_a", "val": int(worst[-1])}]]
+    spec["mine_losers"] = False
+    assert fold._losers(fold.table("rules")) == []
+
+
 def test_gate_learns_and_calibrates(spark):
     rng = random.Random(2)
     rows = [(i, rng.randrange(3), rng.randrange(2)) for i in range(400)]
