@@ -7,20 +7,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.staging import shared_folder
+
 #: A table of at most this many rows (two or three plain columns) may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Hash keys are the first 60 bits of an MD5, so that any engine can recompute them.
 KEY_BITS = 60
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it; where that is unset, the warehouse, or /tmp/checkpoints in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    return "/tmp/checkpoints" if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
