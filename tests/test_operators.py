@@ -138,6 +138,21 @@ def test_unknown_operator_and_column(spark):
     assert df.select(mining.any_literal([[]], df.columns)).first()[0] is True
 
 
+def test_binomial_tails(spark):
+    from fractions import Fraction
+    from math import comb
+
+    cases = [(k, n, p) for n in (1, 2, 7, 40, 300) for k in sorted({0, 1, n // 3, n // 2, n - 1, n}) for p in (0.0, 0.01, 0.3, 0.5, 0.97, 1.0)]
+    df = spark.createDataFrame([*cases, (None, 5, 0.5)], "k long, n long, p double")
+    for r in df.select("*", stats.binomial_tail(F.col("k"), F.col("n"), F.col("p")).alias("tail")).collect():
+        if r["k"] is None:
+            assert r["tail"] is None
+            continue
+        p = Fraction(r["p"])
+        want = float(sum(comb(r["n"], i) * p**i * (1 - p) ** (r["n"] - i) for i in range(r["k"], r["n"] + 1)))
+        assert r["tail"] == pytest.approx(want, rel=1e-9, abs=1e-13), r
+
+
 def test_wilson_contains_the_rate(spark):
     df = spark.createDataFrame([(k, n) for n in (0, 1, 5, 50) for k in range(n + 1)], "k int, n int")
     lo, hi = stats.wilson(F.col("k"), F.col("n"))

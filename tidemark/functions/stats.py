@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,3 +66,41 @@ def month_of(ts_ms: Column) -> Column:
 def time_unit(median_step: Column) -> Column:
     """Unit of time stamps by the median of their positive steps: sec, ms or ns; sec without any."""
     return F.when(median_step >= 1e10, "ns").when(median_step >= 1e4, "ms").otherwise("sec")
+
+
+# The coefficients of Lanczos' approximation for g = 7.
+LANCZOS = [
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
+]
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x >= 1."""
+    series = sum((F.lit(c) / (x + (i - 1)) for i, c in enumerate(LANCZOS[1:], 1)), F.lit(LANCZOS[0]))
+    t = x + 6.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (x - 0.5) * F.ln(t) - t + F.ln(series)
+
+
+def binomial_tail(k: Column, n: Column, p: Column, terms: int = 400) -> Column:
+    """Probability of k or more successes in n trials of probability p, by the continued fraction of the incomplete beta function; null for null arguments.
+
+    The fraction needs about the square root of n terms where k is close to n * p, so 400 serve up to some 100,000 trials.
+    """
+    a, b, x = k.cast("double"), (n - k + 1).cast("double"), p.cast("double")
+    swap = x > (a + 1) / (a + b + 2)  # the fraction converges fast on this side; else the other tail is found
+    args = F.struct(F.when(swap, b).otherwise(a).alias("a"), F.when(swap, a).otherwise(b).alias("b"), F.when(swap, 1 - x).otherwise(x).alias("x"))
+    safe = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+
+    def step(state: Column, m: Column) -> Column:
+        a_, b_, x_ = state["a"], state["b"], state["x"]
+        even = m * (b_ - m) * x_ / ((a_ - 1 + 2 * m) * (a_ + 2 * m))
+        odd = -(a_ + m) * (a_ + b_ + m) * x_ / ((a_ + 2 * m) * (a_ + 1 + 2 * m))
+        d, c = 1 / safe(1 + even * state["d"]), safe(1 + even / state["c"])
+        d2, c2 = 1 / safe(1 + odd * d), safe(1 + odd / c)
+        return F.struct(a_.alias("a"), b_.alias("b"), x_.alias("x"), d2.alias("d"), c2.alias("c"), (state["h"] * d * c * d2 * c2).alias("h"))
+
+    first = F.transform(F.array(args), lambda s: F.struct(s["a"], s["b"], s["x"], (1 / safe(1 - (s["a"] + s["b"]) * s["x"] / (s["a"] + 1))).alias("d"), F.lit(1.0).alias("c"), (1 / safe(1 - (s["a"] + s["b"]) * s["x"] / (s["a"] + 1))).alias("h")))[0]
+    last = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda m: m.cast("double")), first, step)
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(1 - x))
+    beta = front * last["h"] / F.when(swap, b).otherwise(a)
+    return F.when(k <= 0, 1.0).when(k > n, 0.0).when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(F.when(swap, 1 - beta).otherwise(beta))

@@ -602,6 +602,15 @@ def bh_fdr(spark, sf_dir):
     return out.select("rule_id", "pval", "qval", "rejected")
 
 
+@query("binomial_fdr", f"""WITH {_rules_sql('lit, val', ONE)}, p AS (SELECT lit || '==' || val AS rule_id, CAST(wins AS BIGINT) AS k, CAST(support_n AS BIGINT) AS n, base_p FROM rules),
+q AS (SELECT rule_id, sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(base_p) + (n - i) * ln(1 - base_p))) AS pval FROM (SELECT *, unnest(range(k, n + 1)) AS i FROM p) GROUP BY rule_id),
+k AS (SELECT *, row_number() OVER (ORDER BY pval, rule_id) AS k, count(*) OVER () AS m FROM q)
+SELECT rule_id, {r('pval', 'pval')}, CAST(k <= coalesce((SELECT max(k) FROM k WHERE pval <= k * 0.1 / m), 0) AS INTEGER) AS rejected FROM k""")
+def binomial_fdr(spark, sf_dir):
+    p = stats.binomial_tail(F.col("wins"), F.col("support_n"), F.col("base_p"))
+    return mining.false_discovery(_single(spark, sf_dir), p, 0.1).select("rule_id", "pval", "rejected")
+
+
 @query("wilson_bounds", f"WITH {OUT}, g AS (SELECT ym, sum(is_win) AS k, count(*) AS n FROM ev GROUP BY ym) SELECT ym, {r(wilson_sql('k', 'n')[0], 'lcb')}, {r(wilson_sql('k', 'n')[1], 'ucb')} FROM g")
 def wilson_bounds(spark, sf_dir):
     g = outcomes(spark, sf_dir).groupBy("ym").agg(F.sum("is_win").alias("k"), F.count("*").alias("n"))

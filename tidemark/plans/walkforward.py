@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import stats
 from tidemark.functions import windows as W
 from tidemark.operators import candidates, evaluate, features, gate, labeling, mining, sequential
 from tidemark.sources import artifacts, series
@@ -141,7 +142,9 @@ class Fold:
         out = mining.mine_single(ev, lits, **options).drop("lit", "val")
         if spec.get("max_terms", 2) > 1 and len(lits) > 1:
             out = out.unionByName(mining.mine_pairs(ev, lits, **options).drop("lit1", "val1", "lit2", "val2"))
-        out = mining.false_discovery(out, 1 - F.col("precision_lcb"), spec.get("fdr", {}).get("alpha", 0.1))
+        fdr = spec.get("fdr", {})
+        p = stats.binomial_tail(F.col("wins"), F.col("support_n"), F.col("base_p")) if fdr.get("method") == "binomial" else 1 - F.col("precision_lcb")
+        out = mining.false_discovery(out, p, fdr.get("alpha", 0.1))
         return out if not spec.get("fdr", {}).get("enabled") else out.where("rejected = 1")
 
     def _split(self, train: DataFrame) -> tuple[DataFrame, DataFrame]:
