@@ -222,3 +222,17 @@ def test_crash_report(spark, tmp_path):
     except KeyError as error:
         found = artifacts.read_json(spark, artifacts.write_report(spark, error, str(tmp_path)))
     assert "nothing there" in found["error"] and any("test_crash_report" in line for line in found["traceback"]) and any(f.endswith("part.csv") and n == 1 for f, n in found["files"].items())
+
+
+def test_months_in_one_scan(spark, tmp_path):
+    """Files of several months, headers and time units: one scan for each header, the unit told apart by file, no job for each month."""
+    start = 1704067200000
+    for m, (unit, head) in enumerate(((1, "ts,open,high,low,close"), (1000, "ts,open,high,low,close"), (1, None), (1_000_000, "Open_Time,open,high,low,close")), 1):
+        rows = [f"{(start + (m * 31 + d) * 86_400_000) // 1000 if unit == 1000 else (start + (m * 31 + d) * 86_400_000) * (unit if unit > 1 else 1)},1,2,0.5,{d + 1}" for d in range(5)]
+        (tmp_path / f"S-2024-0{m}.csv").write_text("\n".join([head, *rows] if head else rows))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    df = series.read_bars_months(spark, str(tmp_path / "{SYMBOL}-{YYYY}-{MM}.csv"), "S", [f"2024-0{m}" for m in range(1, 6)])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - len(jobs) <= 3  # the columns of three kinds of CSV, not of four months
+    want = sorted((start + (m * 31 + d) * 86_400_000, float(d + 1)) for m in range(1, 5) for d in range(5))
+    assert sorted((r["ts"], r["close"]) for r in df.collect()) == want
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 6

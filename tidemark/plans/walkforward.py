@@ -100,12 +100,10 @@ class Fold:
 
     def labels(self) -> DataFrame:
         cands = self.table("candidates")
-        found = [p for p in (series.existing(self.spark, self._path("ticks").format(SYMBOL=self.symbol, YYYY=m[:4], MM=m[5:7])) for m in self.train + self.test) if p]
+        found = series.months_with_files(self.spark, self._path("ticks"), self.symbol, self.train + self.test)
         if not found:
             return labeling.unlabelled(cands)
-        ticks = series.read_ticks(self.spark, found[0], self.symbol)
-        for p in found[1:]:
-            ticks = ticks.unionByName(series.read_ticks(self.spark, p, self.symbol))
+        ticks = series.read_ticks(self.spark, found, self.symbol)
         keep = self.label.get("no_ticks_policy", "skip") != "skip"
         return labeling.first_touch(cands, ticks, self.label.get("r_mult", 5.0), self.label.get("horizon_hours", 480), self.label.get("intra_bar_epsilon_ms", 1), keep, scale_by_eta="time_scale_from_eta" in self.label)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,16 +34,36 @@ def existing(spark: SparkSession, path: str) -> str | None:
     return next((p for p in (path, other) if _exists(spark, p)), None)
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    if path.endswith(".parquet"):
-        return spark.read.parquet(path)
-    first = spark.read.text(path).limit(1).collect()
-    names = first[0][0].split(",") if first else []
-    headless = bool(names) and names[0].strip().lstrip("-").replace(".", "", 1).isdigit()
-    if headless:
-        df = spark.read.csv(path, header=False)
-        return df.toDF(*[EXCHANGE_COLUMNS[i] if i < len(EXCHANGE_COLUMNS) else f"x{i}" for i in range(len(df.columns))])
-    return spark.read.csv(path, header=True)
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).isDirectory():
+        first = spark.read.text(path).limit(1).collect()
+        return first[0][0] if first else None
+    lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(at), "UTF-8"))
+    try:
+        return lines.readLine()
+    finally:
+        lines.close()
+
+
+def _read(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
+    """The files' rows with their file as __file: one scan for all files of one kind and header."""
+    kinds: dict[tuple, list[str]] = {}
+    for path in paths:
+        parquet = path.endswith(".parquet")
+        line = None if parquet else _first_line(spark, path)
+        names = (line or "").split(",")
+        headless = names[0].strip().lstrip("-").replace(".", "", 1).isdigit()
+        kinds.setdefault((parquet, headless, len(names) if headless else line), []).append(path)
+    frames = []
+    for (parquet, headless, _), of in kinds.items():
+        df = spark.read.parquet(*of) if parquet else spark.read.csv(of, header=not headless)
+        if headless:
+            df = df.toDF(*[EXCHANGE_COLUMNS[i] if i < len(EXCHANGE_COLUMNS) else f"x{i}" for i in range(len(df.columns))])
+        frames.append(df.withColumn("__file", F.input_file_name()))
+    return frames
 
 
 def _aliased(df: DataFrame, aliases: dict[str, tuple[str, ...]]) -> dict[str, Column]:
@@ -58,39 +80,47 @@ def _aliased(df: DataFrame, aliases: dict[str, tuple[str, ...]]) -> dict[str, Co
 
 
 def _in_ms(df: DataFrame) -> DataFrame:
-    largest = df.agg(F.max("ts")).first()[0]
-    return df.withColumn("ts", to_epoch_ms(F.col("ts"), F.lit(largest))) if largest is not None else df.withColumn("ts", F.col("ts").cast("long"))
+    """ts in epoch milliseconds, by the largest of its file (or of the folder that the file lies in)."""
+    df = df.withColumn("__file", F.regexp_replace("__file", "/part-[^/]*$", ""))
+    largest = df.groupBy(F.col("__file").alias("__of")).agg(F.max("ts").alias("__top"))
+    joined = df.join(F.broadcast(largest), F.col("__file") == F.col("__of"))  # a row a file
+    return joined.withColumn("ts", to_epoch_ms(F.col("ts"), F.col("__top"))).drop("__file", "__of", "__top")
+
+
+def _bars(df: DataFrame, symbol: str) -> DataFrame:
+    df = df.select("__file", *[c.alias(name) for name, c in _aliased(df, ALIASES).items()]).dropna()
+    return _in_ms(df).select(F.lit(symbol).alias("symbol"), "ts", "open", "high", "low", "close")
+
+
+def _ticks(df: DataFrame, symbol: str) -> DataFrame:
+    seq = F.monotonically_increasing_id()
+    df = df.select("__file", *[c.alias(name) for name, c in _aliased(df, TICK_ALIASES).items()], seq.alias("seq"))
+    df = df.where(F.col("ts").isNotNull() & F.col("price").isNotNull() & (F.abs("price") != float("inf")))
+    return _in_ms(df).select(F.lit(symbol).alias("symbol"), "ts", "seq", "price")
 
 
 def read_bars(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     """symbol, ts (epoch ms), open, high, low, close; rows with a missing value are dropped."""
-    df = _read(spark, path)
-    df = df.select(*[c.alias(name) for name, c in _aliased(df, ALIASES).items()]).dropna()
-    return _in_ms(df).select(F.lit(symbol).alias("symbol"), "ts", "open", "high", "low", "close")
+    return _bars(_read(spark, [path])[0], symbol)
+
+
+def months_with_files(spark: SparkSession, pattern: str, symbol: str, months: list[str]) -> list[str]:
+    """The files of the months that have one; {SYMBOL}, {YYYY} and {MM} are filled in."""
+    found = (existing(spark, pattern.format(SYMBOL=symbol, YYYY=ym[:4], MM=ym[5:7])) for ym in months)
+    return [p for p in found if p]
 
 
 def read_bars_months(spark: SparkSession, pattern: str, symbol: str, months: list[str]) -> DataFrame:
-    """Bars of all months with a file, with their month `ym`; {SYMBOL}, {YYYY} and {MM} are filled in."""
-    frames = []
-    for ym in months:
-        path = existing(spark, pattern.format(SYMBOL=symbol, YYYY=ym[:4], MM=ym[5:7]))
-        if path:
-            frames.append(read_bars(spark, path, symbol))
-    if not frames:
+    """Bars of all months with a file, with their month `ym`."""
+    paths = months_with_files(spark, pattern, symbol, months)
+    if not paths:
         raise FileNotFoundError(f"no bars of {symbol} for {', '.join(months)}")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.withColumn("ym", month_of(F.col("ts")))
+    return reduce(DataFrame.unionByName, [_bars(df, symbol) for df in _read(spark, paths)]).withColumn("ym", month_of(F.col("ts")))
 
 
-def read_ticks(spark: SparkSession, path: str, symbol: str) -> DataFrame:
-    """symbol, ts (epoch ms), seq (order within the file), price; rows without a finite time or price are dropped."""
-    df = _read(spark, path)
-    seq = F.monotonically_increasing_id()
-    df = df.select(*[c.alias(name) for name, c in _aliased(df, TICK_ALIASES).items()], seq.alias("seq"))
-    df = df.where(F.col("ts").isNotNull() & F.col("price").isNotNull() & (F.abs("price") != float("inf")))
-    return _in_ms(df).select(F.lit(symbol).alias("symbol"), "ts", "seq", "price")
+def read_ticks(spark: SparkSession, paths: str | list[str], symbol: str) -> DataFrame:
+    """symbol, ts (epoch ms), seq (order within a file), price of one file or several; rows without a finite time or price are dropped."""
+    return reduce(DataFrame.unionByName, [_ticks(df, symbol) for df in _read(spark, [paths] if isinstance(paths, str) else paths)])
 
 
 def ticks_between(ticks: DataFrame, start: int, end: int) -> DataFrame:
