@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from tidemark.plans import reports
 from tidemark.sources import artifacts
 
@@ -40,3 +42,16 @@ def test_truth(spark):
     rules = spark.createDataFrame([("a", 0.4), ("b", 0.4), ("c", 0.1)], "rule_id string, precision_lcb double")
     trades = spark.createDataFrame([("a", "win"), ("a", "loss"), ("b", "loss")], "rule_id string, outcome string")
     assert {r["rule_id"]: r["holds"] for r in reports.truth(rules, trades).collect()} == {"a": True, "b": False, "c": None}
+
+
+def test_parity_of_two_runs(spark, tmp_path, capsys):
+    rows = [("S", i, "long", "win", 1.0 + i) for i in range(6)] + [("S", 9, "short", "loss", None)]
+    schema = "symbol string, ts long, side string, outcome string, R double"
+    other = [rows[0], (*rows[1][:3], "loss", rows[1][4]), (*rows[2][:4], 3.5), *rows[4:], ("S", 7, "long", "win", 1.0)]
+    a, b = spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema)
+    assert {(r["ts"], r["only_in"]) for r in reports.differences(a, b).collect()} == {(3, "a"), (7, "b"), (1, "differs"), (2, "differs")}
+    for name, df in (("x", a), ("y", b)):
+        df.write.parquet(str(tmp_path / name / "S" / "fold_0" / "trades.parquet"))
+    with pytest.raises(SystemExit) as ended:
+        reports.main(["parity", str(tmp_path / "x")])
+    assert ended.value.code == 2

@@ -62,14 +62,6 @@ def curated(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.withColumns({name(pair): F.coalesce((holds(*pair[0][::2]) & holds(*pair[1][::2])).cast("double"), F.lit(0.0)) for pair in known})
 
 
-def supported(df: DataFrame, n: int, min_support: float = 0.005, cap: int = 20) -> list[str]:
-    """Of x_0 .. x_<n-1> those set in at least min_support of the rows, the most frequent first, `cap` at most."""
-    if not n:
-        return []
-    means = df.agg(*[F.avg(f"x_{i}").alias(f"x_{i}") for i in range(n)]).first().asDict()
-    return sorted((c for c, m in means.items() if (m or 0) >= min_support), key=lambda c: (-means[c], c))[:cap]
-
-
 def chosen_crosses(core: DataFrame, held: DataFrame, y: str, names: list[str], cap: int = 20, min_support: float = 0.005) -> list[str]:
     """The `cap` crosses that rank the held rows best by themselves.
 

@@ -41,12 +41,22 @@ def with_labels(cands: DataFrame, events: DataFrame, keys: list[str], fallback:
     return cands.join(last(keys), keys, "left")
 
 
+def differences(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Trades (symbol, ts, side) that only one of two runs has (only_in: a or b), or with another outcome or an R further apart than the tolerance (only_in: differs)."""
+    keys = ["symbol", "ts", "side"]
+    both = a.select(*keys, F.col("outcome").alias("oa"), F.col("R").alias("ra")).join(b.select(*keys, F.col("outcome").alias("ob"), F.col("R").alias("rb")), keys)
+    apart = ~F.col("oa").eqNullSafe(F.col("ob")) | F.coalesce(F.abs(F.col("ra") - F.col("rb")) > tolerance, ~F.col("ra").eqNullSafe(F.col("rb")))
+    return evaluate.set_difference(a, b, keys).unionByName(both.where(apart).select(*keys, F.lit("differs").alias("only_in")).distinct())
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="reports")
     parser.add_argument("report", choices=("months", "truth", "parity"))
     parser.add_argument("root")
     parser.add_argument("--other")
     args = parser.parse_args(argv)
+    if args.report == "parity" and not args.other:
+        parser.error("parity needs --other")
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.report == "months":
         by_fold_and_month(events_of_folds(spark, args.root)).orderBy("fold", F.col("ym").asc_nulls_last()).show(1000, False)
@@ -54,7 +64,7 @@ def main(argv: list[str] | None = None) -> None:
         truth(events_of_folds(spark, args.root, "rules"), events_of_folds(spark, args.root, "trades")).orderBy(F.desc("train_lcb")).show(1000, False)
     else:
         a, b = (events_of_folds(spark, r, "trades") for r in (args.root, args.other))
-        differing = evaluate.set_difference(a, b, ["symbol", "ts", "side"])
+        differing = differences(a, b)
         differing.show(20, False)
         raise SystemExit(0 if differing.isEmpty() else 1)
 
