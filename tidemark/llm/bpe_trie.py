@@ -8,7 +8,6 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.cluster import kept
 from tidemark.llm.vocabulary import byte_letters
 
 #: How byte-level vocabularies cut texts into words; fixed by the vocabulary.
@@ -275,16 +275,11 @@ def _cut(text: str) -> Iterator[str]:
         at = gap.end()
 
 
-@lru_cache(maxsize=2)
-def trie_encoder(path: str) -> TrieEncoder:
-    return TrieEncoder(path)
-
-
 def _in_turn(path: str, make, names: list[str]):
     """Passes all columns but text through and adds n_tokens and what `make` makes of text, ids and decoded text."""
 
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = trie_encoder(path)
+        encoder = kept(("trie", path), lambda: TrieEncoder(path))
         for batch in batches:
             column, at = batch.column("text"), 0
             sizes = pc.coalesce(pc.binary_length(column), 0).to_pylist()
@@ -314,8 +309,8 @@ def _ids(texts: list[str], coded: list[bytes], decoded: list[str]) -> list[pa.Ar
 
 def _run(docs: DataFrame, path: str, text_col: str, keep: list[str], make, columns: str) -> DataFrame:
     texts = docs.select(*keep, F.col(text_col).alias("text")) if "text" not in keep else docs.select(*keep)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text")
-    return texts.mapInArrow(_in_turn(path, make, [c.split()[0] for c in columns.split(", ")]), f"{kept}, n_tokens long, {columns}")
+    others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text")
+    return texts.mapInArrow(_in_turn(path, make, [c.split()[0] for c in columns.split(", ")]), f"{others}, n_tokens long, {columns}")
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, keep: list[str] = ["doc_id"], text_col: str = "text") -> DataFrame:  # noqa: B006

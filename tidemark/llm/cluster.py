@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,3 +61,22 @@ def prefix_sums(df: DataFrame, group: str, bucket: str, order: list[str], value:
     within = F.sum(value).over(Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     joined = df.join(offsets, (F.col(group) == F.col("__og")) & (F.col(bucket) == F.col("__ob")))
     return joined.withColumn(out, F.col("__before") + within).drop("__og", "__ob", "__before")
+
+
+_kept: dict = {}
+
+
+def kept(name: object, make):
+    """In a worker: what make() gives, kept for later tasks until another operator's task begins; so a worker that many stages use holds one model at a time."""
+    if name not in _kept:
+        release()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def release() -> None:
+    """In a worker: drops what an earlier operator kept, and memory that Arrow holds unused."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidemark.llm.cluster import saved
+from tidemark.llm.cluster import release, saved
 from tidemark.llm.words import U, mix
 
 #: Lengths of the n-grams, in characters of words bounded by one space.
@@ -70,11 +70,12 @@ def grams(text: str) -> Iterator[np.ndarray]:
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     totals: dict[str, dict] = {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             kept = totals.setdefault(lang, {"codes": [], "size": 0})
-            for codes in grams(text or ""):
+            for codes in grams(text.as_py() or ""):
                 kept["codes"].append(np.unique(codes, return_counts=True))
                 kept["size"] += len(kept["codes"][-1][0])
             if kept["size"] > 1 << 20:
@@ -151,6 +152,7 @@ def _predict(filters: Filters, inside: str | None = None):
     """Adds lang_pred and score by the column text and passes the others through, or by the field text of the struct `inside`, passed through as it is."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             names, values = [], []
             for text in batch.column("text") if inside is None else pc.struct_field(batch.column(inside), "text"):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.cluster import saved, small
+from tidemark.llm.cluster import release, saved, small
 from tidemark.llm.graph import components
 from tidemark.llm.words import U, column_bytes, mix, shingle_sets
 
@@ -49,6 +49,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         sizes, digests, signs = [], [], []
         for s in shingle_sets(column_bytes(batch.column("text"))):
