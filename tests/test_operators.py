@@ -1,5 +1,6 @@
 """Hand cases, invariants and plain re-statements of the sequential operators."""
 
+import math
 import random
 
 import numpy as np
@@ -183,8 +184,17 @@ def test_metrics_in_pieces(spark):
         order = sorted(part, key=lambda r: (r[1], r[0]))
         bins = [order[k * len(order) // 7 : (k + 1) * len(order) // 7] for k in range(7)]
         assert ece.first()[0] == pytest.approx(sum(abs(sum(r[1] for r in b) - sum(r[2] for r in b)) for b in bins) / len(order))
-        by_score = df.groupBy("p").agg(F.count("*").alias("n"))
-        assert np.allclose(sorted(r[0] for r in evaluate._quantiles(by_score, 201).collect()), np.quantile(p, np.linspace(0, 1, 201)), rtol=0, atol=1e-12)
+        for target in (0.2, 0.9):  # each quantile of the scores as a threshold
+            points = []
+            for tau in sorted(set(np.quantile(p, np.linspace(0, 1, 201)).tolist())):
+                k, n = int(y[p >= tau].sum()), int((p >= tau).sum())
+                share, z = k / n, 1.96
+                low = max(0.0, (share + z * z / (2 * n) - z * math.sqrt((share * (1 - share) + z * z / (4 * n)) / n)) / (1 + z * z / n))
+                points.append((tau, share, low, n / len(p)))
+            good = [x for x in points if x[2] >= target]
+            want = max(good) if good else max((x for x in points if x[3] >= 0.02 and x[2] > 0), key=lambda x: (x[2], x[0]), default=None)
+            found = evaluate.threshold(df, "p", "y", target, 0.02).collect()
+            assert [tuple(r) for r in found] == [] if want is None else tuple(found[0]) == pytest.approx(want, abs=1e-9)
 
 
 def test_readers(spark, tmp_path):
@@ -233,8 +243,7 @@ def test_best_schedule_rows(spark):
         assert sum(r[4] for r in kept) == best(sorted(rows, key=lambda r: r[1]), -1)
 
 
-def test_pair_counts_with_nulls_and_many_months(spark, monkeypatch):
-    monkeypatch.setattr(mining, "_CELLS", 20)
+def test_pair_counts_with_nulls_and_many_months(spark):
     rng = random.Random(12)
     rows = [(f"2024-{1 + i % 9:02}" if i % 50 else None, rng.choice(["win", "loss", "timeout"]), rng.choice([None, 0, 1, 2]), rng.choice([0, 1]), rng.choice([5, 7, None])) for i in range(900)]
     df = mining.flagged(spark.createDataFrame(rows, "ym string, outcome string, a int, b long, c short"))

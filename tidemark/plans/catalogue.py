@@ -484,7 +484,7 @@ def busy_until_schedule(spark, sf_dir):
 
 
 STOPS = f"""{CANDS}, numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS ix FROM ticks),
-w AS (SELECT symbol, ts, side, round(entry, 8) AS e, round(level, 8) AS lev, round(atr, 8) AS atr, greatest(round(risk_dist, 8), 0.001 * round(atr, 8)) AS rr, CASE WHEN side = 'long' THEN 1 ELSE -1 END AS sg FROM c),
+w AS (SELECT symbol, ts, side, round(entry, 8) AS e, round(level, 8) AS lev, round(atr, 8) AS atr, CASE WHEN greatest(round(risk_dist, 8), 0.001 * round(atr, 8)) > 0 THEN greatest(round(risk_dist, 8), 0.001 * round(atr, 8)) ELSE 1e-6 END AS rr, CASE WHEN side = 'long' THEN 1 ELSE -1 END AS sg FROM c),
 j AS MATERIALIZED (SELECT w.*, t.ts AS t, t.ix, sg * (t.price - (e + sg * rr)) >= 0 AS at_r1, sg * (t.price - (e + sg * 3.0 * rr)) >= 0 AS at_tp, CASE WHEN side = 'long' THEN t.price < lev - 0.05 * atr ELSE t.price > lev + 0.05 * atr END AS beyond
       FROM w JOIN numbered t ON t.symbol = w.symbol AND t.ts BETWEEN w.ts + 1 AND w.ts + {24 * HOUR}),
 f AS (SELECT symbol, ts, side, min(CASE WHEN at_r1 THEN (ix, t) END) AS r1, min(CASE WHEN at_tp THEN (ix, t) END) AS tp FROM j GROUP BY 1, 2, 3),
