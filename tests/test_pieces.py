@@ -111,8 +111,10 @@ def test_best_schedule_in_stretches(spark):
     assert sum(w for *_, w in kept) == total[-1]
 
 
-def test_exact_quantiles_of_many_rows(spark):
+@pytest.mark.parametrize("few", [0, 20_000, 1 << 20])
+def test_exact_quantiles_of_many_rows(spark, monkeypatch, few):
     """Series of 90,000 and of a few values, ties, nulls, NaN and infinities, against numpy."""
+    monkeypatch.setattr(quantiles, "FEW", few)
     n = 90_000
     k = F.when(F.col("id") % 1000 < 3, F.lit(None).cast("string")).when(F.col("id") % 9000 == 5, F.lit("few")).otherwise(F.lit("many"))
     z = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003

@@ -11,6 +11,8 @@ from tidemark.sources.staging import saved
 
 #: A sketch bounds each quantile's rank to this part of the rows; the exact one is looked for between bounds three times as far.
 ACCURACY = 10_000
+#: Rows of a series up to which its values are held.
+FEW = 20_000
 
 
 def _bounds(x: DataFrame, n: int, at: Sequence[float], keys: list[str], wide: bool) -> DataFrame:
@@ -56,6 +58,8 @@ def _edges(x: DataFrame, n: int, at: Sequence[float], keys: list[str], wide: boo
 def exact_quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """One row a series: q_<column>, the quantiles `at` (rising) of its values, on a line between neighbours; null without values.
 
+    Where no series has more than FEW rows, Spark's exact percentile finds them, whose buffers then are no larger. Else:
+
     1. A sketch gives, for each quantile, two values that it lies between.
     2. A second pass counts the values below, and those between by value: a few in ACCURACY of all, whatever their number.
     3. Ranks among those give the exact neighbours. Should a sketch's bounds miss one, the pass is made over all values.
@@ -65,6 +69,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float],
     keys, n = list(keys), len(columns)
     plain = [F.col(c).cast("double") for c in columns]
     x = saved(df.select(*keys, *[F.when(~F.isnan(c), c).alias(f"x{i}") for i, c in enumerate(plain)]), "quantile-values")
+    most = x.groupBy(*keys).agg(F.count("*").alias("m")).agg(F.max("m").alias("m")).first()["m"] or 0
+    if most <= FEW:
+        places = F.array(*[F.lit(p) for p in at])
+        return x.groupBy(*keys).agg(*[F.percentile(f"x{i}", places).alias(f"q_{c}") for i, c in enumerate(columns)])
     edges = _edges(x, n, at, keys, wide=False)
     if not edges.where("edge IS NULL").isEmpty():
         edges = _edges(x, n, at, keys, wide=True)
