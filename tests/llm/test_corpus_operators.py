@@ -195,6 +195,25 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found} == want
 
 
+def test_members_that_can_link_with_nobody_are_not_paired(spark, monkeypatch):
+    """In a crowded bucket, texts whose own shingles are too many for any link stay out of the join of pairs."""
+    tables, saved = {}, near_dedup.saved
+    monkeypatch.setattr(near_dedup, "saved", lambda df, name, *rest: tables.setdefault(name, saved(df, name, *rest)))
+    rng = np.random.default_rng(10)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for k in range(120):  # the first 40 are near copies, the others changed in 14 places
+        words = list(base)
+        for j in rng.choice(40, 1 if k < 40 else 14, replace=False):
+            words[5 * j] = f"new{k}x{j}"
+        texts.append(" ".join(words))
+    found = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {k: 0 if k < 40 else k for k in range(120)}
+    crowded = {r["cid"] for r in tables["dedup-mixed"].where("crowded").select("cid").collect()}
+    assert len(crowded) > 60
+    assert {r["cid"] for r in tables["dedup-open"].collect()} <= set(range(40))
+
+
 def test_signatures_of_pairs_at_the_limit():
     """Of pairs with a similarity of just 0.75 hardly one is beyond the distance (4.9e-5 by the formula)."""
     rng = np.random.default_rng(9)

@@ -35,6 +35,7 @@ _XOR = _RNG.integers(0, 1 << 63, CHUNKS * SLOTS, dtype=U)
 _MUL = _RNG.integers(0, 1 << 63, CHUNKS * SLOTS, dtype=U) * U(2) + U(1)
 _LANES = (0, 1, 2, 3)
 _CHUNK_COLUMNS = [f"s{i}" for i in range(CHUNKS)]
+_NIBBLE_COLUMNS = [f"q{i}" for i in range(-(-CHUNKS // 4))]
 _MAP_COLUMNS = [f"m{i}" for i in range(MAP_WORDS)]
 _PLACE = (U(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F)
 
@@ -84,6 +85,24 @@ def _differing(a: str, b: str) -> list[Column]:
     return out
 
 
+def _nibbles() -> list[Column]:
+    """The lowest four bits of a signature's values, those of four chunks in a word."""
+    lowest = [F.col(c).bitwiseAND(F.lit(0x000F000F000F000F)) for c in _CHUNK_COLUMNS]
+    words = [[F.shiftleft(c, 4 * k) for k, c in enumerate(lowest[i : i + 4])] for i in range(0, CHUNKS, 4)]
+    return [reduce(Column.bitwiseOR, w).alias(c) for w, c in zip(words, _NIBBLE_COLUMNS, strict=True)]
+
+
+def _nibbles_near(a: str, b: str) -> Column:
+    """Whether at most DISTANCE values differ in their lowest bits, as those of any pair within DISTANCE; a short test for a join."""
+    out = []
+    for c in _NIBBLE_COLUMNS:
+        x = F.expr(f"{a}.{c} ^ {b}.{c}")
+        for shift in (2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        out.append(F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))))
+    return reduce(add, out) <= DISTANCE
+
+
 def _may_link(a: str, b: str) -> Column:
     """Set sizes that allow the similarity, and a signature distance within DISTANCE."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -177,6 +196,13 @@ def _led(keys: DataFrame, leaders: DataFrame) -> DataFrame:
     return keys.join(hot, F.col("key") == F.col("__key")).unionByName(rest)
 
 
+def _mixed(labelled: DataFrame, name: str) -> DataFrame:
+    """The buckets (__key) with more than one label: their members, the label that most have (main) and the number of strangers to it; saved."""
+    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = by_label.groupBy(F.col("key").alias("__key")).agg(F.sum("n").alias("members"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
+    return saved(mixed.select("__key", "members", F.col("top.label").alias("main"), (F.col("members") - F.col("top.n")).alias("strangers")), name)
+
+
 def _sides(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Strangers (members outside their bucket's main label) and all members as sides that meet by (key, i, j), blocks of strangers and of members."""
     strangers, every = F.ceil(F.col("strangers") / BLOCK), F.ceil(F.col("members") / BLOCK)
@@ -200,7 +226,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     4. Then all pairs of a bucket that are still in different components are compared, in the first bucket they share.
        In crowded buckets rare shingles, which three texts of all crowds have at most, and bit maps of the sets bound
        what two classes without a rare one in common can share; pairs with one are listed by it. So a copy changed so
-       much that it left its group, whose new shingles hardly anyone has, isn't confirmed against all the others. Only
+       much that it left its group, whose new shingles hardly anyone has, isn't confirmed against all the others, nor
+       paired if it has too many of them for any link. The join tests the signatures' lowest bits too. Only
        members outside a bucket's largest component meet the rest, so a group of a million and one stranger costs a
        million tests; both sides are dealt to blocks, and each pair of blocks is a group of its own.
 
@@ -233,10 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = small(joined, "dedup-labels")
     labelled = buckets.join(labels, F.col("cid") == F.col("node"), "left").select("key", "chunk", "cid", "members", F.coalesce("root", "cid").alias("label"))
     labelled = saved(labelled, "dedup-labelled")
-    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = by_label.groupBy(F.col("key").alias("__key")).agg(F.sum("n").alias("members"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
-    mixed = saved(mixed.select("__key", "members", F.col("top.label").alias("main"), (F.col("members") - F.col("top.n")).alias("strangers")), "dedup-mixed-keys")
-    open_ = saved(_led(labelled.drop("members"), mixed).drop("__key").withColumn("crowded", F.col("members") > CROWD), "dedup-mixed")
+    open_ = saved(_led(labelled.drop("members"), _mixed(labelled, "dedup-mixed-keys")).drop("__key").withColumn("crowded", F.col("members") > CROWD), "dedup-mixed")
     crowd = open_.where("crowded").select(F.col("cid").alias("__in")).distinct()
     crowd = small(classes.join(crowd, F.col("cid") == F.col("__in"), "left_semi").select("cid", F.col("uid").alias("__uid")), "dedup-crowd")
     rare = saved(_rare(crowd, docs), "dedup-rare")
@@ -249,13 +273,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label"))
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _may_link("x", "y") & first_shared).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     bits = reduce(add, [F.bit_count(m) for m in _MAP_COLUMNS])
-    known = classes.select("cid", "n").join(maps, F.col("cid") == F.col("__mc")).join(burden, F.col("cid") == F.col("__rc"), "left")
-    known = known.select(F.col("cid").alias("__cid"), "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("plain"), (F.col("n") - bits).alias("beyond"), *_MAP_COLUMNS)
-    thronged = saved(open_.where("crowded").join(known, F.col("cid") == F.col("__cid")).drop("__cid", "chunk", "leader", "crowded"), "dedup-open")
+    known = classes.select("cid", "n", *_CHUNK_COLUMNS).join(maps, F.col("cid") == F.col("__mc")).join(burden, F.col("cid") == F.col("__rc"), "left")
+    known = known.select(F.col("cid").alias("__cid"), "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("plain"), (F.col("n") - bits).alias("beyond"), *_MAP_COLUMNS, *_nibbles())
+    # Without a rare shingle in common a class shares no more than its plain ones, and a link takes SIMILARITY percent of its own set.
+    able = saved(known.where(100 * F.col("plain") >= SIMILARITY * F.col("n")), "dedup-able")
+    thronged = saved(open_.where("crowded").select("key", "cid", "label").join(able, F.col("cid") == F.col("__cid")).drop("__cid"), "dedup-open")
+    thronged = _led(thronged, _mixed(thronged, "dedup-open-keys")).drop("__key")
     x, y = (side_.alias(name) for name, side_ in zip("xy", _sides(thronged), strict=True))
     met = reduce(and_, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "i", "j")])
     once = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid")))
-    bounded = x.join(y, met & once & _bound("x", "y")).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+    bounded = x.join(y, met & once & _nibbles_near("x", "y") & _bound("x", "y")).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     by_rare = rare.where("size(owners) > 1").select(F.expr("explode(filter(array(struct(owners[0] AS a, owners[1] AS b), struct(owners[0] AS a, get(owners, 2) AS b), struct(owners[1] AS a, get(owners, 2) AS b)), p -> p.b IS NOT NULL))").alias("p"))
     listed = bounded.union(by_rare.select("p.a", "p.b")).distinct()
     listed = listed.join(side.alias("x"), F.col("a") == F.col("x.cid")).join(side.alias("y"), F.col("b") == F.col("y.cid"))
