@@ -281,3 +281,37 @@ def test_chosen_bins(spark):
     k = len(edges["up"]) + 1
     assert edges["up"] == pytest.approx(np.quantile([r[1] for r in rows if r[0] != "2024-04"], [j / k for j in range(1, k)]))
     assert set(binning.choose_bins(df.limit(0), ["up"], "y", F.lit(True))["up"]) == set()
+
+
+def test_stop_band_runs_across_groups_of_ticks(spark, monkeypatch):
+    """Runs that go on over groups of a few ticks, against a loop; what is shuffled of a long run is a row for each group."""
+    tables, saved = {}, labeling.saved
+    monkeypatch.setattr(labeling, "saved", lambda df, name: tables.setdefault(name, saved(df, name)))
+    rng = np.random.default_rng(12)
+    price = np.round(100 + np.cumsum(rng.normal(0, 0.6, 900)), 2)
+    price[500:800] = 80.0  # one run of 300 ticks
+    at = np.sort(rng.integers(1, 9000, 900)) * 1000
+    ticks = [("S", int(t), i, float(p)) for i, (t, p) in enumerate(zip(at, price, strict=True))]
+    cands = [("S", int(at[i]), side, float(price[i]), float(price[i]) - sign * 1.0, 1.5, 1.0) for i in range(0, 900, 30) for side, sign in (("long", 1), ("short", -1))]
+    cands = list({(c[1], c[2]): c for c in cands}.values())
+    df = spark.createDataFrame(cands, "symbol string, ts long, side string, entry double, level double, risk_dist double, atr double")
+    got = labeling.stop_band(df, spark.createDataFrame(ticks, "symbol string, ts long, seq long, price double"), 2.0, 1, 0.25, consec_ticks=3, dwell_ms=20_000, block=16).collect()
+    assert len(got) == len(cands)
+    for r in got:
+        sign = 1 if r["side"] == "long" else -1
+        inside = [(i, t, p) for _, t, i, p in ticks if r["ts"] + 1 <= t <= r["ts"] + 3_600_000]
+        first = lambda level: next(((i, t) for i, t, p in inside if sign * (p - level) >= 0), None)  # noqa: B023, E731
+        one, target, stopped, run = first(r["entry"] + sign * 1.5), first(r["entry"] + sign * 3.0), None, []
+        for i, t, p in inside:
+            run = [*run, (i, t)] if sign * (p - (r["level"] - sign * 0.05)) < 0 else []
+            if len(run) >= 3 and t - run[0][1] >= 20_000:
+                stopped = run[0]
+                break
+        lost = stopped is not None and (target is None or stopped[0] < target[0])
+        lit = not lost and one is not None and one[1] <= r["ts"] + 900_000
+        won = lit and target is not None
+        want = ("loss", stopped[1]) if lost else ("win", target[1]) if won else ("timeout", r["ts"] + 3_600_000)
+        assert (r["outcome"], r["outcome_ts"], r["r1_ts"], r["tp_ts"]) == (*want, one[1] if lit else None, target[1] if won else None)
+    assert {r["outcome"] for r in got} == {"win", "loss", "timeout"}
+    rows = tables["touches"].groupBy("symbol", "ts", "side").count().agg({"count": "max"}).first()[0]
+    assert rows < 250  # groups of 16 ticks in 24 buckets or fewer, three runs each at most, not each of the ticks

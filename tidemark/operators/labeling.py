@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +31,27 @@ def horizon_ms(hours: float, eta: Column | None = None, base_eta: float = 2.5, c
     return F.greatest(F.lit(1), F.rint(F.lit(hours * 3_600_000) * scale).cast("long"))
 
 
-def _in_window(c: DataFrame, ticks: DataFrame, width: int, can: Column, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Candidates (with __from and __to) and the ticks (as __t and their other columns) of their windows in buckets where `can` holds for the lowest and highest price (__lo, __hi); keys of those that have a tick in a bucket wholly inside (__seen)."""
+def _bucketed(ticks: DataFrame, width: int) -> DataFrame:
+    """Ticks with their time and series as __t and __s, and their bucket __b."""
+    return ticks.select(F.col("symbol").alias("__s"), F.col("ts").alias("__t"), *[x for x in ticks.columns if x not in ("symbol", "ts")], F.floor(F.col("ts") / width).alias("__b"))
+
+
+def _looked(c: DataFrame, bucketed: DataFrame, width: int, can: Column, keys: list[str], parts: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Candidates (with __from and __to), once for each bucket of their windows (and part of it) to look into: those where `can` holds for the lowest and highest price (__lo, __hi) and those at the ends; keys of candidates that have a tick in a bucket wholly inside (__seen)."""
     spans = c.select("*", F.explode(F.sequence(F.floor(F.col("__from") / width), F.floor(F.col("__to") / width))).alias("__bucket"))
-    bucketed = ticks.select(F.col("symbol").alias("__s"), F.col("ts").alias("__t"), *[x for x in ticks.columns if x not in ("symbol", "ts")], F.floor(F.col("ts") / width).alias("__b"))
-    ranges = bucketed.groupBy(F.col("__s").alias("__rs"), F.col("__b").alias("__rb")).agg(F.min("price").alias("__lo"), F.max("price").alias("__hi"), F.min("__t").alias("__t0"), F.max("__t").alias("__t1"))
+    ranges = bucketed.groupBy(F.col("__s").alias("__rs"), F.col("__b").alias("__rb"), *[F.col(x).alias(f"__in{x}") for x in parts]).agg(F.min("price").alias("__lo"), F.max("price").alias("__hi"), F.min("__t").alias("__t0"), F.max("__t").alias("__t1"))
     met = spans.join(ranges, (F.col("symbol") == F.col("__rs")) & (F.col("__bucket") == F.col("__rb")) & (F.col("__t1") >= F.col("__from")) & (F.col("__t0") <= F.col("__to")))
     # A bucket wholly inside the window shows by itself that the candidate has ticks; those at its ends are looked into.
     inside = (F.col("__t0") >= F.col("__from")) & (F.col("__t1") <= F.col("__to"))
     met = met.withColumns({"__can": can, "__inside": inside})
     seen = met.where("__inside").groupBy(*keys).agg(F.lit(True).alias("__seen"))
-    look = met.where("__can OR NOT __inside").select(*c.columns, "__bucket")
+    return met.where("__can OR NOT __inside").select(*c.columns, "__bucket", *[f"__in{x}" for x in parts]), seen
+
+
+def _in_window(c: DataFrame, ticks: DataFrame, width: int, can: Column, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The candidates to look at, each with the ticks (as __t and their other columns) of its window and bucket; and __seen."""
+    bucketed = _bucketed(ticks, width)
+    look, seen = _looked(c, bucketed, width, can, keys)
     return look.join(bucketed, (F.col("symbol") == F.col("__s")) & (F.col("__bucket") == F.col("__b")) & F.col("__t").between(F.col("__from"), F.col("__to"))), seen
 
 
@@ -76,9 +88,43 @@ def first_touch(cands: DataFrame, ticks: DataFrame, r_mult: float = 5.0, hours:
     return out.withColumn("risk_dist", F.col("__r")).drop("__r", "__tp", "__sl", "__from", "__to", "__win", "__loss", "__n", "__seen")
 
 
+_TOUCHES = "__a_ix long, __a_t long, __b_ix long, __b_t long, __r_ix long, __r_end long, __r_t0 long, __r_t1 long"
+
+
+def _touches(keys: list[str], consec_ticks: int, dwell_ms: int):
+    def touches(cands: pd.DataFrame, ticks: pd.DataFrame) -> pd.DataFrame:
+        """For each candidate that has ticks here, number and time of the first at one R and at the target (number -1: none) and the runs beyond its
+        stop, a row each: those at the ends of its ticks, which may go on elsewhere, and the first that counts by itself."""
+        ticks = ticks.sort_values("__ix")
+        t, ix, price = ticks["__t"].to_numpy(np.int64), ticks["__ix"].to_numpy(np.int64), ticks["price"].to_numpy(float)
+        place, found = [], []
+        windows = zip(np.searchsorted(t, cands["__from"]), np.searchsorted(t, cands["__to"], "right"), cands["side"] == "long", *(cands[x].to_numpy(float) for x in ("__r1", "__tp", "__stop")), strict=True)
+        for k, (a, b, long, r1, tp, stop) in enumerate(windows):
+            if a == b:
+                continue
+            p = price[a:b]
+            firsts = []
+            for hit in ((p >= r1, p >= tp) if long else (p <= r1, p <= tp)):
+                at = a + hit.argmax()
+                firsts += [ix[at], t[at]] if hit.any() else [-1, 0]
+            edges = a + np.flatnonzero(np.diff(p < stop if long else p > stop, prepend=False, append=False))
+            begin, end = edges[::2], edges[1::2] - 1
+            counts = (end - begin + 1 >= consec_ticks) & (t[end] - t[begin] >= dwell_ms)
+            kept = (begin == a) | (end == b - 1)
+            if counts.any():
+                kept[counts.argmax()] = True
+            rows = [[*firsts, ix[i], ix[j], t[i], t[j]] for i, j in zip(begin[kept], end[kept], strict=True)] or [[*firsts, -1, -1, 0, 0]]
+            found += rows
+            place += [k] * len(rows)
+        out = pd.DataFrame(np.array(found, dtype=np.int64).reshape(-1, 8), columns=[x.split()[0] for x in _TOUCHES.split(", ")])
+        return pd.concat([cands[keys].iloc[place].reset_index(drop=True), out], axis=1)
+
+    return touches
+
+
 def stop_band(
     cands: DataFrame, ticks: DataFrame, r_mult: float = 5.0, hours: float = 480.0, quick_hours: float = 2.0, stop_band_atr: float = 0.05, consec_ticks: int = 1, dwell_ms: int = 0, epsilon_ms: int = 1,
-    keep_untouched: bool = True, bucket_ms: int | None = None, pieces: int | None = None,
+    keep_untouched: bool = True, bucket_ms: int | None = None, pieces: int | None = None, block: int = P.BLOCK,
 ) -> DataFrame:
     """outcome, outcome_ts, r1_ts, tp_ts and preempted of each candidate by the older rules of stop band and quick ignition.
 
@@ -86,24 +132,32 @@ def stop_band(
     ATRs which has consec_ticks ticks or more and lasts dwell_ms or longer, unless the target came before. It wins at the
     target (r_mult * R) only if one R was reached within quick_hours (r1_ts). Else it times out at the horizon's end.
 
-    Ticks are numbered along their series, in pieces; successive ones have successive numbers. As in first_touch, only buckets
-    whose prices can matter are joined, and runs are found among the ticks beyond the band.
+    Ticks are numbered along their series, in pieces; successive ones have successive numbers. As in first_touch, candidates meet
+    only buckets whose prices can matter, here by groups: a bucket's ticks, `block` at most, and the candidates that look at it.
+    A candidate takes from a group its first touches and up to three runs, so no pair of candidate and tick is ever shuffled; runs
+    that go on from group to group are put together by their numbers.
     """
     width = bucket_ms or int(hours * 3_600_000 // 24) or 1
     order, keys = [F.col("ts"), F.col("seq")], ["symbol", "ts", "side"]
-    numbered = P.prefixed(P.pieced(ticks.select("symbol", "ts", "seq", "price"), ["symbol"], order, pieces), ["symbol"], order, {"__ix": F.lit(1)}).drop("__piece")
+    numbered = P.prefixed(P.pieced(ticks.select("symbol", "ts", "seq", "price"), ["symbol"], order, pieces), ["symbol"], order, {"__ix": F.lit(1)})
+    numbered = saved(numbered.select("symbol", "ts", "price", F.col("__ix").cast("long"), F.floor(F.col("__ix") / block).alias("__part")), "numbered")
     sign, long = F.when(F.col("side") == "long", 1).otherwise(-1), F.col("side") == "long"
     c = cands.withColumn("__r", risk(cands, stop_band=0.0))
     c = c.withColumns({"__r1": F.col("entry") + sign * F.col("__r"), "__tp": F.col("entry") + sign * r_mult * F.col("__r"), "__stop": F.col("level") - sign * stop_band_atr * F.coalesce("atr", F.lit(0.0))})
     c = c.withColumns({"__from": F.col("ts") + epsilon_ms, "__to": F.col("ts") + horizon_ms(hours), "__quick": F.col("ts") + horizon_ms(quick_hours)})
     can = F.when(long, (F.col("__hi") >= F.col("__r1")) | (F.col("__lo") < F.col("__stop"))).otherwise((F.col("__lo") <= F.col("__r1")) | (F.col("__hi") > F.col("__stop")))
-    joined, seen = _in_window(c.select(*keys, "__r1", "__tp", "__stop", "__from", "__to"), numbered, width, can, keys)
-    at = F.struct(F.col("__ix").alias("ix"), F.col("__t").alias("t"))
-    reached = lambda level: F.when(long, F.col("price") >= F.col(level)).otherwise(F.col("price") <= F.col(level))
-    firsts = joined.groupBy(*keys).agg(F.min(F.when(reached("__r1"), at)).alias("__a"), F.min(F.when(reached("__tp"), at)).alias("__b"), F.count("*").alias("__n"))
-    beyond = joined.where(F.when(long, F.col("price") < F.col("__stop")).otherwise(F.col("price") > F.col("__stop"))).select(*keys, "__ix", "__t")
-    runs = beyond.withColumn("__run", F.col("__ix") - F.row_number().over(Window.partitionBy(*keys).orderBy("__ix"))).groupBy(*keys, "__run")
-    runs = runs.agg(F.count("*").alias("__m"), F.min(at).alias("__at"), (F.max("__t") - F.min("__t")).alias("__lasts")).where((F.col("__m") >= consec_ticks) & (F.col("__lasts") >= dwell_ms))
+    bucketed = _bucketed(numbered, width)
+    look, seen = _looked(c.select(*keys, "__r1", "__tp", "__stop", "__from", "__to"), bucketed, width, can, keys, ("__part",))
+    prices = bucketed.withColumn("price", F.nanvl("price", F.lit(float("inf"))))  # NaN is above all, null isn't compared
+    types = ", ".join(f"{k} {c.schema[k].dataType.simpleString()}" for k in keys)
+    met = look.groupBy("symbol", "__bucket", "__in__part").cogroup(prices.groupBy("__s", "__b", "__part"))
+    met = saved(met.applyInPandas(_touches(keys, consec_ticks, dwell_ms), f"{types}, {_TOUCHES}"), "touches")
+    at = lambda x, t: F.min(F.when(F.col(x) >= 0, F.struct(F.col(x).alias("ix"), F.col(t).alias("t"))))
+    firsts = met.groupBy(*keys).agg(at("__a_ix", "__a_t").alias("__a"), at("__b_ix", "__b_t").alias("__b"), F.count("*").alias("__n"))
+    along = Window.partitionBy(*keys).orderBy("__r_ix")
+    runs = met.where("__r_ix >= 0").withColumn("__new", F.when(F.col("__r_ix") == F.lag("__r_end").over(along) + 1, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(along))
+    runs = runs.groupBy(*keys, "__run").agg(F.sum(F.col("__r_end") - F.col("__r_ix") + 1).alias("__m"), at("__r_ix", "__r_t0").alias("__at"), (F.max("__r_t1") - F.min("__r_t0")).alias("__lasts"))
+    runs = runs.where((F.col("__m") >= consec_ticks) & (F.col("__lasts") >= dwell_ms))
     out = c.join(firsts, keys, "left").join(runs.groupBy(*keys).agg(F.min("__at").alias("__v")), keys, "left").join(seen, keys, "left")
     lost = F.col("__v").isNotNull() & (F.col("__b").isNull() | (F.col("__v.ix") < F.col("__b.ix")))
     lit = ~lost & F.coalesce(F.col("__a.t") <= F.col("__quick"), F.lit(False))
