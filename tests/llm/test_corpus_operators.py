@@ -380,3 +380,16 @@ def test_trie_bpe_within_its_budget(monkeypatch):
         assert np.frombuffer(coded, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
         assert encoder.decode(np.frombuffer(coded, "<u4")) == text
         assert encoder.held() <= 120_000 + 6_000
+
+
+def test_word_encoder_learns_on_the_way(monkeypatch):
+    """Plain, other and long words, repeated within and across calls and with a cache of few words, as the library encodes them; each word is looked up once."""
+    from tidemark.llm import vocabulary
+
+    encoder = vocabulary.WordEncoder(default_path("word_bpe_49k.json"))
+    monkeypatch.setattr(vocabulary, "CACHED_WORDS", 8)
+    texts = ["", "Plain words, plain WORDS; it's", "naïve Straße 12345 <s> don't", "Ω ωμέγα 漢字 漢字 plain", "x" * 70 + " " + "ж" * 70 + " it's Ω", "Ω " * 3 + "new" + "y" * 70]
+    for _ in range(2):
+        coded = encoder.ids([t.encode().split() for t in texts])
+        assert [np.frombuffer(c, dtype="<u4").tolist() for c in coded] == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert not encoder.known.waiting and max(map(len, encoder.known)) <= vocabulary.LONG_WORD
