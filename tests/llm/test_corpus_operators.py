@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe_trie, language_id, license_scan, mixing, near_dedup, quality_rules, queries, sharding, token_counts, token_files, vector_topk
 from tidemark.llm.cluster import new_folder
@@ -214,6 +215,26 @@ def test_members_that_can_link_with_nobody_are_not_paired(spark, monkeypatch):
     assert {r["cid"] for r in tables["dedup-open"].collect()} <= set(range(40))
 
 
+def test_pairs_of_crowded_buckets_are_made_once(spark):
+    """Signatures that share none, one or all buckets of a chunk, of several chunks at once: each pair that meets is made in one bucket."""
+    rng = np.random.default_rng(12)
+    base, table = rng.integers(0, 1 << 16, (near_dedup.CHUNKS, near_dedup.SLOTS)), []
+    for cid in range(60):
+        values = base.copy()
+        for at in rng.choice(base.size, rng.integers(0, 40), replace=False):
+            values.flat[at] = rng.integers(0, 1 << 16)
+        table.append((cid, *[int(np.uint64(sum(int(v) << 16 * k for k, v in enumerate(row))).astype(np.int64)) for row in values]))
+    columns = near_dedup._CHUNK_COLUMNS
+    side = spark.createDataFrame(table, "cid long, " + ", ".join(f"{c} long" for c in columns))
+    keys = side.mapInArrow(near_dedup._chunk_keys, "key long, cid long, way byte")
+    met = keys.join(side.select("cid", F.array(*columns).alias("sign")), "cid")
+    pairs = met.alias("x").join(met.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")))
+    every = pairs.select(F.col("x.cid"), F.col("y.cid")).toDF("a", "b")
+    once = pairs.where(near_dedup._first_shared("x", "y")).select(F.col("x.cid"), F.col("y.cid")).toDF("a", "b")
+    made = sorted(map(tuple, once.collect()))
+    assert made == sorted(map(tuple, every.distinct().collect())) and len(made) * 5 < every.count()
+
+
 def test_signatures_of_pairs_at_the_limit():
     """Of pairs with a similarity of just 0.75 hardly one is beyond the distance (4.9e-5 by the formula)."""
     rng = np.random.default_rng(9)

@@ -64,25 +64,38 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each chunk, one key for each way to leave ERRORS = 1 of its values out."""
+    """For each chunk, one key for each way to leave ERRORS = 1 of its values out; ways are numbered along the signature."""
     for batch in batches:
         cid = batch.column("cid")
         for i in range(CHUNKS):
             chunk = batch.column(f"s{i}").to_numpy(zero_copy_only=False).view(U)
             for lane in _LANES:
                 key = mix((chunk & ~(U(0xFFFF) << U(BITS * lane))) * _PLACE[0] + U((i * SLOTS + lane + 1) * _PLACE[1] % (1 << 64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), cid, pa.array(np.full(len(key), i, dtype=np.int8))], names=["key", "cid", "chunk"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), cid, pa.array(np.full(len(key), i * SLOTS + lane, dtype=np.int8))], names=["key", "cid", "way"])
+
+
+def _unequal(x: Column) -> Column:
+    """The number of values that differ between two chunks, given what they differ in (x)."""
+    for shift in (8, 4, 2, 1):  # gathers all bits of a value in its lowest one
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
 
 
 def _differing(a: str, b: str) -> list[Column]:
     """For each chunk the number of its values that differ between the rows a and b."""
-    out = []
-    for c in _CHUNK_COLUMNS:
-        x = F.expr(f"{a}.{c} ^ {b}.{c}")
-        for shift in (8, 4, 2, 1):  # gathers all bits of a value in its lowest one
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        out.append(F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001))))
-    return out
+    return [_unequal(F.expr(f"{a}.{c} ^ {b}.{c}")) for c in _CHUNK_COLUMNS]
+
+
+def _first_shared(a: str, b: str) -> Column:
+    """Whether the bucket (`way`) in which two rows with the chunks of their signatures as `sign` meet is the first that they share.
+
+    They share one of a chunk's buckets if one of its values differs, and all if none does.
+    """
+    sign = lambda side: F.col(f"{side}.sign")
+    chunk = F.floor(F.col(f"{a}.way") / SLOTS).cast("int")
+    earlier = F.zip_with(F.slice(sign(a), F.lit(1), chunk), F.slice(sign(b), F.lit(1), chunk), lambda s, t: s.bitwiseXOR(t))
+    first = (F.col(f"{a}.way") % SLOTS == 0) | (F.element_at(sign(a), chunk + 1) != F.element_at(sign(b), chunk + 1))
+    return first & ~F.exists(earlier, lambda x: _unequal(x) <= ERRORS)
 
 
 def _nibbles() -> list[Column]:
@@ -227,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        In crowded buckets rare shingles, which three texts of all crowds have at most, and bit maps of the sets bound
        what two classes without a rare one in common can share; pairs with one are listed by it. So a copy changed so
        much that it left its group, whose new shingles hardly anyone has, isn't confirmed against all the others, nor
-       paired if it has too many of them for any link. The join tests the signatures' lowest bits too. Only
+       paired if it has too many of them for any link. The join tests the signatures' lowest bits too and makes each pair once. Only
        members outside a bucket's largest component meet the rest, so a group of a million and one stranger costs a
        million tests; both sides are dealt to blocks, and each pair of blocks is a group of its own.
 
@@ -246,9 +259,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.when(F.col("rep").isNotNull() & (F.col("d1") == F.col("__first")), F.col("rep")).otherwise(F.expr("-abs(d1 div 2) - 1"))
     classes = saved(found.join(first, F.col("rep") == F.col("__rep"), "left").withColumn("cid", own).drop("__rep", "__first"), "dedup-classes")
 
-    keys = classes.select("cid", *_CHUNK_COLUMNS).mapInArrow(_chunk_keys, "key long, cid long, chunk byte")
+    keys = classes.select("cid", *_CHUNK_COLUMNS).mapInArrow(_chunk_keys, "key long, cid long, way byte")
     leaders = saved(keys.groupBy(F.col("key").alias("__key")).agg(F.min("cid").alias("leader"), F.count("*").alias("members")).where("members > 1"), "dedup-leaders")
-    buckets = saved(_led(keys, leaders).select("key", "chunk", "cid", "leader", "members"), "dedup-buckets")
+    buckets = saved(_led(keys, leaders).select("key", "way", "cid", "leader", "members"), "dedup-buckets")
 
     side = classes.select("cid", "n", *_CHUNK_COLUMNS)
     stars = buckets.where("cid != leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
@@ -258,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = saved(components(links), "dedup-components")
 
     labels = small(joined, "dedup-labels")
-    labelled = buckets.join(labels, F.col("cid") == F.col("node"), "left").select("key", "chunk", "cid", "members", F.coalesce("root", "cid").alias("label"))
+    labelled = buckets.join(labels, F.col("cid") == F.col("node"), "left").select("key", "way", "cid", "members", F.coalesce("root", "cid").alias("label"))
     labelled = saved(labelled, "dedup-labelled")
     open_ = saved(_led(labelled.drop("members"), _mixed(labelled, "dedup-mixed-keys")).drop("__key").withColumn("crowded", F.col("members") > CROWD), "dedup-mixed")
     crowd = open_.where("crowded").select(F.col("cid").alias("__in")).distinct()
@@ -269,20 +282,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     burden = small(rare.select(F.explode("owners").alias("__rc")).groupBy("__rc").agg(F.count("*").alias("rare")), "dedup-burden")
     calm = open_.where("not crowded").join(side.withColumnRenamed("cid", "__cid"), F.col("cid") == F.col("__cid")).drop("__cid")
     x, y = calm.alias("x"), calm.alias("y")
-    first_shared = reduce(and_, [(d > ERRORS) | (F.lit(i) >= F.col("x.chunk")) for i, d in enumerate(_differing("x", "y"))])
+    first_shared = reduce(and_, [(d > ERRORS) | (F.lit(i * SLOTS + SLOTS) > F.col("x.way")) for i, d in enumerate(_differing("x", "y"))])
     apart = (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label"))
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _may_link("x", "y") & first_shared).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     bits = reduce(add, [F.bit_count(m) for m in _MAP_COLUMNS])
     known = classes.select("cid", "n", *_CHUNK_COLUMNS).join(maps, F.col("cid") == F.col("__mc")).join(burden, F.col("cid") == F.col("__rc"), "left")
-    known = known.select(F.col("cid").alias("__cid"), "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("plain"), (F.col("n") - bits).alias("beyond"), *_MAP_COLUMNS, *_nibbles())
+    known = known.select(F.col("cid").alias("__cid"), "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("plain"), (F.col("n") - bits).alias("beyond"), *_MAP_COLUMNS, *_nibbles(), F.array(*_CHUNK_COLUMNS).alias("sign"))
     # Without a rare shingle in common a class shares no more than its plain ones, and a link takes SIMILARITY percent of its own set.
     able = saved(known.where(100 * F.col("plain") >= SIMILARITY * F.col("n")), "dedup-able")
-    thronged = saved(open_.where("crowded").select("key", "cid", "label").join(able, F.col("cid") == F.col("__cid")).drop("__cid"), "dedup-open")
+    thronged = saved(open_.where("crowded").select("key", "way", "cid", "label").join(able, F.col("cid") == F.col("__cid")).drop("__cid"), "dedup-open")
     thronged = _led(thronged, _mixed(thronged, "dedup-open-keys")).drop("__key")
     x, y = (side_.alias(name) for name, side_ in zip("xy", _sides(thronged), strict=True))
     met = reduce(and_, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "i", "j")])
     once = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid")))
-    bounded = x.join(y, met & once & _nibbles_near("x", "y") & _bound("x", "y")).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+    bounded = x.join(y, met & once & _nibbles_near("x", "y") & _bound("x", "y") & _first_shared("x", "y")).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
     by_rare = rare.where("size(owners) > 1").select(F.expr("explode(filter(array(struct(owners[0] AS a, owners[1] AS b), struct(owners[0] AS a, get(owners, 2) AS b), struct(owners[1] AS a, get(owners, 2) AS b)), p -> p.b IS NOT NULL))").alias("p"))
     listed = bounded.union(by_rare.select("p.a", "p.b")).distinct()
     listed = listed.join(side.alias("x"), F.col("a") == F.col("x.cid")).join(side.alias("y"), F.col("b") == F.col("y.cid"))
