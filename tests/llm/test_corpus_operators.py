@@ -403,6 +403,26 @@ def test_trie_bpe_within_its_budget(monkeypatch):
         assert encoder.held() <= 120_000 + 6_000
 
 
+def test_trie_levels_are_worked_on_together(monkeypatch):
+    """Thousands of words take a few calls for each level of their trie, also in several parts, with long words between them and a table of few pairs."""
+    path = default_path("byte_bpe_50k.json")
+    encoder, library, calls = bpe_trie.TrieEncoder(path), tokenizer(path), []
+    rng = np.random.default_rng(13)
+    words = sorted({"".join(rng.choice(["en", "ach", "ü", "ung", "th", "日", "é", "x"], rng.integers(1, 8))) for _ in range(6_000)})
+    below = encoder.below
+    monkeypatch.setattr(encoder, "below", lambda *x: calls.append(0) or below(*x))
+    first = encoder.encode_words([w.encode() for w in words])
+    assert len(calls) <= max(len(w.encode()) for w in words)
+    want = [library.model.tokenize("".join(bpe_trie.byte_letters()[b] for b in w.encode())) for w in words]
+    assert [np.frombuffer(c, "<u4").tolist() for c in first] == [[t.id for t in x] for x in want]
+    monkeypatch.setattr(bpe_trie, "WORDS", 500)
+    encoder.place_bits, encoder.apart = 4, np.full(16, -1, dtype=np.int64)
+    mixed = sorted([w.encode() for w in words[:1_200]] + [b"en" * 200, b"ach" * 90, b"x" * 129])
+    got = encoder.encode_words(mixed)
+    assert [np.frombuffer(c, "<u4").tolist() for c in got] == [[t.id for t in library.model.tokenize("".join(bpe_trie.byte_letters()[b] for b in w))] for w in mixed]
+    assert encoder.encode_words([]) == []
+
+
 def test_word_encoder_learns_on_the_way(monkeypatch):
     """Plain, other and long words, repeated within and across calls and with a cache of few words, as the library encodes them; each word is looked up once."""
     from tidemark.llm import vocabulary

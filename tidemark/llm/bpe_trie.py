@@ -6,8 +6,8 @@ import hashlib
 import json
 import re
 import sys
-from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +23,18 @@ from tidemark.llm.vocabulary import byte_letters
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space before a character that isn't white space always begins a word of PATTERN.
 _SPACE = re.compile(r" (?=\S)")
-#: Bytes that a worker's caches of words and of segments (two generations each) and its table of pairs may take, a third each.
-BUDGET = 96 << 20
-#: What an entry takes besides its strings: a slot of the table; for a pair also its key.
-ENTRY_BYTES, PAIR_BYTES = 100, 130
+#: Bytes that a worker's caches of segments and of words (two generations each) and its table of pairs may take: a half, a third and a sixth.
+BUDGET = 160 << 20
+#: What an entry takes besides its strings: a slot of the table.
+ENTRY_BYTES = 100
 #: Longer words and segments aren't cached.
 LONG_WORD = 128
+#: Words that go through their trie together.
+WORDS = 1 << 14
 #: Characters worked on at once; a longer text is cut at a space before a word.
 PIECE = 1 << 19
+_MARKS = (".", ",", ";", ":", "!", "?")
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Cache:
@@ -39,16 +43,26 @@ class Cache:
     def __init__(self, limit: int):
         self.limit, self.young, self.old, self.size = limit, {}, {}, 0
 
-    def get(self, key: str | bytes) -> bytes | None:
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
-
-    def put(self, key: str | bytes, coded: bytes) -> None:
-        if len(key) <= LONG_WORD:
+    def found(self, keys: set[str]) -> tuple[dict[str, bytes | None], list[str]]:
+        """All keys with what is known of them, and those that aren't known."""
+        found, old, used, fresh = dict(zip(keys, map(self.young.get, keys))), self.old, {}, []
+        for key in [k for k, coded in found.items() if coded is None]:
+            if (coded := old.get(key)) is None:
+                fresh.append(key)
+            else:
+                found[key] = used[key] = coded
+        self.add(used)
+        return found, fresh
+
+    def add(self, entries: dict[str, bytes]) -> None:
+        if entries and max(map(len, entries)) > LONG_WORD:
+            entries = {k: coded for k, coded in entries.items() if len(k) <= LONG_WORD}
+        size = sum(map(sys.getsizeof, entries)) + sum(map(sys.getsizeof, entries.values())) + ENTRY_BYTES * len(entries)
+        if self.size + size <= self.limit // 2:
+            self.young.update(entries)
+            self.size += size
+            return
+        for key, coded in entries.items():
             self.young[key] = coded
             self.size += sys.getsizeof(key) + sys.getsizeof(coded) + ENTRY_BYTES
             if self.size > self.limit // 2:
@@ -63,9 +77,9 @@ class TrieEncoder:
 
     Pair merges rank every token after its parts, so a boundary of a word's encoding is one of each prefix's that
     reaches it: a prefix's encoding is that of a shorter prefix and one last token, the only one that is a suffix of
-    it and doesn't merge with the token before. The distinct words of a piece of texts are inserted in sorted order,
-    which visits their trie depth first: a node takes its last token from the states on the path to it, what words
-    begin with is encoded once, and no more than the path to the present word is ever held.
+    it and doesn't merge with the token before. The distinct words of a piece of texts are sorted, so that words with a
+    common prefix are neighbours, and their trie is visited level by level: a node takes its last token from the states
+    on the path to it, what words begin with is encoded once, and the nodes of a level are worked on together.
     """
 
     def __init__(self, path: str):
@@ -85,21 +99,30 @@ class TrieEncoder:
             self.merged[pair] = rank
             self.parts[vocab[left + right]] = (*pair, rank)
         self.tokens_by_end()
-        self.ends: tuple[dict, dict] = ({}, {})
-        self.apart: dict[int, bool] = {}  # left << 32 | right: whether the two stay apart
+        self.edges: tuple[dict, dict] = ({}, {})
+        self.place_bits = (BUDGET // 6 // 8).bit_length() - 1
+        self.apart = np.full(1 << self.place_bits, -1, dtype=np.int64)  # (left << 32 | right) << 1 | whether the two stay apart
         size = max(self.bytes) + 1
         self.lengths = np.array([len(self.bytes.get(i, b"")) for i in range(size)], dtype=np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(size)), dtype=np.uint8)
         self.words = regex.compile(PATTERN)
-        self.coded_words, self.segments = Cache(BUDGET // 3), Cache(BUDGET // 3)  # segments: those after a space
+        self.coded_words, self.segments = Cache(BUDGET // 3), Cache(BUDGET // 2)  # segments: those after a space
 
     def tokens_by_end(self) -> None:
         """The automaton that follows a word byte by byte and knows the tokens that end there, the longest first."""
         special = set(self.special.values())
-        self.goes: dict[int, int] = {}  # spot * 256 + byte: the spot below
-        self.ends_here: list[tuple[tuple[int, int], ...]] = [()]  # (length, token)
-        self.falls = array("i", [0])  # the spot of the longest proper suffix that is one
+        goes: dict[int, int] = {}  # spot * 256 + byte: the spot below
+        ends_here: list[tuple[int, ...]] = [()]
+        falls = [0]  # the spot of the longest proper suffix that is one
+
+        def follow(spot: int, byte: int) -> int:
+            while (after := goes.get(spot << 8 | byte)) is None:
+                if not spot:
+                    return 0
+                spot = falls[spot]
+            return after
+
         level = [(b, i) for i, b in sorted(self.bytes.items()) if i not in special]
         own: dict[int, tuple[int, int]] = {}
         spots = {b"": 0}
@@ -111,119 +134,149 @@ class TrieEncoder:
                 head = b[:depth]
                 spot = below.get(head)
                 if spot is None:
-                    spot = below[head] = len(self.falls)
+                    spot = below[head] = len(falls)
                     above = spots[head[:-1]]
-                    self.goes[above << 8 | head[-1]] = spot
-                    self.falls.append(self.follow(self.falls[above], head[-1]) if above else 0)
-                    self.ends_here.append(())
+                    goes[above << 8 | head[-1]] = spot
+                    falls.append(follow(falls[above], head[-1]) if above else 0)
+                    ends_here.append(())
                 if len(b) == depth:
-                    own[spot] = (depth, i)
+                    own[spot] = i
             for spot in below.values():
-                shorter = self.ends_here[self.falls[spot]]
-                self.ends_here[spot] = (own[spot], *shorter) if spot in own else shorter
+                shorter = ends_here[falls[spot]]
+                ends_here[spot] = (own[spot], *shorter) if spot in own else shorter
             spots, level = below, [x for x in level if len(x[0]) > depth]
-
-    def follow(self, spot: int, byte: int) -> int:
-        while True:
-            after = self.goes.get(spot << 8 | byte)
-            if after is not None:
-                return after
-            if not spot:
-                return 0
-            spot = self.falls[spot]
+        steps = sorted(goes)
+        self.steps = np.array([*steps, np.iinfo(np.int64).max], dtype=np.int64)
+        self.step_ends = np.array([goes[k] for k in steps], dtype=np.int64)
+        self.falls = np.array(falls, dtype=np.int64)
+        self.ends = np.array([i for here in ends_here for i in here], dtype=np.int64)
+        self.ends_at = np.cumsum([0, *map(len, ends_here)])
 
     def held(self) -> int:
         """Bytes, as estimated, of what grows with the texts."""
-        return len(self.apart) * PAIR_BYTES + self.coded_words.held() + self.segments.held()
+        return self.apart.nbytes + self.coded_words.held() + self.segments.held()
 
     def edge(self, token: int, side: int) -> list[tuple[int, int, float]]:
         """The pieces at the left (0) or right (1) end of a token as it is built: piece, rank made at, rank used at."""
-        known = self.ends[side].get(token)
+        known = self.edges[side].get(token)
         if known is None:
             chain, used = [], float("inf")
             while token in self.parts:
                 made = self.parts[token][2]
                 chain.append((token, made, used))
                 token, used = self.parts[token][side], made
-            known = self.ends[side][chain[0][0] if chain else token] = [*chain, (token, -1, used)]
+            known = self.edges[side][chain[0][0] if chain else token] = [*chain, (token, -1, used)]
         return known
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether the two tokens, side by side, are their own encoding: no pair across the gap ever merges."""
-        known = self.apart.get(left << 32 | right)
-        if known is None:
-            known = True
-            for x, x_made, x_used in self.edge(left, 1):
-                for y, y_made, y_used in self.edge(right, 0):
-                    rank = self.merged.get((x, y))
-                    if rank is not None and x_made < rank < x_used and y_made < rank <= y_used:  # of equal pairs the left one merges first
-                        known = False
-            if len(self.apart) * PAIR_BYTES > BUDGET // 3:
-                self.apart.clear()
-            self.apart[left << 32 | right] = known
-        return known
+        for x, x_made, x_used in self.edge(left, 1):
+            for y, y_made, y_used in self.edge(right, 0):
+                rank = self.merged.get((x, y))
+                if rank is not None and x_made < rank < x_used and y_made < rank <= y_used:  # of equal pairs the left one merges first
+                    return False
+        return True
+
+    def are_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """stay_apart() of pairs, by the table of pairs: each has one place there, which the latest takes."""
+        key = left.astype(np.int64) << 32 | right
+        place = (key.view(np.uint64) * _SPREAD >> np.uint64(64 - self.place_bits)).view(np.int64)
+        found = self.apart[place]
+        unknown = np.flatnonzero(found >> 1 != key)
+        if len(unknown):
+            fresh, back = np.unique(key[unknown], return_inverse=True)
+            kept = np.array([self.stay_apart(k >> 32, k & 0xFFFFFFFF) for k in fresh.tolist()], dtype=np.int64)
+            found[unknown] = self.apart[place[unknown]] = (fresh << 1 | kept)[back]
+        return found & 1 == 1
+
+    def below(self, spots: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The automaton's spots after one more byte each."""
+        spots, out, open_ = spots.copy(), np.zeros(len(spots), dtype=np.int64), np.arange(len(spots))
+        while len(open_):
+            key = spots[open_] << 8 | letters[open_]
+            at = np.searchsorted(self.steps, key)
+            there = self.steps[at] == key
+            out[open_[there]] = self.step_ends[at[there]]
+            open_ = open_[~there & (spots[open_] > 0)]
+            spots[open_] = self.falls[spots[open_]]
+        return out
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of sorted words, as little-endian unsigned 32-bit integers; each goes on from the prefix it shares with the one before."""
-        out, previous, goes, ends_here, apart = [], b"", self.goes, self.ends_here, self.apart
-        # For each depth of the path: the last token of that prefix, where the token begins, and the automaton's spot.
-        last, begins, spots = [-1], [0], [0]
-        for word in words:
-            if len(word) > LONG_WORD:
-                last, begins, spots, previous = array("i", [-1]), array("i", [0]), array("i", [0]), b""
-            shared = 0
-            for x, y in zip(word, previous):
-                if x != y:
-                    break
-                shared += 1
-            del last[shared + 1 :], begins[shared + 1 :], spots[shared + 1 :]
-            spot = spots[shared]
-            for d in range(shared, len(word)):
-                spot = goes.get(spot << 8 | word[d]) or self.follow(spot, word[d])
-                for length, token in ends_here[spot]:
-                    begin = d + 1 - length
-                    if not begin:
-                        break
-                    left = last[begin]
-                    free = apart.get(left << 32 | token)
-                    if free or free is None and self.stay_apart(left, token):
-                        break
-                else:
-                    raise ValueError("the vocabulary lacks a byte")
-                last.append(token)
-                begins.append(begin)
-                spots.append(spot)
-            ids, d = [], len(word)
-            while d:
-                ids.append(last[d])
-                d = begins[d]
-            out.append(array("I", ids[::-1]).tobytes())
-            previous = word
-            if len(word) > LONG_WORD:
-                last, begins, spots, previous = [-1], [0], [0], b""
+        """Ids of sorted words, as little-endian unsigned 32-bit integers."""
+        out, at = [], 0
+        while at < len(words):
+            size = 1 if len(words[at]) > LONG_WORD else WORDS
+            part = words[at : at + size]
+            if size > 1 and max(map(len, part)) > LONG_WORD:
+                part = part[: next(i for i, w in enumerate(part) if len(w) > LONG_WORD)]
+            out += self._encode_words(part)
+            at += len(part)
         return out
 
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """One level of the words' trie after the other; a level's nodes are worked on together."""
+        n, flat = len(words), np.frombuffer(b"".join(words), dtype=np.uint8)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
+        starts, most = np.cumsum(lengths) - lengths, int(lengths.max(initial=0))
+        # For each depth and word: the last token of that prefix and where it begins. For each word: its node and the automaton's spot.
+        last, begins = np.empty((most + 1, n), dtype=np.int32), np.empty((most + 1, n), dtype=np.int32)
+        node, spots = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        rows = np.arange(n)
+        for depth in range(1, most + 1):
+            rows = rows[lengths[rows] >= depth]
+            letters = flat[starts[rows] + depth - 1].astype(np.int64)
+            branch = node[rows] << 8 | letters
+            new = np.append(True, branch[1:] != branch[:-1])  # sorted words that share a prefix are neighbours
+            of, first = np.cumsum(new) - 1, rows[new]
+            spot = self.below(spots[first], letters[new])
+            token, begin = np.empty(len(first), dtype=np.int32), np.empty(len(first), dtype=np.int32)
+            open_, at, stop = np.arange(len(first)), self.ends_at[spot], self.ends_at[spot + 1]
+            while len(open_):
+                if (at[open_] == stop[open_]).any():
+                    raise ValueError("the vocabulary lacks a byte")
+                tried = self.ends[at[open_]]
+                start = depth - self.lengths[tried]
+                free = start == 0
+                inner = np.flatnonzero(~free)
+                free[inner] = self.are_apart(last[start[inner], first[open_[inner]]], tried[inner])
+                token[open_[free]], begin[open_[free]] = tried[free], start[free]
+                open_ = open_[~free]
+                at[open_] += 1
+            last[depth, rows], begins[depth, rows], node[rows], spots[rows] = token[of], begin[of], of, spot[of]
+        steps, counts, at, rows = [], np.zeros(n, dtype=np.int64), lengths.copy(), np.flatnonzero(lengths)
+        while len(rows):
+            steps.append((rows, last[at[rows], rows]))
+            counts[rows] += 1
+            at[rows] = begins[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        ends = np.cumsum(counts)
+        ids = np.empty(int(counts.sum()), dtype="<u4")
+        for back, (rows, tokens) in enumerate(steps, 1):
+            ids[ends[rows] - back] = tokens
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def cut(self, segment: str) -> list[str]:
+        """The words of a segment after a space; most are letters and a mark at most, which PATTERN leaves whole."""
+        if segment.isalpha():
+            return [" " + segment]
+        if segment[-1:] in _MARKS and segment[:-1].isalpha():
+            return [" " + segment[:-1], segment[-1]]
+        return self.words.findall(" " + segment)
+
     def learn(self, begun: set[str], spaced: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
         """Ids of segments at a text's start and after a space; the distinct words that no cache knows go through the trie."""
-        first, later, fresh = {}, {}, []
-        for s in spaced:
-            known = self.segments.get(s)
-            if known is None:
-                fresh.append(s)
-            else:
-                later[s] = known
-        cut = [(first, s, [w.encode() for w in self.words.findall(s)]) for s in begun]
-        cut += [(later, s, [w.encode() for w in self.words.findall(" " + s)]) for s in fresh]
-        coded = {w: self.coded_words.get(w) for w in {w for _, _, words in cut for w in words}}
-        words = sorted([w for w, ids in coded.items() if ids is None])
-        for w, ids in zip(words, self.encode_words(words), strict=True):
-            coded[w] = ids
-            self.coded_words.put(w, ids)
-        for found, s, words in cut:
-            found[s] = b"".join([coded[w] for w in words])
-            if found is later:
-                self.segments.put(s, found[s])
-        return first, later
+        later, fresh = self.segments.found(spaced)
+        first = {s: self.words.findall(s) for s in begun}
+        made = {s: self.cut(s) for s in fresh}
+        coded, new = self.coded_words.found({*chain.from_iterable(first.values()), *chain.from_iterable(made.values())})
+        new.sort()  # as their bytes
+        learnt = dict(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
+        self.coded_words.add(learnt)
+        coded |= learnt
+        made = {s: coded[words[0]] if len(words) == 1 else b"".join([coded[w] for w in words]) for s, words in made.items()}
+        self.segments.add(made)
+        return {s: b"".join([coded[w] for w in words]) for s, words in first.items()}, later | made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
