@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.cluster import kept
+from tidemark.llm.cluster import in_python, kept
 from tidemark.llm.vocabulary import byte_letters
 
 #: How byte-level vocabularies cut texts into words; fixed by the vocabulary.
@@ -24,7 +24,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: A space before a character that isn't white space always begins a word of PATTERN.
 _SPACE = re.compile(r" (?=\S)")
 #: Bytes that a worker's caches of segments and of words (two generations each) and its table of pairs may take: a half, a third and a sixth.
-BUDGET = 160 << 20
+BUDGET = 64 << 20
 #: What an entry takes besides its strings: a slot of the table.
 ENTRY_BYTES = 100
 #: Longer words and segments aren't cached.
@@ -363,7 +363,7 @@ def _ids(texts: list[str], coded: list[bytes], decoded: list[str]) -> list[pa.Ar
 def _run(docs: DataFrame, path: str, text_col: str, keep: list[str], make, columns: str) -> DataFrame:
     texts = docs.select(*keep, F.col(text_col).alias("text")) if "text" not in keep else docs.select(*keep)
     others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "text")
-    return texts.mapInArrow(_in_turn(path, make, [c.split()[0] for c in columns.split(", ")]), f"{others}, n_tokens long, {columns}")
+    return in_python(texts, _in_turn(path, make, [c.split()[0] for c in columns.split(", ")]), f"{others}, n_tokens long, {columns}")
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, keep: list[str] = ["doc_id"], text_col: str = "text") -> DataFrame:  # noqa: B006

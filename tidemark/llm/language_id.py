@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidemark.llm.cluster import release, saved
+from tidemark.llm.cluster import in_python, release, saved
 from tidemark.llm.words import U, mix
 
 #: Lengths of the n-grams, in characters of words bounded by one space.
@@ -105,7 +105,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id") -> Filters:
     of = labelled.sparkSession.createDataFrame([(lang, i, min(1.0, FIT_DOCUMENTS / sizes[lang])) for i, lang in enumerate(languages)], "__lang string, i int, part double")
     place = (F.xxhash64(F.lit("language sample"), F.col(id_col)).cast("double") / float(1 << 63) + 1) / 2
     chosen = labelled.join(F.broadcast(of), F.col("lang") == F.col("__lang")).where(place <= F.col("part")).select("lang", "text")
-    counts = chosen.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = in_python(chosen, _gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = saved(counts, "language-grams")
     totals = counts.groupBy(F.col("lang").alias("__of")).agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), F.col("lang") == F.col("__of")).withColumn("share", F.col("n") / F.col("total"))
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(id_col).alias("held_out"))
     filters = filters or fit(texts.where("not held_out"))
-    out = texts.select("doc_id", "held_out", "text").mapInArrow(_predict(filters), "doc_id long, held_out boolean, lang_pred string, score double")
+    out = in_python(texts.select("doc_id", "held_out", "text"), _predict(filters), "doc_id long, held_out boolean, lang_pred string, score double")
     return out.withColumnRenamed("doc_id", id_col)
 
 
@@ -197,5 +197,5 @@ def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """
     filters = fit(docs.select("doc_id", "text", "lang").where(~held_out()))
     schema = StructType([StructField("row", docs.schema), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    marked = docs.select(F.struct("*").alias("row")).mapInArrow(_predict(filters, "row"), schema)
+    marked = in_python(docs.select(F.struct("*").alias("row")), _predict(filters, "row"), schema)
     return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")

@@ -88,10 +88,26 @@ def copied(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col:
     return summed.select("__row", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **law) -> DataFrame:
     """The mix itself: each row of docs, with all its columns whatever their names, as often as it is taken.
 
-    Null, empty and very long texts, null sources, repeated rows and empty tables are as in mix().
+    Null, empty and very long texts, null sources, repeated rows and empty tables are as in mix(). docs is read twice and
+    should be a saved table: copies are counted without the texts and meet the rows by a hash of id, text and source. Of
+    rows that are equal in these each gets the copies of one, whichever.
     """
-    taken = copied(docs, keep=["*"], **options).where("copies > 0")
-    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
+    group = F.when(F.col(source_col).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source_col)))
+    uid = F.xxhash64(F.col(id_col), F.col(text_col), group)
+    taken = copied(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), uid.alias("__uid")), seed, "id", "text", "source", ["__uid"], **law)
+    taken = saved(taken.select("__row.*", "copies"), "mix-copies")
+    per = saved(taken.groupBy("__uid").agg(F.count("*").alias("n"), F.sum("copies").cast("int").alias("copies")), "mix-copies-of-rows")
+    rows = docs.select(F.struct("*").alias("row"), uid.alias("own"))
+    single = small(per.where("n = 1 and copies > 0").select("__uid", "copies"), "mix-single")
+    out = rows.join(single, F.col("own") == F.col("__uid")).select("row", "copies")
+    repeated = per.where("n > 1").select(F.col("__uid").alias("__again"))
+    if not repeated.isEmpty():
+        repeated = small(repeated, "mix-repeated")
+        nth = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(key))
+        each = rows.join(repeated, F.col("own") == F.col("__again")).select("row", "own", nth("own").alias("nth"))
+        copies = taken.join(repeated, F.col("__uid") == F.col("__again")).select("__uid", "copies", nth("__uid").alias("__nth"))
+        out = out.unionByName(each.join(copies, (F.col("own") == F.col("__uid")) & (F.col("nth") == F.col("__nth")) & (F.col("copies") > 0)).select("row", "copies"))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

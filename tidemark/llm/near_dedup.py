@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.cluster import release, saved, small
+from tidemark.llm.cluster import in_python, release, saved, small
 from tidemark.llm.graph import components
 from tidemark.llm.words import U, column_bytes, mix, shingle_sets
 
@@ -164,7 +164,7 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rare(crowd: DataFrame, docs: DataFrame) -> DataFrame:
     """owners: the classes (ascending) that have a shingle which one to three texts of `crowd` (cid, __uid) have; a row a shingle."""
-    found = docs.join(crowd, F.col("uid") == F.col("__uid")).select("cid", "text").mapInArrow(_shingles, "cid long, shingle long")
+    found = in_python(docs.join(crowd, F.col("uid") == F.col("__uid")).select("cid", "text"), _shingles, "cid long, shingle long")
     owners = found.groupBy("shingle").agg(F.count("*").alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.bit_xor("cid").alias("x")).where("n <= 3")
     third = F.when(F.col("n") == 3, F.expr("x ^ lo ^ hi")).otherwise(F.col("lo"))
     return owners.select(F.array_sort(F.array_distinct(F.array("lo", third, "hi"))).alias("owners"))
@@ -192,7 +192,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     """Those of the saved pairs (a, b) of class ids that meet the similarity, by their full shingle sets."""
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     needed = small(classes.join(needed, F.col("cid") == F.col("id"), "left_semi").select("cid", F.col("uid").alias("__uid")), "dedup-needed")
-    sets = docs.join(needed, F.col("uid") == F.col("__uid")).select("cid", "text").mapInArrow(_sets, "cid long, items array<long>")
+    sets = in_python(docs.join(needed, F.col("uid") == F.col("__uid")).select("cid", "text"), _sets, "cid long, items array<long>")
     sets = _one_each(saved(sets, "dedup-sets"), needed, "dedup-single-sets")
     left, right = sets.toDF("ca", "xs"), sets.toDF("cb", "ys")
     both = pairs.join(left, F.col("a") == F.col("ca")).join(right, F.col("b") == F.col("cb"))
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
     chunk_schema = ", ".join(f"{c} long" for c in _CHUNK_COLUMNS)
-    rows = saved(docs.mapInArrow(_sign, f"doc_id long, uid long, n long, d1 long, d2 long, {chunk_schema}"), "dedup-signatures")
+    rows = saved(in_python(docs, _sign, f"doc_id long, uid long, n long, d1 long, d2 long, {chunk_schema}"), "dedup-signatures")
     found = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("uid").alias("uid"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in _CHUNK_COLUMNS])
     found = saved(found, "dedup-sets-of-rows")
     # A class goes by its least id; where classes share that (an id with several texts), all but one by their digest.
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.when(F.col("rep").isNotNull() & (F.col("d1") == F.col("__first")), F.col("rep")).otherwise(F.expr("-abs(d1 div 2) - 1"))
     classes = saved(found.join(first, F.col("rep") == F.col("__rep"), "left").withColumn("cid", own).drop("__rep", "__first"), "dedup-classes")
 
-    keys = classes.select("cid", *_CHUNK_COLUMNS).mapInArrow(_chunk_keys, "key long, cid long, way byte")
+    keys = in_python(classes.select("cid", *_CHUNK_COLUMNS), _chunk_keys, "key long, cid long, way byte")
     leaders = saved(keys.groupBy(F.col("key").alias("__key")).agg(F.min("cid").alias("leader"), F.count("*").alias("members")).where("members > 1"), "dedup-leaders")
     buckets = saved(_led(keys, leaders).select("key", "way", "cid", "leader", "members"), "dedup-buckets")
 
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowd = open_.where("crowded").select(F.col("cid").alias("__in")).distinct()
     crowd = small(classes.join(crowd, F.col("cid") == F.col("__in"), "left_semi").select("cid", F.col("uid").alias("__uid")), "dedup-crowd")
     rare = saved(_rare(crowd, docs), "dedup-rare")
-    maps = docs.join(crowd, F.col("uid") == F.col("__uid")).select("cid", "text").mapInArrow(_maps, "cid long, " + ", ".join(f"{m} long" for m in _MAP_COLUMNS))
+    maps = in_python(docs.join(crowd, F.col("uid") == F.col("__uid")).select("cid", "text"), _maps, "cid long, " + ", ".join(f"{m} long" for m in _MAP_COLUMNS))
     maps = _one_each(saved(maps, "dedup-maps"), crowd, "dedup-single-maps").withColumnRenamed("cid", "__mc")
     burden = small(rare.select(F.explode("owners").alias("__rc")).groupBy("__rc").agg(F.count("*").alias("rare")), "dedup-burden")
     calm = open_.where("not crowded").join(side.withColumnRenamed("cid", "__cid"), F.col("cid") == F.col("__cid")).drop("__cid")
