@@ -1,6 +1,10 @@
 """What an executor holds at once: batches of rows for Python workers, and rows that needn't be shuffled."""
 
+import re
+from pathlib import Path
+
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe_trie, cluster, mixing
@@ -49,3 +53,33 @@ def test_mix_shuffles_no_texts(spark):
     for r in out.collect():
         taken[tuple(r)] += 1
     assert max(taken.values()) <= 2 and all(0 <= n for n in taken.values())
+
+
+def test_tasks_give_back_unused_memory(spark):
+    if not Path("/proc/self/status").exists() or cluster._trim() is None:
+        pytest.skip("needs Linux and malloc_trim()")
+
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+
+    class Table:
+        sparkSession = spark
+
+        def mapInArrow(self, function, schema):
+            return function
+
+    kept = []
+
+    def hungry(batches):
+        for batch in batches:
+            blocks = [b"x" * 20_000 for _ in range(10_000)]  # 200 MB, with a little that stays among and after them
+            kept.extend(blocks[::1_000])
+            kept.append(b"y" * 20_001)
+            del blocks
+            yield batch
+
+    before, most = held(), 0
+    for _ in cluster.in_python(Table(), hungry, "n long")(iter([pa.record_batch({"n": [1]})])):
+        most = held()
+    assert most > before + 100  # freed, but not given back while the task runs
+    assert held() < before + 50
