@@ -386,6 +386,32 @@ def test_pivots_leave_out_far_clusters(spark):
     assert vector_topk.visited_share(df) < 0.2  # random directions, as in the test tables, leave nearly all of it
 
 
+def test_requests_of_vectors_grow_with_the_queries(spark, monkeypatch):
+    monkeypatch.setattr(vector_topk, "BLOCK", 8)  # 60 queries and over 400 blocks
+    monkeypatch.setattr(vector_topk, "TOGETHER", 16)
+    monkeypatch.setattr(vector_topk, "SHELVES", 4, raising=False)
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(3_000, 32)) * 2.0 ** rng.integers(0, 18, 3_000)[:, None]  # products within and beyond what floats hold exactly
+    points[2_000:2_040] = points[50]
+    ints = np.floor(256 * points).astype(np.int64)
+    scores = ints[::50] @ ints.T
+    want = [(q * 50, rank, i, int(scores[q, i])) for q in range(60) for rank, i in enumerate(sorted((i for i in range(3_000) if i != q * 50), key=lambda i: (-scores[q, i], i))[:5], 1)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")  # more than the queries take, less than the blocks
+    try:
+        index = vector_topk.Index(df, 50, "vec_id", "embedding")
+        found = index.search(index.bounded(5), 5)
+        assert 60 * 5 <= len(found.collect()) <= 60 * 5 * 4
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        for i, line in enumerate(plan):
+            if "BroadcastExchange" in line:  # of no requests, whose size Spark can't tell
+                below = itertools.takewhile(lambda x, depth=line.index("BroadcastExchange"): len(x) - len(x.lstrip(" :+-*()0123456789")) > depth, plan[i + 1 :])
+                assert not any("InPandas" in x for x in below)
+        assert sorted(tuple(r) for r in vector_topk.top_products(df).collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_trie_bpe_within_its_budget(monkeypatch):
     path = default_path("byte_bpe_50k.json")
     library = tokenizer(path)

@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.cluster import saved
+from tidemark.llm.cluster import in_python, saved
 
 #: Pivots and rings (annuli) around each; both are chosen from SAMPLE vectors, the least by a hash of their ids.
 PIVOTS, RINGS, SAMPLE = 64, 8, 4_096
 #: Vectors in a block of the index, queries that are searched together, and vectors that bound a query's best k, about.
 BLOCK, TOGETHER, SEEDS = 1_024, 256, 256
+#: Shelves of blocks at least, and bytes of the vectors on one at most, about. Each query goes to a shelf once, so all requests take SHELVES times
+#: the queries' bytes until a shelf would be too large.
+SHELVES, SHELF_BYTES = 64, 32 << 20
 #: A double in place of an exact distance is off by less than this part of the lengths.
 SLACK = 1e-6
 _LOWEST = -(1 << 63)
@@ -38,12 +41,26 @@ class Geometry:
             gap = np.minimum(gap, self._distances(points, points[chosen[-1:]])[:, 0])
         self.pivots = points[chosen]
         self.edges = np.quantile(self._distances(points, self.pivots).min(axis=1), np.arange(1, RINGS) / RINGS)
-        self.cells: dict[int, tuple[int, float, float, int]] = {}  # rows, least and largest distance, blocks
+        self.cells: dict[int, tuple[int, float, float, int, int, int]] = {}  # rows, least and largest distance, blocks; rows and blocks of the cells before
+        self.rows, self.shelves = 0, 1
 
     @staticmethod
     def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None] - 2 * (a @ b.T)))
 
+    def shelve(self, cells: list[tuple[int, int, float, float]], width: int) -> None:
+        """Sets the cells (cell, rows, least and largest distance, in order) of vectors of `width` bytes."""
+        blocks = 0
+        for cell, n, lo, hi in cells:
+            self.cells[cell] = (n, lo, hi, -(-n // BLOCK), self.rows, blocks)
+            self.rows, blocks = self.rows + n, blocks + self.cells[cell][3]
+        self.shelves = max(SHELVES, -(-self.rows * width // SHELF_BYTES))
+
+    def place(self, cell: int, salt: int) -> tuple[int, int]:
+        """The block's number and its shelf; blocks stand in the order of cells, about as many rows on each shelf."""
+        n, _, _, salts, rows, blocks = self.cells[cell]
+        return blocks + salt, (rows + n * salt // salts) * self.shelves // self.rows
+
     def lift(self, vectors: np.ndarray, query: bool = False) -> np.ndarray:
         v = vectors.astype(np.float64)
         last = np.zeros(len(v)) if query else np.sqrt(np.maximum(0, self.m2 - (v**2).sum(axis=1)))
@@ -81,10 +98,10 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; by floating point where no sum can leave the exact range."""
-    if vectors.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) < 2**53:
-        return (queries.astype(np.float64) @ vectors.T.astype(np.float64)).astype(np.int64)
-    return queries @ vectors.T
+    """Exact integer inner products; as floats where no sum can leave their exact range."""
+    top = vectors.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0))
+    kind = np.float32 if top < 2**24 else np.float64 if top < 2**53 else np.int64
+    return queries.astype(kind) @ vectors.T.astype(kind)
 
 
 def _keyed(geometry: Geometry, kind: str):
@@ -98,16 +115,20 @@ def _keyed(geometry: Geometry, kind: str):
     return keyed
 
 
-def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """A block of the index: its vectors sorted by their distance to the pivot."""
-    rows = rows.sort_values("near")
-    numbers = {c: [rows[c].to_numpy(t).tobytes()] for c, t in (("uid", np.int64), ("vec_id", np.int64), ("near", np.float64))}
-    return pd.DataFrame({"cell": [int(key[0])], "salt": [int(key[1])], "uids": numbers["uid"], "ids": numbers["vec_id"], "nears": numbers["near"], "vecs": [b"".join(rows["vec"])]})
+def _pack(geometry: Geometry):
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """A block of the index: its vectors sorted by their distance to the pivot."""
+        rows = rows.sort_values("near")
+        block, shelf = geometry.place(int(key[0]), int(key[1]))
+        numbers = {c: [rows[c].to_numpy(t).tobytes()] for c, t in (("uid", np.int64), ("vec_id", np.int64), ("near", np.float64))}
+        return pd.DataFrame({"pivot": [int(key[0]) // RINGS], "block": [block], "shelf": [shelf], "uids": numbers["uid"], "ids": numbers["vec_id"], "nears": numbers["near"], "vecs": [b"".join(rows["vec"])]})
+
+    return pack
 
 
 def _requests(geometry: Geometry, kind: str, seeding: bool):
     def ask(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Blocks that these queries must look at: while seeding the nearest annuli until SEEDS vectors are met, then all in reach."""
+        """Where these queries must look: while seeding a block of each of the nearest annuli until SEEDS vectors are met, then all shelves with an annulus in reach."""
         queries = np.frombuffer(b"".join(rows["vec"]), dtype=kind).reshape(-1, geometry.dim)
         uids, floors = rows["uid"].to_numpy(np.int64), rows["floor"].to_numpy(np.int64)
         cells, least = geometry.bounds(queries)
@@ -117,47 +138,87 @@ def _requests(geometry: Geometry, kind: str, seeding: bool):
             met = np.cumsum((counts // salts)[order], axis=1) - (counts // salts)[order]
             wanted = np.zeros(least.shape, dtype=bool)
             np.put_along_axis(wanted, order, met <= SEEDS, axis=1)
+            # Groups that want one cell take different blocks of it.
+            asked = [(geometry.place(int(cells[j]), int(key[1]) % int(salts[j]))[0], wanted[:, j]) for j in range(len(cells))]
         else:
             wanted = least <= geometry.reach(queries, floors)[:, None]
-        out = []
-        for j in np.flatnonzero(wanted.any(axis=0)):
-            who = np.flatnonzero(wanted[:, j])
-            for salt in range(1 if seeding else int(salts[j])):
-                out.append((int(cells[j]), salt, uids[who].tobytes(), queries[who].tobytes(), floors[who].tobytes()))
-        return pd.DataFrame(out, columns=["cell", "salt", "q_uids", "q_vecs", "q_floors"])
+            first, last = (np.array([geometry.place(c, n - 1)[1] for c, n in zip(cells.tolist(), ends, strict=True)]) for ends in ([1] * len(cells), salts.tolist()))
+            asked = [(shelf, wanted[:, (first <= shelf) & (shelf <= last)].any(axis=1)) for shelf in range(geometry.shelves)]
+        out = [(place, uids[who].tobytes(), queries[who].tobytes(), floors[who].tobytes()) for place, who in asked if who.any()]
+        return pd.DataFrame(out, columns=["place", "q_uids", "q_vecs", "q_floors"])
 
     return ask
 
 
+class _Best:
+    """The best k of each query of a request over the blocks that it meets one after another; floors rise on the way."""
+
+    def __init__(self, geometry: Geometry, kind: str, k: int, row: dict):
+        self.geometry, self.kind, self.k, self.name = geometry, kind, k, (row["place"], row["q_uids"])
+        self.uids, self.floors = (np.frombuffer(row[c], dtype=np.int64).copy() for c in ("q_uids", "q_floors"))
+        self.queries = np.frombuffer(row["q_vecs"], dtype=kind).reshape(-1, geometry.dim)
+        self.gaps = geometry.to_pivots(self.queries, np.arange(len(geometry.pivots)))
+        self.found = [np.zeros(0, dtype=np.int64)] * 4  # the query's place, and its candidates' uid, vec_id and score
+
+    def annulus(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the first vector of the block within its reach, and the end."""
+        near, d, reach = np.frombuffer(row["nears"], dtype=np.float64), self.gaps[:, row["pivot"]], self.geometry.reach(self.queries, self.floors)
+        return np.searchsorted(near, d - reach), np.searchsorted(near, d + reach, side="right")
+
+    def meet(self, row: dict) -> None:
+        lo, hi = self.annulus(row)
+        open_ = np.flatnonzero(lo < hi)
+        if not len(open_):
+            return
+        a, b = lo[open_].min(), hi[open_].max()
+        uids, ids = (np.frombuffer(row[c], dtype=np.int64)[a:b] for c in ("uids", "ids"))
+        scores = _products(self.queries[open_], np.frombuffer(row["vecs"], dtype=self.kind).reshape(-1, self.geometry.dim)[a:b])
+        floors = self.floors[open_].astype(scores.dtype)
+        good = scores >= floors[:, None]
+        if b - a > self.k and np.count_nonzero(good) > 8 * self.k * len(open_):
+            # Without the query itself the k-th best reaches what is the next of all.
+            good = scores >= np.maximum(floors, np.partition(scores, -self.k - 1, axis=1)[:, -self.k - 1])[:, None]
+        i, j = np.nonzero(good)
+        other = self.uids[open_[i]] != uids[j]
+        i, j = i[other], j[other]
+        self.found = [np.concatenate(x) for x in zip(self.found, (open_[i], uids[j], ids[j], scores[i, j].astype(np.int64)), strict=True)]
+        if len(self.found[0]) > 2 * self.k * len(self.queries):
+            self._cut()
+
+    def _cut(self) -> None:
+        who, uids, ids, scores = self.found
+        order = np.lexsort((uids, ids, -scores, who))
+        rank = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+        self.found = [x[order[rank < self.k]] for x in self.found]
+        last = order[rank == self.k - 1]
+        self.floors[who[last]] = np.maximum(self.floors[who[last]], scores[last])
+
+    def result(self) -> list[np.ndarray]:
+        self._cut()
+        return [self.uids[self.found[0]], *self.found[1:]]
+
+
 def _look(geometry: Geometry, kind: str, k: int, measure: bool):
-    """Each query's best k in a block, of those that reach its floor; when measuring, the number of vectors within its reach instead."""
+    """Each request's best k of the blocks that follow one another, of those that reach the floor; when measuring, the number of vectors within a query's reach instead."""
+
+    def given(arrays: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["query", "uid", "vec_id", "score"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
         for batch in batches:
-            found = [[], [], [], []]
             for row in batch.to_pylist():
-                q_uids, floors, uids, ids = (np.frombuffer(row[c], dtype=np.int64) for c in ("q_uids", "q_floors", "uids", "ids"))
-                queries, vectors = (np.frombuffer(row[c], dtype=kind).reshape(-1, geometry.dim) for c in ("q_vecs", "vecs"))
-                near, reach = np.frombuffer(row["nears"], dtype=np.float64), geometry.reach(queries, floors)
-                d = geometry.to_pivots(queries, np.array([row["cell"] // RINGS]))[:, 0]
-                lo, hi = np.searchsorted(near, d - reach), np.searchsorted(near, d + reach, side="right")  # the annulus within reach
+                if best is None or best.name != (row["place"], row["q_uids"]):
+                    if best is not None and not measure:
+                        yield given(best.result())
+                    best = _Best(geometry, kind, k, row)
                 if measure:
-                    for part, values in zip(found, (q_uids, q_uids, q_uids, np.maximum(0, hi - lo)), strict=True):
-                        part.append(values)
-                    continue
-                open_ = np.flatnonzero(lo < hi)
-                if not len(open_):
-                    continue
-                a, b = lo[open_].min(), hi[open_].max()
-                scores = _products(queries[open_], vectors[a:b])
-                good = (scores >= floors[open_, None]) & (q_uids[open_, None] != uids[None, a:b])
-                for i in np.flatnonzero(good.any(axis=1)):
-                    at = np.flatnonzero(good[i])
-                    at = at[np.lexsort((uids[a + at], ids[a + at], -scores[i, at]))[:k]]
-                    for part, values in zip(found, (np.full(len(at), q_uids[open_[i]]), uids[a + at], ids[a + at], scores[i, at]), strict=True):
-                        part.append(values)
-            arrays = [pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64), pa.int64()) for x in found]
-            yield pa.RecordBatch.from_arrays(arrays, names=["query", "uid", "vec_id", "score"])
+                    lo, hi = best.annulus(row)
+                    yield given([best.uids, best.uids, best.uids, np.maximum(0, hi - lo)])
+                else:
+                    best.meet(row)
+        if best is not None and not measure:
+            yield given(best.result())
 
     return look
 
@@ -179,18 +240,18 @@ class Index:
         if not len(sample):
             return
         self.geometry = Geometry(_matrix(sample.column("ints").combine_chunks(), dim), m2, dim)
-        keyed = saved(ints.mapInArrow(_keyed(self.geometry, self.kind), "uid long, vec_id long, cell int, near double, vec binary"), "vectors-keyed")
+        keyed = saved(in_python(ints, _keyed(self.geometry, self.kind), "uid long, vec_id long, cell int, near double, vec binary"), "vectors-keyed")
         asking = F.col("vec_id") % every == 0
         cells = keyed.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("lo"), F.max("near").alias("hi"), F.count_if(asking).alias("q")).orderBy("cell").collect()
-        self.geometry.cells = {r["cell"]: (r["n"], r["lo"], r["hi"], -(-r["n"] // BLOCK)) for r in cells}
-        self.rows, self.queries_n = sum(r["n"] for r in cells), sum(r["q"] for r in cells)
+        self.geometry.shelve([(r["cell"], r["n"], r["lo"], r["hi"]) for r in cells], dim * np.dtype(self.kind).itemsize)
+        self.rows, self.queries_n = self.geometry.rows, sum(r["q"] for r in cells)
 
         def salted(df: DataFrame, pieces: dict[int, int]) -> DataFrame:
             of = F.element_at(F.create_map(*[F.lit(v) for pair in pieces.items() for v in pair]), F.col("cell"))
             return df.withColumn("salt", F.pmod(F.xxhash64("uid"), of).cast("int"))
 
-        blocks = salted(keyed, {r["cell"]: -(-r["n"] // BLOCK) for r in cells}).groupBy("cell", "salt").applyInPandas(_pack, "cell int, salt int, uids binary, ids binary, nears binary, vecs binary")
-        self.blocks = saved(blocks, "vector-blocks").withColumnsRenamed({"salt": "__salt", "cell": "__cell"})
+        blocks = salted(keyed, {r["cell"]: -(-r["n"] // BLOCK) for r in cells}).groupBy("cell", "salt").applyInPandas(_pack(self.geometry), "pivot int, block int, shelf int, uids binary, ids binary, nears binary, vecs binary")
+        self.blocks = saved(blocks, "vector-blocks")
         # Queries of neighbouring cells go together, about TOGETHER of them; a cell with more is cut by hash.
         together, group, held = {}, 0, 0
         for r in cells:
@@ -200,11 +261,12 @@ class Index:
         self.queries = salted(keyed.where(asking), {r["cell"]: max(1, -(-r["q"] // TOGETHER)) for r in cells}).withColumn("cell", of)
 
     def search(self, asked: DataFrame, k: int, seeding: bool = False, measure: bool = False) -> DataFrame:
-        """query, uid, vec_id, score: the best k of each query in each block it looks at."""
-        wanted = asked.groupBy("cell", "salt").applyInPandas(_requests(self.geometry, self.kind, seeding), "cell int, salt int, q_uids binary, q_vecs binary, q_floors binary")
-        met = wanted.join(self.blocks, (F.col("cell") == F.col("__cell")) & (F.col("salt") == F.col("__salt")))
-        met = met.select("cell", "q_uids", "q_vecs", "q_floors", "uids", "ids", "nears", "vecs")
-        return met.mapInArrow(_look(self.geometry, self.kind, k, measure), "query long, uid long, vec_id long, score long")
+        """query, uid, vec_id, score: the best k of each query in each block (while seeding) or on each shelf that it looks at."""
+        wanted = asked.groupBy("cell", "salt").applyInPandas(_requests(self.geometry, self.kind, seeding), "place int, q_uids binary, q_vecs binary, q_floors binary")
+        # Spark takes the requests for as small as the queries and would broadcast them, through the driver.
+        met = wanted.hint("merge").join(self.blocks, F.col("place") == F.col("block" if seeding else "shelf"))
+        met = met.select("place", "q_uids", "q_vecs", "q_floors", "pivot", "uids", "ids", "nears", "vecs")
+        return in_python(met, _look(self.geometry, self.kind, k, measure), "query long, uid long, vec_id long, score long")
 
     def bounded(self, k: int) -> DataFrame:
         """The queries, each with the score that its k-th best reaches at least, from the annuli nearest to it."""
@@ -230,7 +292,8 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str =
     Each vector is keyed by its nearest pivot and the ring of its distance, and packed into blocks with others of its
     cell, sorted by distance. A first round looks at the nearest annuli until SEEDS vectors are met; their scores bound
     the distance that matters, and a second round visits just the blocks, and in them the annulus, in which the
-    triangle inequality leaves room. Cells of any size are cut into blocks, and queries into groups, by hash.
+    triangle inequality leaves room. Cells of any size are cut into blocks, and queries into groups, by hash. Blocks
+    stand on shelves: a group of queries is sent to a shelf once, meets its blocks in turn and keeps its best k.
     """
     index = Index(vectors, every, id_col, vector_col)
     if index.geometry is None:
